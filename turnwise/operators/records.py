@@ -11,6 +11,12 @@ from turnwise import fixed, schemas
 from turnwise.functions import text as X
 
 
+BLOCK_COLUMNS = (
+    "pos", "btype", "text", "tool_id", "tool_name", "skill", "command", "todos", "tool_use_id", "result_chars",
+    "is_error", "result_body",
+)
+
+
 def contains_any(text: Column, needles: Sequence[str]) -> Column:
     hit = F.lit(False)
     for needle in needles:
@@ -98,6 +104,12 @@ def content_text(plain: Column, blocks: Column) -> Column:
     return F.coalesce(plain, F.array_join(parts, "\n"), F.lit(""))
 
 
+def last_text(blocks: Column) -> Column:
+    """The last text block of a message; null when it has none."""
+    texts = F.filter(blocks, lambda b: (b["btype"] == "text") & b["text"].isNotNull())
+    return F.try_element_at(F.transform(texts, lambda b: b["text"]), F.lit(-1))
+
+
 def has_tool_result(blocks: Column) -> Column:
     return F.coalesce(F.exists(blocks, lambda b: F.coalesce(b["btype"] == "tool_result", F.lit(False))), F.lit(False))
 
@@ -247,8 +259,13 @@ def to_records(parsed: DataFrame) -> DataFrame:
     cols = {c: F.col(c) for c in step.columns}
     is_user = cols["rtype"] == "user"
     reason = F.when(cols["denial_kind"] == "permission-rule", result_text(cols["blocks"]))
+    used = ("is_meta", "is_compact_summary", "origin_kind", "denial_kind", "blocks")
+    # Bodies and block texts end here: they are most of a transcript's bytes.
+    kept = [f for f in BLOCK_COLUMNS if f not in ("text", "result_body")]
     return step.select(
-        *[c for c in step.columns if c not in ("is_meta", "is_compact_summary", "origin_kind", "denial_kind")],
+        *[c for c in step.columns if c not in used],
+        F.transform("blocks", lambda b: F.struct(*[b[f].alias(f) for f in kept])).alias("blocks"),
+        F.when(cols["rtype"] == "assistant", last_text(cols["blocks"])).alias("said"),
         F.when(is_user, denial_class(cols["denial_kind"], F.coalesce(reason, F.lit("")))).alias("denial"),
         F.when(is_user, interrupt_kind(cols["text"], cols["has_tool_result"])).alias("interrupt"),
         F.coalesce(is_human_turn(cols), F.lit(False)).alias("is_human"),

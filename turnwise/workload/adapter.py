@@ -40,7 +40,7 @@ def event_facts(events: DataFrame) -> DataFrame:
     session = F.expr(SESSION_KEY.format(day_div="(day(ts) - 1) div 10"))
     return events.select(
         session.cast("bigint").alias("session"), (F.col("user_id") % 3).alias("machine"),
-        "event_id", "ts", "user_id", "event_type", "value", k.alias("k"),
+        "event_id", F.col("ts").cast("timestamp").alias("ts"), "user_id", "event_type", "value", k.alias("k"),
     )
 
 
