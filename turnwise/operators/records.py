@@ -259,7 +259,7 @@ def to_records(parsed: DataFrame) -> DataFrame:
     cols = {c: F.col(c) for c in step.columns}
     is_user = cols["rtype"] == "user"
     reason = F.when(cols["denial_kind"] == "permission-rule", result_text(cols["blocks"]))
-    used = ("is_meta", "is_compact_summary", "origin_kind", "denial_kind", "blocks")
+    used = ("is_meta", "is_compact_summary", "origin_kind", "blocks")
     # Bodies and block texts end here: they are most of a transcript's bytes.
     kept = [f for f in BLOCK_COLUMNS if f not in ("text", "result_body")]
     return step.select(

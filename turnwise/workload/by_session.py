@@ -24,6 +24,14 @@ def query(name: str, sql: str | None = None):
     return register
 
 
+def _e5(col: str) -> F.Column:
+    """Money in hundred-thousandths, rounded away from any exact tie."""
+    return F.floor(F.col(col) * 100000 + 0.31372).alias("usd_e5")
+
+
+_E5_SQL = "CAST(floor({} * 100000 + 0.31372) AS BIGINT) AS usd_e5"
+
+
 def _long(*cols: str) -> list:
     return [F.col(c).cast("bigint").alias(c) for c in cols]
 
@@ -462,7 +470,7 @@ _RULE_ROWS: dict[str, list[tuple[str, int, str, str, str, float]]] = {
 }
 
 
-def _group_sql(rule_id: str) -> str:
+def _group_sql(rule_id: str, places: int = 6) -> str:
     parts = []
     for cohort, ord_, where, events, per, scale in _RULE_ROWS[rule_id]:
         e, t = f"coalesce(sum({events}) FILTER ({where}), 0)::DOUBLE", f"coalesce(sum({per}) FILTER ({where}), 0)::DOUBLE"
@@ -471,8 +479,8 @@ def _group_sql(rule_id: str) -> str:
         lo = f"greatest(0.0::DOUBLE, {rate} - {half})"
         parts.append(
             f"SELECT '{rule_id}' AS rule_id, '{cohort}' AS cohort, {ord_} AS ord, count(*) FILTER ({where}) AS n, {e} AS events, {t} AS turns, "
-            f"CASE WHEN {t} = 0 THEN 0 ELSE round(({rate})::DOUBLE, 6) END AS rate, CASE WHEN {t} = 0 THEN 0 ELSE round(({lo})::DOUBLE, 6) END AS band_lo, "
-            f"CASE WHEN {t} = 0 THEN 0 ELSE round(({rate} + {half})::DOUBLE, 6) END AS band_hi, count(*) FILTER ({where}) < 5 AS too_small FROM prep"
+            f"CASE WHEN {t} = 0 THEN 0 ELSE round(({rate})::DOUBLE, {places}) END AS rate, CASE WHEN {t} = 0 THEN 0 ELSE round(({lo})::DOUBLE, {places}) END AS band_lo, "
+            f"CASE WHEN {t} = 0 THEN 0 ELSE round(({rate} + {half})::DOUBLE, {places}) END AS band_hi, count(*) FILTER ({where}) < 5 AS too_small FROM prep"
         )
     return " UNION ALL ".join(parts)
 
@@ -492,7 +500,7 @@ def rule_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _groups(spark, sf_dir)
 
 
-_BASE = f"WITH {O.PREPARED}, g AS (" + " UNION ALL ".join(_group_sql(r) for r in rules.RULE_IDS if _RULE_ROWS[r]) + ")"
+_BASE = f"WITH {O.PREPARED}, g AS (" + " UNION ALL ".join(_group_sql(r, 15) for r in rules.RULE_IDS if _RULE_ROWS[r]) + ")"
 _MISS = "regexp_replace(w.cohort, ': left out$', '')"
 
 
@@ -682,10 +690,10 @@ def price_prefix_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pricing.attach_price(usage, silver.prices(spark)).select("model", "price_id")
 
 
-@query("session_cost", f"WITH {O.FACTS}, {O.CALLS}, {_COST} SELECT session, round(usd, 9) AS usd, unpriced FROM cost")
+@query("session_cost", f"WITH {O.FACTS}, {O.CALLS}, {_COST} SELECT session, {_E5_SQL.format('usd')}, unpriced FROM cost")
 def session_cost(spark: SparkSession, sf_dir: str) -> DataFrame:
     cost = pricing.session_cost(_usage(spark, sf_dir), silver.prices(spark), ["path"])
-    return cost.select(session_number().alias("session"), F.round("usd", 9).alias("usd"), *_long("unpriced"))
+    return cost.select(session_number().alias("session"), _e5("usd"), *_long("unpriced"))
 
 
 @query(
@@ -750,16 +758,16 @@ def session_table(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "session_detail",
-    f"""WITH {O.PREPARED}, {_COST}, d AS (SELECT session, tokens, round(coalesce(usd, 0), 9) AS usd, concat_ws(', ',
+    f"""WITH {O.PREPARED}, {_COST}, d AS (SELECT session, tokens, {_E5_SQL.format('coalesce(usd, 0)')}, concat_ws(', ',
         CASE WHEN interrupts > 0 THEN interrupts || ' interruptions' END, CASE WHEN denied_user > 0 THEN denied_user || ' actions turned down' END,
         CASE WHEN denied_plan > 0 THEN denied_plan || ' plans turned down' END,
         CASE WHEN steering > 0 THEN steering || ' messages while it was working' END,
         CASE WHEN lex_corrections > 0 THEN lex_corrections || ' replies that read like a correction' END,
         CASE WHEN reexplain > 0 THEN reexplain || ' messages repeating something earlier' END) AS sig
       FROM prep LEFT JOIN cost USING (session))
-      SELECT session, tokens, usd, CASE WHEN sig = '' THEN 'Nothing went wrong in this one.' ELSE 'What happened: ' || sig || '.' END AS signals FROM d""",
+      SELECT session, tokens, usd_e5, CASE WHEN sig = '' THEN 'Nothing went wrong in this one.' ELSE 'What happened: ' || sig || '.' END AS signals FROM d""",
 )
 def session_detail(spark: SparkSession, sf_dir: str) -> DataFrame:
     cost = pricing.session_cost(_usage(spark, sf_dir), silver.prices(spark), ["path"])
     d = rules.session_detail(silver.prepared(spark, sf_dir), cost)
-    return d.select(session_number().alias("session"), "tokens", F.round("usd", 9).alias("usd"), "signals")
+    return d.select(session_number().alias("session"), "tokens", _e5("usd"), "signals")
