@@ -28,10 +28,12 @@ def _replace_values(text: Column, values: Column) -> Column:
     return F.aggregate(values, text, lambda acc, v: F.replace(acc, v, F.lit(fixed.REDACTED)))
 
 
-def redact_listed(df: DataFrame, id_cols: Sequence[str], col: str, deny: DataFrame) -> DataFrame:
+def redact_listed(
+    df: DataFrame, id_cols: Sequence[str], col: str, deny: DataFrame, inline: int = INLINE_DENY_VALUES
+) -> DataFrame:
     """Replace every deny-listed value (column ``value`` of ``deny``) inside ``col``.
 
-    A list of up to ``INLINE_DENY_VALUES`` values (its size is checked first)
+    A list of up to ``inline`` values (its size is checked first)
     becomes literals in the expression.  A longer list is matched by join, in
     two exact steps: a value can only occur where its first ``DENY_MIN_CHARS``
     characters occur, so texts are exploded into their distinct windows of that
@@ -40,8 +42,8 @@ def redact_listed(df: DataFrame, id_cols: Sequence[str], col: str, deny: DataFra
     Values with spaces and values inside longer words are found too.
     """
     listed = deny.select("value").filter(F.length("value") >= fixed.DENY_MIN_CHARS).distinct()
-    small = listed.limit(INLINE_DENY_VALUES + 1).collect()
-    if len(small) <= INLINE_DENY_VALUES:
+    small = listed.limit(inline + 1).collect()
+    if len(small) <= inline:
         values = sorted((r.value for r in small), key=lambda v: (-len(v), v))
         if not values:
             return df

@@ -1 +1 @@
-"""plans."""
+"""End-to-end plans: from files to published tables."""

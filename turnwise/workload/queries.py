@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from turnwise.session import SETTINGS
-from turnwise.workload import by_session
+from turnwise.workload import by_session, by_tables, by_text
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -22,7 +22,7 @@ def _configured(query: Query) -> Query:
 
 
 def modules() -> list:
-    return [by_session]
+    return [by_session, by_text, by_tables]
 
 
 def queries() -> dict[str, Query]:
