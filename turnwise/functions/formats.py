@@ -78,7 +78,7 @@ def byte_size(n: Column) -> Column:
 
 
 def percent(value: Column) -> Column:
-    return F.when(value.isNull(), "n/a").otherwise(F.format_string("%.0f%%", value.cast("double")))
+    return F.when(value.isNull(), "n/a").otherwise(F.format_string("%.0f%%", F.bround(value.cast("double"), 0)))
 
 
 def dollars(value: Column) -> Column:

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from turnwise import fixed
 from turnwise.functions import formats, text as X
 from turnwise.operators.ordering import (
-    Ordering, by_number, first_by, latest, previous, running_max, running_min, running_sum, scan, top_k, total,
+    Fold, Ordering, by_number, first_by, latest, previous, running_max, running_min, running_sum, scan, top_k, total,
 )
 
 
@@ -160,46 +160,43 @@ def peak_and_final(df: DataFrame, o: Ordering, value: str, label: str) -> DataFr
     )
 
 
-def downsample_series(df: DataFrame, o: Ordering, x: str, y: str, target: int = fixed.SERIES_POINTS) -> DataFrame:
-    """At most ``target`` points per key: evenly spaced, both ends, and the true peak.
+def series_folds(y: str) -> dict[str, Fold]:
+    """What a series needs to know about each point: its number, how many there are, the peak."""
+    return {"__i": running_sum(F.lit(1)), "__n": total(F.sum, F.lit(1)), "__top": total(F.max, F.col(y))}
 
-    The peak takes the middle slot when the stride missed it.  Points are
-    numbered by a scan and dropped before anything is collected.
-    """
-    numbered = scan(
-        df.select(*o.keys, *dict.fromkeys([*o.order, x, y])),
-        o,
-        __i=running_sum(F.lit(1)),
-        __n=total(F.sum, F.lit(1)),
-        __top=total(F.max, F.col(y)),
-    )
+
+def series_aggregates(x: str, y: str, target: int = fixed.SERIES_POINTS) -> list[Column]:
+    """Per key: the evenly spaced points and the first peak; every other point is dropped row by row."""
     i, n = F.col("__i") - 1, F.col("__n")
     step = (n - 1) / F.lit(float(target - 1))
-    slot = F.round(i / step)
-    on_stride = F.bround(slot * step, 0) == i
-    kept = numbered.withColumn("__slot", F.when(n <= target, i).when(on_stride, slot).cast("int"))
-    point = F.struct(F.col(x).alias("x"), F.col("__slot").alias("slot"), F.col(y).alias("y"))
-    gathered = (
-        kept.filter(F.col("__slot").isNotNull() | (F.col(y) == F.col("__top")))
-        .groupBy(*o.keys)
-        .agg(
-            F.collect_list(F.when(F.col("__slot").isNotNull(), point)).alias("__points"),
-            F.min_by(F.struct(F.col(x).alias("x"), F.col(y).alias("y")), F.when(F.col(y) == F.col("__top"), F.col("__i"))).alias("__peak"),
-        )
-    )
+    near = F.round(i / step)
+    slot = F.when(n <= target, i).when(F.bround(near * step, 0) == i, near).cast("int")
+    point = F.struct(F.col(x).alias("x"), slot.alias("slot"), F.col(y).alias("y"))
+    return [
+        F.collect_list(F.when(slot.isNotNull(), point)).alias("__points"),
+        F.min_by(F.struct(F.col(x).alias("x"), F.col(y).alias("y")), F.when(F.col(y) == F.col("__top"), F.col("__i"))).alias("__peak"),
+    ]
+
+
+def series_column(target: int = fixed.SERIES_POINTS) -> Column:
+    """The finished series; the peak takes the middle slot when the stride missed it."""
     has_peak = F.exists("__points", lambda p: (p["x"] == F.col("__peak.x")) & (p["y"] == F.col("__peak.y")))
-    middle = target // 2
     swapped = F.transform(
         "__points",
         lambda p: F.when(
-            p["slot"] == middle,
+            p["slot"] == target // 2,
             F.struct(F.col("__peak.x").alias("x"), p["slot"].alias("slot"), F.col("__peak.y").alias("y")),
         ).otherwise(p),
     )
     ordered = F.array_sort(F.when(has_peak, F.col("__points")).otherwise(swapped))
-    return gathered.select(
-        *o.keys, F.transform(ordered, lambda p: F.struct(p["x"].alias("min"), p["y"].alias("ctx"))).alias("series")
-    )
+    return F.transform(ordered, lambda p: F.struct(p["x"].alias("min"), p["y"].alias("ctx")))
+
+
+def downsample_series(df: DataFrame, o: Ordering, x: str, y: str, target: int = fixed.SERIES_POINTS) -> DataFrame:
+    """At most ``target`` points per key: evenly spaced, both ends, and the true peak."""
+    numbered = scan(df.select(*o.keys, *dict.fromkeys([*o.order, x, y])), o, **series_folds(y))
+    gathered = numbered.groupBy(*o.keys).agg(*series_aggregates(x, y, target))
+    return gathered.select(*o.keys, series_column(target).alias("series"))
 
 
 def match_results(df: DataFrame, o: Ordering, id_col: str, is_use: Column, carry: Sequence[str]) -> DataFrame:

@@ -9,11 +9,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from turnwise import fixed
-from turnwise.functions import formats, text as X
+from turnwise.functions import formats, redact, text as X
 from turnwise.operators import ordered, records as R
 from turnwise.operators.ordered import count_if
 from turnwise.operators.ordering import (
-    LINES, SEGMENT_ROWS, Ordering, first_by, latest, previous, running_max, running_min, running_sum, scan,
+    LINES, SEGMENT_ROWS, Ordering, previous, running_max, running_min, running_sum, scan,
 )
 from turnwise.schemas import COUNTERS
 from turnwise.session import materialize
@@ -129,15 +129,22 @@ def model_map(usage: DataFrame, keys: Sequence[str], out: str = "by_model") -> D
     return usage.groupBy(*keys).agg(F.map_from_entries(F.array_sort(F.collect_list(entry))).alias(out))
 
 
-def context_stats(calls: DataFrame) -> DataFrame:
-    """Peak, final value and cache resets of the context carried into calls."""
-    sized = calls.filter("ctx > 0").withColumn("cr", F.col("usage.cr"))
-    seen = ordered.counter_resets(sized, LINES, "cr")
-    return seen.groupBy("path").agg(
-        count_if(F.col("is_reset")).alias("cache_resets"),
-        F.max("ctx").alias("ctx_peak"),
-        F.max_by("model", F.struct("ctx", -F.col("line_no"))).alias("peak_model"),
-        F.max_by("ctx", "line_no").alias("ctx_final"),
+def context_profile(calls: DataFrame) -> DataFrame:
+    """Context carried into calls: resets, peak, final value and the thinned series, in one scan."""
+    sized = calls.filter("ctx > 0").select("path", "line_no", "model", "minutes_in", "ctx", F.col("usage.cr").alias("cr"))
+    seen = scan(sized, LINES, __prev=previous(F.col("cr")), **ordered.series_folds("ctx"))
+    fell = (F.col("__prev") != 0) & (F.col("cr") < F.col("__prev") * fixed.RESET_RATIO)
+    return (
+        seen.groupBy("path")
+        .agg(
+            count_if(fell).alias("cache_resets"),
+            F.max("ctx").alias("ctx_peak"),
+            F.max_by("model", F.struct("ctx", -F.col("line_no"))).alias("peak_model"),
+            F.max_by("ctx", "line_no").alias("ctx_final"),
+            *ordered.series_aggregates("minutes_in", "ctx"),
+        )
+        .withColumn("ctx_series", ordered.series_column())
+        .drop("__points", "__peak")
     )
 
 
@@ -167,6 +174,10 @@ def signal_counts(state: DataFrame) -> DataFrame:
         F.bool_or("plans").alias("plan_mode"),
         F.bround(F.coalesce(F.sum("gap"), F.lit(0.0)) / 60.0, 1).alias("active_min"),
         F.max("minutes_in").alias("wall_min"),
+        F.transform(
+            F.array_sort(F.collect_list(F.when(human & (F.col("turn_no") <= fixed.TURN_MINUTES_KEPT), F.struct("turn_no", "minutes_in")))),
+            lambda p: p["minutes_in"],
+        ).alias("turn_min"),
         F.transform(
             F.array_sort(F.collect_list(F.when(F.col("is_boundary"), boundary))),
             lambda c: F.struct(*[c[f].alias(f) for f in ("trigger", "pre", "post", "dropped", "at_min", "turn_index")]),
@@ -187,16 +198,14 @@ def repeat_counts(records: DataFrame, state: DataFrame, max_shingles: int | None
     )
 
 
-def first_turn(records: DataFrame) -> DataFrame:
+def opening_columns(text: Column) -> list[Column]:
     """Features of the opening message, and the kind of session it starts."""
-    opening = first_by(records.filter("is_human").select("path", "line_no", "text"), ["path"], F.col("line_no"))
-    text = F.col("text")
     excerpt = F.substring(X.collapse(F.substring(text, 1, fixed.EXCERPT_CHARS * 3)), 1, fixed.EXCERPT_CHARS)
-    return opening.select(
-        "path", X.session_kind(text).alias("kind"),
+    return [
+        X.session_kind(text).alias("kind"),
         *[c.alias(name) for name, c in X.first_prompt_features(text).items()],
-        excerpt.alias("fp_excerpt"),
-    )
+        redact.redact(excerpt).alias("fp_excerpt"),
+    ]
 
 
 def tool_events(records: DataFrame) -> DataFrame:
@@ -231,10 +240,19 @@ def tool_results(events: DataFrame) -> DataFrame:
 
 def tool_usage(events: DataFrame, results: DataFrame) -> DataFrame:
     """Calls, errors and returned size per transcript and tool."""
-    uses = events.filter("is_use").select("path", "tool", F.lit(1).alias("n"), F.lit(0).alias("err"), F.lit(0).cast("bigint").alias("size"), F.lit(0).alias("got"))
-    got = results.select("path", "tool", F.lit(0).alias("n"), F.col("is_error").cast("int").alias("err"), F.col("result_chars").alias("size"), F.lit(1).alias("got"))
+    zero = F.lit(0)
+    fine = ~F.col("is_error")
+    uses = events.filter("is_use").select(
+        "path", "tool", F.lit(1).alias("n"), zero.alias("err"), zero.cast("bigint").alias("size"), zero.alias("got"),
+        F.lit(False).alias("test"), F.lit(False).alias("commit"),
+    )
+    got = results.select(
+        "path", "tool", zero.alias("n"), F.col("is_error").cast("int").alias("err"), F.col("result_chars").alias("size"), F.lit(1).alias("got"),
+        (F.col("is_test") & fine).alias("test"), (F.col("is_commit") & fine).alias("commit"),
+    )
     return uses.unionByName(got).groupBy("path", "tool").agg(
-        F.sum("n").alias("calls"), F.sum("err").alias("errors"), F.sum("size").alias("result_chars"), F.sum("got").alias("results")
+        F.sum("n").alias("calls"), F.sum("err").alias("errors"), F.sum("size").alias("result_chars"), F.sum("got").alias("results"),
+        count_if(F.col("test")).alias("tests_run"), count_if(F.col("commit")).alias("git_commits"),
     )
 
 
@@ -252,10 +270,12 @@ def _count_map(df: DataFrame, name: str, value: str, out: str, keep: Column) ->
 
 
 def tool_maps(usage: DataFrame) -> DataFrame:
+    """Published per-tool maps and the shell outcome counts, from one row per tool."""
     return usage.groupBy("path").agg(
         _count_map(usage, "tool", "calls", "tools", F.col("calls") > 0),
         _count_map(usage, "tool", "errors", "tool_err", F.col("errors") > 0),
         _count_map(usage, "tool", "result_chars", "tool_bytes", F.col("results") > 0),
+        F.sum("tests_run").alias("tests_run"), F.sum("git_commits").alias("git_commits"),
     )
 
 
@@ -264,26 +284,27 @@ def effort_map(state: DataFrame) -> DataFrame:
     return counted.groupBy("path").agg(_count_map(counted, "effort", "n", "effort", F.lit(True)))
 
 
-def _in_sight_order(df: DataFrame, item: str, out: str) -> DataFrame:
-    distinct = df.groupBy("path", item).agg(F.min("at").alias("at"))
-    pairs = F.array_sort(F.collect_list(F.struct("at", item)))
-    return distinct.groupBy("path").agg(F.transform(pairs, lambda p: p[item]).alias(out))
+def sighted_sets(records: DataFrame, events: DataFrame) -> DataFrame:
+    """Distinct skills and pull requests, each in order of first sight.
 
-
-def skills_used(records: DataFrame, events: DataFrame) -> DataFrame:
-    """Distinct skills, in order of first sight (attributed before called)."""
+    A skill attributed to a record is seen before the skills it calls.
+    """
     attributed = records.filter((F.col("rtype") == "assistant") & F.col("attribution_skill").isNotNull()).select(
-        "path", F.struct("line_no", F.lit(-1).alias("pos")).alias("at"), F.col("attribution_skill").alias("skill")
+        "path", F.lit("skill").alias("kind"), F.col("attribution_skill").alias("item"), F.struct("line_no", F.lit(-1).alias("pos")).alias("at")
     )
     called = events.filter((F.col("tool") == fixed.SKILL_TOOL) & (F.col("skill") != "")).select(
-        "path", F.struct("line_no", "pos").alias("at"), "skill"
+        "path", F.lit("skill").alias("kind"), F.col("skill").alias("item"), F.struct("line_no", "pos").alias("at")
     )
-    return _in_sight_order(attributed.unionByName(called), "skill", "skills")
+    links = records.filter((F.col("rtype") == "pr-link") & F.col("pr_number").isNotNull()).select(
+        "path", F.lit("pr").alias("kind"), F.col("pr_number").cast("string").alias("item"), F.struct("line_no", F.lit(0).alias("pos")).alias("at")
+    )
+    first = attributed.unionByName(called).unionByName(links).groupBy("path", "kind", "item").agg(F.min("at").alias("at"))
 
+    def of(kind: str) -> Column:
+        pairs = F.array_sort(F.collect_list(F.when(F.col("kind") == kind, F.struct("at", "item"))))
+        return F.transform(pairs, lambda p: p["item"])
 
-def pr_numbers(records: DataFrame) -> DataFrame:
-    links = records.filter((F.col("rtype") == "pr-link") & F.col("pr_number").isNotNull())
-    return _in_sight_order(links.select("path", F.col("line_no").alias("at"), "pr_number"), "pr_number", "pr_numbers")
+    return first.groupBy("path").agg(of("skill").alias("skills"), of("pr").cast("array<bigint>").alias("pr_numbers"))
 
 
 def session_meta(records: DataFrame) -> DataFrame:
@@ -300,6 +321,7 @@ def session_meta(records: DataFrame) -> DataFrame:
         F.max_by("ts_str", "ts").alias("latest_ts"),
         F.max("ts").alias("latest_at"),
         F.max_by("continued_in", F.when(F.col("rtype") == "continued-in", where)).alias("continued_in"),
+        F.min_by("text", F.when(F.col("is_human"), where)).alias("opening"),
     )
 
 
@@ -319,28 +341,20 @@ def build_sessions(
     events = tool_events(records)
     results = tool_results(events)
     usage = tool_usage(events, results)
-    minutes = ordered.turn_minutes(state.filter("is_human"), ["path"], "turn_no", "minutes_in")
-    series = ordered.downsample_series(calls.filter("ctx > 0"), LINES, "minutes_in", "ctx").withColumnRenamed("series", "ctx_series")
-
     parts = [
-        session_meta(records), signal_counts(state), repeat_counts(records, state, max_shingles),
-        first_turn(records), context_stats(calls), series, minutes,
-        model_map(usage_by_model(calls), ["path"]), tool_maps(usage), outcome_counts(results),
-        effort_map(state), skills_used(records, events), pr_numbers(records),
+        session_meta(records), signal_counts(state), repeat_counts(records, state, max_shingles), context_profile(calls),
+        model_map(usage_by_model(calls), ["path"]), tool_maps(usage), effort_map(state), sighted_sets(records, events),
     ]
     out = reduce(lambda a, b: a.join(b, "path", "left"), parts)
+    kept = [c for c in out.columns if c != "opening"]
+    out = out.select(*kept, *opening_columns(F.col("opening")))
     zeros = (
         "reexplain", "reexplain_after_compaction", "cache_resets", "ctx_peak", "ctx_final", "tests_run", "git_commits",
     )
+    empty = {"ctx_series": "array<struct<min:double,ctx:bigint>>", "skills": "array<string>", "pr_numbers": "array<bigint>"}
     out = out.withColumns({c: F.coalesce(c, F.lit(0)) for c in zeros}).withColumns(
-        {
-            "ctx_window": R.model_window(F.col("peak_model")),
-            "ctx_series": F.coalesce("ctx_series", F.array().cast("array<struct<min:double,ctx:bigint>>")),
-            "turn_min": F.coalesce("turn_min", F.array().cast("array<double>")),
-            "skills": F.coalesce("skills", F.array().cast("array<string>")),
-            "pr_numbers": F.coalesce("pr_numbers", F.array().cast("array<bigint>")),
-        }
-    )
+        {c: F.coalesce(c, F.array().cast(t)) for c, t in empty.items()}
+    ).withColumn("ctx_window", R.model_window(F.col("peak_model")))
     if not publish_excerpt:
         out = out.drop("fp_excerpt")
     out = out.filter(F.col("sid").isNotNull())

@@ -313,7 +313,8 @@ def usage_by_model(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def tool_usage(spark: SparkSession, sf_dir: str) -> DataFrame:
     ev = S.tool_events(silver.records(spark, sf_dir))
-    return S.tool_usage(ev, S.tool_results(ev)).withColumn("session", session_number()).drop("path")
+    usage = S.tool_usage(ev, S.tool_results(ev))
+    return usage.select(session_number().alias("session"), "tool", "calls", "errors", "result_chars", "results")
 
 
 @query(
@@ -341,7 +342,7 @@ def session_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
         "path", F.coalesce(F.try_element_at("effort", F.lit("high")), F.when(F.col("effort").isNotNull(), 0)).alias("high"),
         F.coalesce(F.try_element_at("effort", F.lit("low")), F.when(F.col("effort").isNotNull(), 0)).alias("low"),
     )
-    skills = S.skills_used(rec, S.tool_events(rec)).select("path", F.array_join("skills", ",").alias("skills"))
+    skills = S.sighted_sets(rec, S.tool_events(rec)).select("path", F.array_join("skills", ",").alias("skills"))
     return efforts.join(skills, "path", "full").select(session_number().alias("session"), "high", "low", "skills")
 
 
