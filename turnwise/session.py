@@ -19,6 +19,9 @@ SETTINGS = {
 }
 
 
+_LOCAL_ROOTS: dict[str, str] = {}
+
+
 def local_session(cores: int | str = "*", partitions: int = 8, app: str = "turnwise") -> SparkSession:
     """A local session for tests and benchmarks."""
     builder = (
@@ -41,16 +44,15 @@ def scratch_root(spark: SparkSession) -> str:
     A cluster names it in ``spark.checkpoint.dir``.  Only a local session, whose
     single machine holds every task, may fall back to a temporary folder.
     """
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get(
-        "spark.checkpoint.dir"
-    )
+    named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
-    fresh = tempfile.mkdtemp(prefix="turnwise-")
-    spark.conf.set("spark.checkpoint.dir", fresh)
-    return fresh
+    app = spark.sparkContext.applicationId
+    if app not in _LOCAL_ROOTS:
+        _LOCAL_ROOTS[app] = tempfile.mkdtemp(prefix="turnwise-")
+    return _LOCAL_ROOTS[app]
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
