@@ -11,7 +11,10 @@ from turnwise.session import local_session  # noqa: E402
 
 @pytest.fixture(scope="session")
 def spark():
-    session = local_session(4, partitions=4)
+    session = local_session(4, partitions=2)
+    # Hundreds of tiny plans: compiling each of them would dominate the run.
+    session.conf.set("spark.sql.codegen.wholeStage", "false")
+    session.conf.set("spark.sql.codegen.factoryMode", "NO_CODEGEN")
     yield session
     session.stop()
 

@@ -1,122 +1,169 @@
+"""Session signals.  Every scenario yields its transcripts and gets the finished rows back;
+all transcripts are assembled in one run, as one table."""
+
+import pytest
 from conftest import Log, tool, use
 from pyspark.sql import functions as F
 
 from turnwise.operators import sessions as S
+from turnwise.operators.records import read_records
+from turnwise.session import materialize
+
+SCENARIOS = {}
+
 
+def scenario(fn):
+    SCENARIOS[fn.__name__] = fn
+    return fn
 
-def test_usage_is_counted_once_per_message_however_late_it_returns(session):
+
+@scenario
+def usage_is_counted_once_per_message_however_late_it_returns():
     log = Log().human("start")
     for _ in range(3):
         log.call("m1", use(cr=10, out=5), [tool("Read", "t0")])
     for k in range(50):
         log.call(f"n{k}", use(out=1))
     log.call("m1", use(cr=10, out=5)).call(None, use(out=2)).call(None, use(out=2))
-    s = session(log)
+    s = yield log
     assert s.by_model["big-1"]["calls"] == 53 and s.by_model["big-1"]["out"] == 5 + 50 + 4
     assert s.tool_calls_total == 3 and s.tools == {"Read": 3}
 
 
-def test_first_record_of_an_id_wins_even_without_usage(session):
-    s = session(Log().human("x").call("m").call("m", use(out=9)))
+@scenario
+def first_record_of_an_id_wins_even_without_usage():
+    s = yield Log().human("x").call("m").call("m", use(out=9))
     assert s.by_model is None
 
 
-def test_cache_reset_peak_and_final(session):
+@scenario
+def cache_reset_peak_and_final():
     log = Log().human("x")
     for i, cr in enumerate((100000, 110000, 2000)):
         log.call(f"m{i}", use(cr=cr), model=f"model-{i}")
-    s = session(log)
+    s = yield log
     assert (s.cache_resets, s.ctx_peak, s.ctx_final, s.peak_model) == (1, 110000, 2000, "model-1")
 
 
-def test_hard_signals_and_first_correction(session):
+@scenario
+def hard_signals_and_first_correction():
     log = Log().steer().human("one").human("two").human("[Request interrupted by user for tool use]")
     log.result("a", "no", toolDenialKind="user-rejected").result("b", "x", toolDenialKind="hook")
-    s = session(log)
+    s = yield log
     assert (s.steering, s.interrupts, s.interrupts_tool, s.denied_user, s.denied_auto, s.human_turns) == (1, 1, 1, 1, 1, 2)
     assert s.first_correction_turn == 1
 
 
-def test_automatic_denials_are_not_corrections(session):
-    s = session(Log().human("one").result("b", "x", toolDenialKind="hook"))
+@scenario
+def automatic_denials_are_not_corrections():
+    s = yield Log().human("one").result("b", "x", toolDenialKind="hook")
     assert s.denied_auto == 1 and s.first_correction_turn is None
 
 
-def test_lexicon_needs_a_follow_up_and_honours_exclusions(session):
+@scenario
+def lexicon_needs_a_follow_up_and_honours_exclusions():
     log = Log().human("no, start over").human("No worries, fine").human("noé").human("  Actually use the other one").human("nothing")
-    s = session(log)
+    s = yield log
     assert s.lex_corrections == 1 and s.first_correction_turn == 4
 
 
-def test_repeated_wording_and_its_memory(session):
+@scenario
+def repeated_wording():
     text = "please rename the function in the parser module now"
-    log = Log().human(text).human("something else entirely that is new and long enough").human("again: " + text).human("short one")
-    assert session(log).reexplain == 1
-    assert session(log, max_shingles=None).reexplain == 1
-    log = Log().human("a b c d e f").human("g h i j k l").human("g h i j k l").human("a b c d e f")
-    assert session(log, max_shingles=1).reexplain == 1
-    assert session(log, max_shingles=2).reexplain == 2
+    s = yield Log().human(text).human("something else entirely that is new and long enough").human("again: " + text).human("short one")
+    assert s.reexplain == 1
 
 
-def test_compaction_retries_and_window(session):
+@scenario
+def compaction_retries_and_window():
     log = Log().human("t0").compact(900, 10).compact(900, 10)
     for k in range(7):
         log.human(f"turn {k} words that differ {k}")
     log.compact(800, 20, "manual").human("[Request interrupted by user]").human("last")
-    s = session(log)
+    s = yield log
     assert [(c.trigger, c.pre, c.turn_index) for c in s.compactions] == [("auto", 900, 1), ("manual", 800, 8)]
     assert s.turns_after_compaction == 5 + 1 and s.interrupts_after_compaction == 1
 
 
-def test_null_boundaries_compare_equal(session):
-    log = Log().human("x").add(type="system", subtype="compact_boundary", compactMetadata={}).add(type="system", subtype="compact_boundary")
-    assert len(session(log).compactions) == 1
+@scenario
+def null_boundaries_compare_equal():
+    log = Log().human("x").add(type="system", subtype="compact_boundary", compactMetadata={})
+    s = yield log.add(type="system", subtype="compact_boundary")
+    assert len(s.compactions) == 1
 
 
-def test_tools_results_and_outcomes(session):
+@scenario
+def tools_results_and_outcomes():
     log = Log().human("x").call("m", None, [tool("Bash", "t1", command="python -m pytest -q"), tool("Bash", "t2", command="git  commit -m x"), tool("Edit", "t3")])
     log.result("t1", "ok").result("t2", "bad", True).result("t3", "abc").result("t3", "again").result("zz", "??")
-    s = session(log)
+    s = yield log
     assert (s.tests_run, s.git_commits) == (1, 0)
     assert s.tool_bytes == {"Bash": 5, "Edit": 3, "unknown": 7} and s.tool_err == {"Bash": 1}
     assert s.first_edit_turn == 1
 
 
-def test_asking_planning_skills_and_pull_requests(session):
+@scenario
+def asking_planning_skills_and_pull_requests():
     log = Log().human("x", permissionMode="plan").call("a", None, [tool("Skill", "k", skill="beta")], attributionSkill="alpha", effort="high")
     log.call("b", None, [tool("AskUserQuestion", "q")], attributionSkill="alpha", effort="high")
     log.add(type="pr-link", prNumber=7).add(type="pr-link", prNumber=3).add(type="pr-link", prNumber=7)
     log.add(type="continued-in", continuedInSessionId="next")
-    s = session(log)
+    s = yield log
     assert s.plan_mode and s.askuser == 1 and s.first_ask_turn == 1
     assert s.skills == ["alpha", "beta"] and s.effort == {"high": 2} and s.pr_numbers == [7, 3] and s.continued_in == "next"
 
 
-def test_active_time_skips_long_pauses_and_series_keeps_the_peak(session):
-    log = Log().human("x").at(5).human("y").at(305).human("z")
-    s = session(log)
-    assert s.active_min == 5.0 and s.wall_min == 305.0 and s.turn_min == [0.0, 5.0, 305.0]
+@scenario
+def active_time_skips_long_pauses_and_series_keeps_the_peak():
+    pauses = Log().human("x").at(5).human("y").at(305).human("z")
     log = Log().human("x")
     for i in range(200):
         log.at(i).call(f"m{i}", use(inp=10 + i if i != 57 else 9999))
-    series = session(log).ctx_series
+    s, t = yield pauses, log
+    assert s.active_min == 5.0 and s.wall_min == 305.0 and s.turn_min == [0.0, 5.0, 305.0]
+    series = t.ctx_series
     assert len(series) == 32 and max(p.ctx for p in series) == 9999
     assert (series[0]["min"], series[-1]["min"]) == (0.0, 199.0) and series == sorted(series, key=lambda p: p["min"])
 
 
-def test_opening_features_kind_and_excerpt(session):
-    s = session(Log().human("/judge-sessions now").human("more"))
-    assert s.kind == "judge" and s.slash_cmd
+@scenario
+def opening_features_kind_and_excerpt():
     log = Log().human("In src/app.py do not touch tests. Should the plan pass?  key sk-ant-abcdefghijklmnop")
-    s = session(log, publish_excerpt=True)
+    r, s = yield Log().human("/judge-sessions now").human("more"), log
+    assert r.kind == "judge" and r.slash_cmd
     assert s.has_path and s.has_constraint and s.has_done_criterion and s.mentions_plan and not s.is_question
     assert "sk-ant" not in s.fp_excerpt and "«redacted»" in s.fp_excerpt
-    assert not hasattr(session(log), "fp_excerpt")
 
 
-def test_two_files_with_one_session_id_are_two_sessions(session):
-    got = session(Log("s", "/a.jsonl").human("x"), Log("s", "/b.jsonl").human("y"))
-    assert set(got) == {"/a.jsonl", "/b.jsonl"}
+@scenario
+def two_files_with_one_session_id_are_two_sessions():
+    a, b = yield Log("same").human("x"), Log("same").human("y")
+    assert a.sid == b.sid and a.path != b.path
+
+
+@pytest.fixture(scope="module")
+def assembled(spark):
+    running, rows = {}, []
+    for name, fn in SCENARIOS.items():
+        gen = fn()
+        logs = next(gen)
+        logs = logs if isinstance(logs, tuple) else (logs,)
+        for i, log in enumerate(logs):
+            rows += [(f"/{name}/{i}", n, v) for _, n, v in log.rows]
+        running[name] = (gen, len(logs))
+    lines = spark.createDataFrame(rows, "path string, line_no bigint, value string")
+    records = materialize(read_records(lines), "t")
+    done = {r.path: r for r in S.build_sessions(records, publish_excerpt=True).collect()}
+    return running, done
+
+
+@pytest.mark.parametrize("name", list(SCENARIOS) or ["none"])
+def test_scenario(name, assembled):
+    running, done = assembled
+    gen, n = running[name]
+    got = [done[f"/{name}/{i}"] for i in range(n)]
+    with pytest.raises(StopIteration):
+        gen.send(got[0] if n == 1 else got)
 
 
 def test_subagents_roll_up_once(spark, records):
@@ -135,16 +182,12 @@ def test_resume_link_takes_the_last_predecessor(spark):
     assert got == {"s1": None, "s2": None, "s3": "s2", "s4": None}
 
 
-def test_empty_input(session, spark):
-    from turnwise.operators.records import read_records
-
+def test_empty_input(spark):
     empty = spark.createDataFrame([], "path string, line_no bigint, value string")
     assert S.build_sessions(read_records(empty)).count() == 0
 
 
-def test_feed_window_and_lifetime(session, records, spark):
-    from turnwise.session import materialize
-
+def test_feed_window_and_lifetime(records):
     s = materialize(S.build_sessions(materialize(records(Log().human("x").call("m", use(out=3))), "t")), "s")
     now = F.lit("2027-06-01").cast("timestamp")
     assert S.recent(s, now).count() == 0 and S.lifetime_totals(s).first().out == 3
