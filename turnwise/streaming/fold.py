@@ -97,7 +97,8 @@ class SessionFold(StatefulProcessor):
         batch = batch[batch["line_no"] >= s["next_line"]].drop_duplicates("line_no")
         if len(batch):
             calls = batch[batch["call"].notna()].drop_duplicates("call")
-            fresh = calls[[not self.ids.containsKey((c,)) for c in calls["call"]]]
+            known = pd.Series([self.ids.containsKey((c,)) for c in calls["call"]], index=calls.index, dtype=bool)
+            fresh = calls[~known]
             for c, line in zip(fresh["call"], fresh["line_no"]):
                 if not c.startswith("\0"):
                     self.ids.updateValue((c,), (int(line),))
