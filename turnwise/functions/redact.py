@@ -50,14 +50,17 @@ def redact_listed(
         return df.withColumn(col, _replace_values(F.col(col), F.array(*[F.lit(v) for v in values])))
 
     width = fixed.DENY_MIN_CHARS
-    starts = F.when(F.length(col) >= width, F.sequence(F.lit(1), F.length(col) - (width - 1))).otherwise(
-        F.array().cast("array<int>")
-    )
+
+    def runs(chars: Column) -> Column:
+        starts = F.when(F.size(chars) >= width, F.sequence(F.lit(1), F.size(chars) - (width - 1))).otherwise(
+            F.array().cast("array<int>")
+        )
+        return F.transform(starts, lambda i: F.xxhash64(F.array_join(F.slice(chars, i, width), "")))
+
     keys = list(id_cols)
-    windows = df.select(
-        *keys,
-        F.explode(F.array_distinct(F.transform(starts, lambda i: F.xxhash64(F.substring(F.col(col), i, F.lit(width)))))).alias("h"),
-    )
+    # Cut into characters once per text: substring() would walk it again for every position.
+    hashes = F.flatten(F.transform(F.array(F.split(F.col(col), "")), runs))
+    windows = df.select(*keys, F.explode(F.array_distinct(hashes)).alias("h"))
     prefixes = listed.select(F.xxhash64(F.substring("value", 1, width)).alias("h"), "value")
     candidates = windows.join(prefixes, "h").select(*keys, "value").distinct()
     confirmed = (

@@ -13,13 +13,14 @@ SETTINGS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
+    # Split a skewed join side even where that adds a shuffle after it.
+    "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.variant.allowDuplicateKeys": "true",
     "spark.sql.sources.partitionOverwriteMode": "dynamic",
-    # Call-site capture costs more than planning itself for wide plans.
-    "spark.python.sql.dataFrameDebugging.enabled": "false",
-    "spark.sql.dataFrameQueryContext.enabled": "false",
 }
+# Fixed at start-up.  Call-site capture costs more than planning wide plans.
+STATIC_SETTINGS = {"spark.python.sql.dataFrameDebugging.enabled": "false"}
 
 
 _LOCAL_ROOTS: dict[str, str] = {}
@@ -34,13 +35,20 @@ def local_session(cores: int | str = "*", partitions: int = 8, app: str = "turnw
         .config("spark.driver.memory", "8g")
         .config("spark.sql.shuffle.partitions", str(partitions))
     )
-    for name, value in SETTINGS.items():
+    for name, value in {**SETTINGS, **STATIC_SETTINGS}.items():
         builder = builder.config(name, value)
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     return spark
 
 
+def configure(spark: SparkSession) -> None:
+    """Apply the runtime settings to a session made elsewhere."""
+    for name, value in SETTINGS.items():
+        if spark.conf.isModifiable(name):
+            spark.conf.set(name, value)
+
+
 def scratch_root(spark: SparkSession) -> str:
     """The shared folder for written intermediate tables.
 

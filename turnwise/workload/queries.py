@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from turnwise.session import SETTINGS
+from turnwise.session import configure
 from turnwise.workload import by_session, by_tables, by_text
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -14,8 +14,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 def _configured(query: Query) -> Query:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        for name, value in SETTINGS.items():
-            spark.conf.set(name, value)
+        configure(spark)
         return query(spark, sf_dir)
 
     return run
