@@ -71,22 +71,19 @@ def repeated_wording(
     """Flag turns that share an n-word run with an earlier turn of the same key.
 
     A turn is new exactly when it is the first holder of every one of its runs.
-    So each run finds its first holder with a map-side combined ``min`` (no
-    self-join and no window, however common a run is), and first holders are
-    counted per turn.  ``max_shingles`` stops remembering new turns once that
-    many runs are stored.
+    So each run finds its first holder with a map-side combined ``min`` over
+    plain numbers (a hash aggregate: no self-join, no window, no sort, however
+    common a run is), and a turn repeats when it is first for fewer runs than
+    it has.  ``max_shingles`` stops remembering new turns once that many runs
+    are stored.
     """
     keys = list(keys)
-    runs = df.select(*keys, turn, X.shingles(F.col(text), n).alias("__runs"))
-    held = runs.select(*keys, turn, F.size("__runs").alias("__size"), F.explode("__runs").alias("__run"))
-    firsts = held.groupBy(*keys, "__run").agg(F.min(F.struct(turn, "__size")).alias("__first"))
-    per_turn = firsts.groupBy(*keys, F.col(f"__first.{turn}").alias(turn), F.col("__first.__size").alias("__size")).agg(
-        F.count("*").alias("__new")
-    )
-    new = per_turn.filter(F.col("__new") == F.col("__size")).select(*keys, turn, F.lit(True).alias("__is_new"))
-    has_runs = F.size(X.words(F.col(text))) >= n
-    flagged = df.select(*keys, turn, has_runs.alias("__has_runs")).join(new, [*keys, turn], "left")
-    repeated = F.col("__has_runs") & F.col("__is_new").isNull()
+    own = X.shingles(F.col(text), n)
+    held = df.select(*keys, turn, F.explode(own).alias("__run"))
+    firsts = held.groupBy(*keys, "__run").agg(F.min(turn).alias("__first"))
+    per_turn = firsts.groupBy(*keys, F.col("__first").alias(turn)).agg(F.count("*").alias("__new"))
+    flagged = df.select(*keys, turn, F.size(own).alias("__runs")).join(per_turn, [*keys, turn], "left")
+    repeated = F.col("__runs") > F.coalesce("__new", F.lit(0))
     if max_shingles is None:
         return flagged.select(*keys, turn, repeated.alias("repeated"))
 
@@ -97,7 +94,7 @@ def repeated_wording(
         .agg(F.min(turn).alias("__cutoff"))
     )
     # Beyond the cutoff a turn repeats only what was stored before it.
-    memory = firsts.join(cutoff, keys).filter(F.col(f"__first.{turn}") < F.col("__cutoff")).select(*keys, "__run")
+    memory = firsts.join(cutoff, keys).filter(F.col("__first") < F.col("__cutoff")).select(*keys, "__run")
     late = (
         held.join(cutoff, keys)
         .filter(F.col(turn) >= F.col("__cutoff"))
