@@ -130,7 +130,13 @@ STATE_PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateSto
 
 
 def stream_fold(records: DataFrame, idle_hours: float = fixed.KEEP_STATE_HOURS) -> DataFrame:
-    """Updated totals of every session touched by a micro-batch."""
+    """Updated totals of every session touched by a micro-batch.
+
+    The eviction timers make Spark plan batches without data.  A run that should
+    end when the input is used up (``availableNow``) needs
+    ``spark.sql.streaming.noDataMicroBatches.enabled=false``; timers that are
+    due then fire with the next batch that has data.
+    """
     records.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_PROVIDER)
     return fold_input(records).groupBy("path").transformWithStateInPandas(
         SessionFold(idle_hours), outputStructType=OUTPUT, outputMode="Update", timeMode="ProcessingTime"
