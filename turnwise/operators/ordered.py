@@ -55,6 +55,21 @@ def active_seconds(df: DataFrame, o: Ordering, ts: str, max_gap: int = fixed.ACT
     )
 
 
+def activity_bursts(df: DataFrame, o: Ordering, ts: str, max_gap: int = fixed.ACTIVE_GAP_SECONDS) -> DataFrame:
+    """Runs of records no further apart than ``max_gap`` seconds (batch twin of the streaming bursts).
+
+    Bursts are numbered by scans and summed with partial aggregates, so one
+    very busy key is spread over many tasks.
+    """
+    seen = scan(df.select(*o.keys, *dict.fromkeys([*o.order, ts])), o, __prev=previous(F.col(ts)))
+    apart = formats.seconds_between(F.col("__prev"), F.col(ts)) > max_gap
+    marked = seen.withColumn("__new", F.when(F.coalesce(apart, F.lit(True)), 1).otherwise(0))
+    numbered = scan(marked, o, burst=running_sum(F.col("__new")))
+    return numbered.groupBy(*o.keys, "burst").agg(
+        F.min(ts).alias("start"), F.max(ts).alias("end"), F.count("*").alias("n")
+    ).withColumn("seconds", formats.seconds_between(F.col("start"), F.col("end")))
+
+
 def first_mark_turn(df: DataFrame, keys: Sequence[str], turn_no: Column, mark: Column, out: str) -> DataFrame:
     """How deep into a key the first marked row is, counted in turns, at least 1."""
     return df.groupBy(*keys).agg(F.min(F.when(mark, F.greatest(F.lit(1), turn_no))).alias(out))

@@ -66,6 +66,13 @@ def scratch_root(spark: SparkSession) -> str:
     return _LOCAL_ROOTS[app]
 
 
+def write_scratch(df: DataFrame, name: str) -> str:
+    """Write ``df`` as Parquet in the shared folder; give the path."""
+    target = f"{scratch_root(df.sparkSession)}/turnwise/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(target)
+    return target
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` once as Parquet in the shared folder and read it back.
 
@@ -73,10 +80,7 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     copy is columnar (later reads still prune columns and push filters), cuts
     the lineage, and does not depend on any executor staying alive.
     """
-    spark = df.sparkSession
-    target = f"{scratch_root(spark)}/turnwise/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(target)
-    return spark.read.schema(df.schema).parquet(target)
+    return df.sparkSession.read.schema(df.schema).parquet(write_scratch(df, name))
 
 
 def spread(df: DataFrame) -> DataFrame:

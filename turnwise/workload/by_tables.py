@@ -8,8 +8,7 @@ from pyspark.sql import functions as F
 from turnwise import fixed
 from turnwise.functions import formats
 from turnwise.operators import cohorts, merge, ordered, progress as P, review, sessions as S
-from turnwise.operators.ordering import medians
-from turnwise.streaming import feeds
+from turnwise.operators.ordering import by_number, medians
 from turnwise.workload import oracle as O, silver
 from turnwise.workload.adapter import event_facts, load
 
@@ -404,8 +403,8 @@ def median_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT user_id, epoch_us(min(ts)) AS start_us, epoch_us(max(ts)) AS end_us, count(*) AS n FROM b GROUP BY user_id, burst""",
 )
 def burst_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = event_facts(load(spark, sf_dir, "events")).select("user_id", "ts")
-    out = feeds.stream_bursts(e, ["user_id"], "ts", "6 hours")
+    e = event_facts(load(spark, sf_dir, "events")).select("user_id", "event_id", "ts")
+    out = ordered.activity_bursts(e, by_number(("user_id",), "event_id"), "ts", 6 * 3600)
     return out.select("user_id", F.unix_micros("start").alias("start_us"), F.unix_micros("end").alias("end_us"), "n")
 
 

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from turnwise.operators import records as R, rules, sessions as S
-from turnwise.session import materialize
+from turnwise.session import write_scratch
 from turnwise.workload import adapter as A
 
 _WRITTEN: dict[tuple[str, str, str], tuple[str, object]] = {}
@@ -22,8 +22,8 @@ def once(spark: SparkSession, sf_dir: str, name: str, build: Callable[[], DataFr
     """Write ``build()`` the first time it is asked for; read it back afterwards."""
     key = (spark.sparkContext.applicationId, sf_dir, name)
     if key not in _WRITTEN:
-        table = materialize(build(), name)
-        _WRITTEN[key] = (table.inputFiles()[0].rsplit("/", 1)[0], table.schema)
+        table = build()
+        _WRITTEN[key] = (write_scratch(table, name), table.schema)
     path, schema = _WRITTEN[key]
     return spark.read.schema(schema).parquet(path)
 
