@@ -25,12 +25,20 @@ _ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__
 SPACES = " \t\n\x0b\x0c\r"
 
 
+#: Texts in one Arrow batch; whole texts are long, and Spark's default of 10,000 would hold tens of MB several times over.
+BATCH_ROWS = "512"
+
+
 def prepare(spark: SparkSession) -> None:
-    """Session settings, and this package on the path of the Python workers."""
+    """Session settings, this package on the path of the Python workers, and small batches for them."""
     configure(spark)
-    had = spark.sparkContext.environment.get("PYTHONPATH", "")
-    if _ROOT not in had.split(os.pathsep):
-        spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join(x for x in (_ROOT, had) if x)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+    given = spark.sparkContext.environment
+    if _ROOT not in given.get("PYTHONPATH", "").split(os.pathsep):
+        given["PYTHONPATH"] = os.pathsep.join(x for x in (_ROOT, given.get("PYTHONPATH", "")) if x)
+    # Freed batches go back to the system instead of staying in the worker's pools.
+    given.setdefault("ARROW_DEFAULT_MEMORY_POOL", "system")
+    given.setdefault("MALLOC_ARENA_MAX", "2")
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -63,7 +71,7 @@ class _WordHashes(dict):
     """64-bit hash of each word; emptied when it has grown large, so memory is bounded."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 500_000:
+        if len(self) > 200_000:
             self.clear()
         value = self[word] = xxhash.xxh3_64_intdigest(word)
         return value
@@ -103,8 +111,8 @@ def list_column(arrays: list[np.ndarray], kind: pa.DataType) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(values, type=kind))
 
 
-def arrow_rows(batches: Iterator[pa.RecordBatch], rows: int = 1024) -> Iterator[pa.RecordBatch]:
-    """Smaller slices of the batches, so that a batch of very long texts is worked on in pieces."""
+def arrow_rows(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
+    """Smaller slices of the batches, where the session was set up for large ones."""
     for batch in batches:
         for start in range(0, batch.num_rows, rows):
             yield batch.slice(start, rows)
