@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from turnwise.llm import query_jaccard
+from turnwise.llm import query_decontaminate, query_host_quality, query_jaccard, query_mixing, query_token_records, query_toxicity, query_url_filter
 
-MODULES = [query_jaccard]
+MODULES = [query_host_quality, query_jaccard, query_token_records, query_decontaminate, query_url_filter, query_mixing, query_toxicity]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
