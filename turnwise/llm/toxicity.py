@@ -2,7 +2,8 @@
 
 1. *Lexicon.*  Over labelled documents, the documents of either label are counted for every whole word and for every word
    beginning of ``STEMS`` letters.  An entry is a word, or a beginning that many different words share, whose documents are
-   toxic far more often than chance allows (a binomial bound over all counted entries).
+   toxic far more often than chance allows (a binomial bound over all counted entries).  Copies of one text are no further
+   evidence: toxic documents are told apart by the least hash of their words, near copies mostly having the same.
 2. *Matching.*  The lexicon is a trie.  A word's Levenshtein automaton (insertions, deletions, substitutions and swaps of
    neighbours; one edit from 5 letters on, two from 9) runs over the trie, so misspelt terms are found without a list of
    variants.  A variant that clean labelled documents use is an ordinary word and dropped.
@@ -29,14 +30,16 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from turnwise.llm.common import arrow_rows, md5_unit
+from turnwise.llm.common import arrow_rows, materialize, md5_unit
 
 TRAIN_ROWS = 200_000  # labelled documents that the lexicon and the model are fitted on, about
 STEMS = (4, 5, 6)
-CHANCE = 0.01  # entries that chance alone may bring into the lexicon
+KINDS = 63
+CHANCE = 0.02  # entries that chance alone may bring into the lexicon
 PURE = 0.8  # least share of toxic documents among those with an entry
 WINDOW = 6
 HELD_OUT = 5  # ids whose CRC-32 is divisible by this are never learnt from
@@ -53,16 +56,21 @@ _QUOTED = re.compile(r"[\"“”„«»‹›‘’`]")
 # ---------------------------------------------------------------- lexicon
 
 def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Labelled texts to (entry, toxic, clean), summed within the task as far as memory allows."""
+    """Labelled texts to (entry, toxic, clean, kinds), summed within the task as far as memory allows.
+
+    ``kinds`` has a bit for the least word hash of every toxic text, from which the number of different ones is estimated.
+    """
     found: tuple[Counter, Counter] = (Counter(), Counter())
+    kinds: dict[str, int] = {}
 
     def rows() -> pa.RecordBatch:
         names = list(found[0].keys() | found[1].keys())
         out = pa.RecordBatch.from_arrays(
-            [pa.array(names, pa.string()), *(pa.array([c[n] for n in names], pa.int64()) for c in reversed(found))], names=["entry", "toxic", "clean"]
+            [pa.array(names, pa.string()), *(pa.array([c[n] for n in names], pa.int64()) for c in reversed(found)), pa.array([kinds.get(n, 0) for n in names], pa.int64())],
+            names=["entry", "toxic", "clean", "kinds"],
         )
-        found[0].clear()
-        found[1].clear()
+        for table in (*found, kinds):
+            table.clear()
         return out
 
     for batch in arrow_rows(batches):
@@ -71,6 +79,10 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             entries = {w[:n] for n in STEMS for w in words if len(w) > n}
             entries.update(w + "$" for w in words)
             found[label].update(entries)
+            if label and words:
+                bit = 1 << min(xxhash.xxh3_64_intdigest(w) for w in words) % KINDS
+                for e in entries:
+                    kinds[e] = kinds.get(e, 0) | bit
         if len(found[0]) + len(found[1]) > 400_000:
             yield rows()
     yield rows()
@@ -78,11 +90,14 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _learn(counts: DataFrame, toxic: int, clean: int) -> dict[str, float]:
     """Entries and their log odds.  What is collected here is bounded by the labelled sample."""
-    counted = counts.groupBy("entry").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean")).where("toxic > 2")
+    counted = counts.groupBy("entry").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"), F.bit_count(F.bit_or("kinds")).alias("bits"))
+    counted = materialize(counted.where("toxic > 2"), "toxicity_entries")
     base = toxic / (toxic + clean)
-    share = F.col("toxic") / (F.col("toxic") + F.col("clean"))
-    apart = F.col("toxic") * F.log(share / base) + F.when(F.col("clean") > 0, F.col("clean") * F.log((1 - share) / (1 - base))).otherwise(0.0)
-    likely = counted.where(share >= PURE).where(apart > math.log(max(2, toxic) * 1000 / CHANCE))
+    kinds = -KINDS * F.log(1 - F.least(F.col("bits"), F.lit(KINDS - 1)) / KINDS)
+    texts = F.when(F.col("bits") >= KINDS - 1, F.col("toxic")).otherwise(F.least(F.col("toxic"), kinds))
+    share = texts / (texts + F.col("clean"))
+    apart = texts * F.log(share / base) + F.when(F.col("clean") > 0, F.col("clean") * F.log((1 - share) / (1 - base))).otherwise(0.0)
+    likely = counted.where(share >= PURE).where(apart > math.log(max(2, counted.count()) / CHANCE))
     rows = {r.entry: (r.toxic, r.clean) for r in likely.collect()}
     whole = {e: v for e, v in rows.items() if e.endswith("$")}
     best: Counter = Counter()
@@ -95,6 +110,9 @@ def _learn(counts: DataFrame, toxic: int, clean: int) -> dict[str, float]:
         # A beginning that one word explains is that word; one that a shorter beginning covers is not needed.
         if rows[e][0] > 1.3 * best[e] and not any(e.startswith(s) for s in stems):
             stems.append(e)
+    # The longest beginning that has about the same documents says as much, and of fewer words.
+    longer = sorted((e for e in rows if not e.endswith("$")), key=len, reverse=True)
+    stems = [next(e for e in longer if e.startswith(s) and rows[e][0] >= 0.95 * rows[s][0]) for s in stems]
     kept = [e for e in whole if not any(e.startswith(s) for s in stems)] + stems
     return {e: math.log((rows[e][0] + 0.5) / (rows[e][1] + 0.5) * (clean + 1) / (toxic + 1)) for e in kept}
 
@@ -303,7 +321,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     toxic, clean = tally.get(1, 0), tally.get(0, 0)
     if not toxic or not clean:
         return Model(score_none=toxic / max(1, toxic + clean))
-    entries = _learn(texts.mapInArrow(_counts, "entry string, toxic long, clean long"), toxic, clean)
+    entries = _learn(texts.mapInArrow(_counts, "entry string, toxic long, clean long, kinds long"), toxic, clean)
     model = Model(entries, score_none=toxic / (toxic + clean))
     if not entries:
         return model
