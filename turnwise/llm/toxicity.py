@@ -126,51 +126,110 @@ def edits_allowed(entry: str) -> int:
     return 0 if letters < 5 else 1 if letters < 9 else 2
 
 
+class _State(dict):
+    """A state of the automaton: characters to next states, made when first read; None where no entry can follow.
+
+    ``items`` are places in the trie with the edits spent so far, some waiting for the second letter of a swap.
+    """
+
+    __slots__ = ("begun", "items", "lexicon", "whole")
+
+    def __init__(self, lexicon: Lexicon, items: frozenset):
+        super().__init__()
+        self.lexicon, self.items = lexicon, items
+        nodes = [(edits, lexicon.nodes[node]) for node, edits, wait in items if not wait]
+        #: The best beginning found on reaching this state, and the best whole word if the text ends here.
+        self.begun = min(((e, n["entry"]) for e, n in nodes if "entry" in n and e <= edits_allowed(n["entry"])), default=None)
+        ends = [(e, lexicon.nodes[n["$"]]["entry"]) for e, n in nodes if "$" in n]
+        self.whole = min((x for x in ends if x[0] <= edits_allowed(x[1])), default=None)
+
+    def __missing__(self, c: str) -> _State | None:
+        found = self[c] = self.lexicon.after(self.items, c)
+        return found
+
+
 class Lexicon:
-    """A trie of entries over which the Levenshtein automaton of a word is run."""
+    """A trie of entries, intersected with the Levenshtein automaton of whatever word is read.
+
+    The intersection is made deterministic as it is used: a state is the set of trie places that the letters read so
+    far can have led to, so a word costs one look-up a letter and ends at once where nothing can follow.
+    """
 
     def __init__(self, entries: dict[str, float]):
-        self.root: dict = {}
+        self.nodes: list[dict] = [{}]
+        self.most: list[int] = [0]  # edits that some entry below a node allows
         for entry in entries:
-            node = self.root
+            at, allowed = 0, edits_allowed(entry)
+            self.most[0] = max(self.most[0], allowed)
             for c in entry:
-                node = node.setdefault(c, {})
-                node[""] = max(node.get("", 0), edits_allowed(entry))  # edits that some entry below allows
-            node["entry"] = entry
+                if c not in self.nodes[at]:
+                    self.nodes[at][c] = len(self.nodes)
+                    self.nodes.append({})
+                    self.most.append(0)
+                at = self.nodes[at][c]
+                self.most[at] = max(self.most[at], allowed)
+            self.nodes[at]["entry"] = entry
+        self._restart()
+
+    def _restart(self) -> None:
+        self.states: dict[frozenset, _State] = {}
+        self.start = self._state({(0, 0, "")})
+
+    def _letters(self, node: int):
+        return ((c, child) for c, child in self.nodes[node].items() if len(c) == 1 and c != "$")
+
+    def _state(self, items: set) -> _State:
+        todo = [x for x in items if not x[2]]
+        while todo:  # letters left out
+            node, edits, _ = todo.pop()
+            for _, child in self._letters(node):
+                new = (child, edits + 1, "")
+                if edits < self.most[child] and new not in items:
+                    items.add(new)
+                    todo.append(new)
+        least: dict[tuple[int, str], int] = {}
+        for node, edits, wait in items:
+            least[node, wait] = min(edits, least.get((node, wait), edits))
+        key = frozenset((node, edits, wait) for (node, wait), edits in least.items())
+        if key not in self.states:
+            self.states[key] = _State(self, key)
+        return self.states[key]
+
+    def after(self, items: frozenset, c: str) -> _State | None:
+        found: set = set()
+        for node, edits, wait in items:
+            if wait:
+                if wait == c:
+                    found.add((node, edits, ""))
+                continue
+            same = self.nodes[node].get(c)
+            if same is not None and c != "$":
+                found.add((same, edits, ""))
+            if edits < self.most[node]:
+                found.add((node, edits + 1, ""))  # a letter too many
+                for x, child in self._letters(node):
+                    if edits < self.most[child]:
+                        found.add((child, edits + 1, ""))  # another letter
+                        swapped = self.nodes[child].get(c)
+                        if swapped is not None and c != "$" and x != c and edits < self.most[swapped]:
+                            found.add((swapped, edits + 1, x))
+        return self._state(found) if found else None
 
     def find(self, word: str) -> tuple[str, int] | None:
         """The entry nearest to the word and its edits; the first in alphabetical order of equally near ones."""
-        text = word + "$"
-        seen: dict[tuple[int, int], int] = {}
-        best: list[tuple[int, str]] = []
-        todo = [(self.root, 0, 0)]
-        while todo:
-            node, at, edits = todo.pop()
-            state = (id(node), at)
-            if seen.get(state, 9) <= edits:
-                continue
-            seen[state] = edits
-            entry = node.get("entry")
-            if entry is not None and edits <= edits_allowed(entry) and (at == len(text) or not entry.endswith("$")):
-                best.append((edits, entry))
-            same = node.get(text[at]) if at < len(text) else None
-            if same is not None:
-                todo.append((same, at + 1, edits))
-            rest = len(text) - at
-            for c, child in node.items():
-                if len(c) != 1 or c == "$" or child.get("", 0) <= edits:
-                    continue
-                todo.append((child, at, edits + 1))  # a letter left out
-                if rest > 1 and c != text[at]:
-                    todo.append((child, at + 1, edits + 1))  # another letter
-                    if c == text[at + 1] and text[at] in child:
-                        todo.append((child[text[at]], at + 2, edits + 1))  # two letters swapped
-            if rest > 1 and node.get("", 2 if node is self.root else 0) > edits:
-                todo.append((node, at + 1, edits + 1))  # a letter too many
-        if not best:
-            return None
-        edits, entry = min(best)
-        return entry, edits
+        if len(self.states) > 50_000:
+            self._restart()
+        state, best = self.start, None
+        for c in word:
+            state = state[c]
+            if state is None:
+                break
+            if state.begun is not None and (best is None or state.begun < best):
+                best = state.begun
+        else:
+            if state.whole is not None and (best is None or state.whole < best):
+                best = state.whole
+        return None if best is None else (best[1], best[0])
 
 
 @dataclass
