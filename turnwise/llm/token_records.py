@@ -20,6 +20,7 @@ comes first.
 from __future__ import annotations
 
 import json
+import os
 import struct
 import uuid
 import zlib
@@ -29,7 +30,6 @@ import numpy as np
 import public_tokenizers
 import pyarrow as pa
 import pyarrow.fs
-import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -81,14 +81,28 @@ def parse(data: bytes) -> tuple[int | None, np.ndarray]:
     return None if absent else doc_id, np.frombuffer(data, dtype=f"<u{width}", offset=_HEAD.size)
 
 
+class _Table(dict):
+    """Known units of text; a look-up of an unknown one notes it and gives None."""
+
+    def __init__(self):
+        super().__init__()
+        self.missed: list[str] = []
+
+    def __missing__(self, unit: str) -> None:
+        self.missed.append(unit)
+
+
 class Encoder:
     """Texts to packed token ids by a tokenizer file of the ``tokenizers`` library, special strings being ordinary text.
 
-    A byte-level tokenizer encodes the pieces into which its pattern splits a text one by one, so pieces already seen
-    are taken from a table; the table is emptied when it has grown large.
+    A byte-level tokenizer encodes the pieces into which its pattern splits a text one by one.  Where every space stands
+    alone, each begins a piece, so the text may be cut before every space, and units seen before are taken from a
+    table, which is emptied when it has grown large.  New units are encoded as one running text.  Other texts, and those of other tokenizers,
+    are encoded whole.
     """
 
-    def __init__(self, path: str, most: int = 200_000):
+    def __init__(self, path: str, most: int = 800_000):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.width = "<u2" if self.tokenizer.get_vocab_size() < 2**16 else "<u4"
@@ -96,26 +110,48 @@ class Encoder:
             config = json.load(f)
         before = config.get("pre_tokenizer") or {}
         plain = not config.get("normalizer") and not config.get("truncation") and not config.get("padding")
-        by_pieces = plain and before.get("type") == "ByteLevel" and before.get("use_regex") and not before.get("add_prefix_space")
-        self.split = regex.compile(public_tokenizers.PATTERN).findall if by_pieces else None
-        self.known: dict[str, bytes] = {}
-        self.most = most
+        self.by_units = plain and before.get("type") == "ByteLevel" and before.get("use_regex") and not before.get("add_prefix_space")
+        self.known, self.most = _Table(), most
+        vocabulary = self.tokenizer.get_vocab()
+        self.after_space = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
+        self.after_space[[i for token, i in vocabulary.items() if token.startswith("\u0120")]] = True
 
     def _packed(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, dtype=self.width).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _learn(self, new: list[str]) -> None:
+        """Put units, each meant to follow a space, into the table."""
+        ids = np.array(self.tokenizer.encode_batch_fast([" " + " ".join(new)], add_special_tokens=False)[0].ids, dtype=self.width)
+        starts = np.flatnonzero(self.after_space[ids])
+        if len(starts) != len(new):  # a tokenizer that joins units after all
+            self.known.update(zip(new, self._packed([" " + u for u in new]), strict=True))
+            return
+        edges = (starts * ids.itemsize).tolist()
+        packed = ids.tobytes()
+        self.known.update(zip(new, map(packed.__getitem__, map(slice, edges, [*edges[1:], len(packed)])), strict=True))
+
     def encode(self, texts: list[str]) -> list[bytes]:
-        if not self.split:
-            return self._packed(texts)
-        pieces = [self.split(t) for t in texts]
-        if len(self.known) > self.most:
-            self.known.clear()
-        new = [p for p in set().union(*pieces) if p not in self.known]
-        for start in range(0, len(new), 20_000):
-            part = new[start : start + 20_000]
-            self.known.update(zip(part, self._packed(part), strict=True))
-        get = self.known.__getitem__
-        return [b"".join(map(get, p)) for p in pieces]
+        known = self.known
+        if len(known) > self.most:
+            known.clear()
+        units = [t.split(" ") if self.by_units else [""] for t in texts]
+        firsts = self._packed([u[0] for u in units])
+        found = [list(map(known.__getitem__, u[1:])) for u in units]
+        missed = known.missed
+        known.missed = []
+        # A unit that is empty or has white space at an end stands next to crowded spaces: its text is encoded whole.
+        new = [u for u in dict.fromkeys(missed) if u and not (u[0].isspace() or u[-1].isspace())]
+        for start in range(0, len(new), 10_000):
+            self._learn(new[start : start + 10_000])
+        learnt = map(known.get, missed)  # in the order in which they are wanted below
+        whole = []
+        for i, u in enumerate(units):
+            if None in found[i]:
+                found[i] = [next(learnt) if x is None else x for x in found[i]]
+            if None in found[i] or not u[0] or u[0][-1].isspace():
+                whole.append(i)
+        packed = dict(zip(whole, self._packed([texts[i] for i in whole]), strict=True))
+        return [packed[i] if i in packed else first + b"".join(rest) for i, (first, rest) in enumerate(zip(firsts, found, strict=True))]
 
 
 _ENCODERS: dict[str, Encoder] = {}
@@ -136,7 +172,7 @@ def _writer(folder: str, path: str, end_id: int):
         width = np.dtype(code.width).itemsize
         rows: list[tuple] = []
         try:
-            for batch in arrow_rows(batches, 64):
+            for batch in arrow_rows(batches, 256):
                 ids = batch.column("id").to_pylist()
                 texts = [(t or b"").decode("utf-8", "replace") for t in batch.column("body").to_pylist()]
                 for doc_id, packed in zip(ids, code.encode(texts), strict=True):
