@@ -4,13 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from turnwise.llm import jaccard_join
-from turnwise.llm.common import prepare
+from turnwise.llm import decontaminate, jaccard_join, mixing, token_records, toxicity
+from turnwise.llm.common import prepare, read
 
 
 def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    prepare(spark)
-    return docs
+    """Documents scored below one half by a model learnt from ``labels`` outside the held-out part."""
+    return toxicity.without_toxic(docs, toxicity.fit(docs, read(spark, sf_dir, "labels")))
 
 
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -20,15 +20,18 @@ def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    prepare(spark)
-    return docs
+    """Documents in which no window of ``benchmark`` occurs."""
+    return decontaminate.without_hits(docs, read(spark, sf_dir, "benchmark"), name="stage_decontaminate")
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents drawn for a raked mix of sources, languages and topics."""
     prepare(spark)
-    return docs
+    return mixing.mixed(docs, "stage_mixing")
 
 
 def as_token_records(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """(doc_id, start, n_tokens, ids_crc32) of the records, read back from the files."""
     prepare(spark)
-    return docs
+    index, folder = token_records.write_records(docs, "stage_tokens")
+    return token_records.read_digests(index, folder)
