@@ -100,7 +100,7 @@ def _short_spans(docs: DataFrame, items: DataFrame) -> DataFrame | None:
     for length in lengths:
         runs = text.where(F.size("words") >= length).select(
             "id", "hash",
-            F.posexplode(let(F.col("words"), lambda w, n=length: F.transform(F.sequence(F.lit(1), F.size(w) - n + 1), lambda i: F.slice(w, i, n)))).alias("first", "run"),
+            F.posexplode(let(F.col("words"), _runs_of(length))).alias("first", "run"),
         )
         wanted = short.where(F.col("length") == length).select("item", "length", F.array_join("words", " ").alias("joined"))
         hits = runs.withColumn("joined", F.array_join("run", " ")).join(wanted, "joined").select("id", "hash", "first", "length", "item")
@@ -108,6 +108,10 @@ def _short_spans(docs: DataFrame, items: DataFrame) -> DataFrame | None:
     return out
 
 
+def _runs_of(length: int):
+    return lambda w: F.transform(F.sequence(F.lit(1), F.size(w) - length + 1), lambda i: F.slice(w, i, length))
+
+
 def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", name: str = "decontaminate") -> DataFrame:
     """For every row: id, hash of its text, n_words, n_hit words, the sorted ids (as text) of the items found in it."""
     docs = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"))
