@@ -1,8 +1,9 @@
 """Token counts of a unigram tokenizer without making its tokens.
 
 The vocabulary's pieces and scores are those of a tokenizer file.  White space becomes ``▁`` and one is put before the text.
-No piece has a ``▁`` behind another character, so the best segmentation of a text is that of its words, each begun
-by its run of ``▁``; a word's count is found once and kept in a bounded table.
+No piece has a ``▁`` behind another character and ``▁`` is a piece, so the best segmentation of a text is that of its words,
+each begun by its run of ``▁``; a word's count is found once and kept in a bounded table.  (With another vocabulary a text is
+taken whole.)
 
 For a word, an Aho-Corasick automaton enumerates every piece that ends at every place, and dynamic programming carries the best
 score and the number of pieces to each place.  Ties follow the tokenizer: beginnings are tried from left to right, at each
@@ -52,7 +53,7 @@ class Counter:
                 self.automaton.add_word(piece, (len(piece), score, i == 0))
         self.automaton.make_automaton()
         self.unknown = min(score for _, score in vocabulary) - UNKNOWN_PENALTY
-        self.by_words = all(MARK not in piece.lstrip(MARK) for piece, _ in vocabulary)
+        self.by_words = all(MARK not in piece.lstrip(MARK) for piece, _ in vocabulary) and any(piece == MARK for piece, _ in vocabulary)
         self.known, self.most = {}, most
 
     def pieces(self, word: str) -> int:
