@@ -7,6 +7,7 @@ import zlib
 import duckdb
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
@@ -45,7 +46,7 @@ def test_every_stage_equals_brute_force(spark):
         else:
             _, chances = mixing.probabilities(spark.createDataFrame(list(left.values()), docs.schema), "test")
             chance = {(r.source, r.lang, r.topic): r.probability for r in chances.collect()}
-            topics = {r.doc_id: r.t for r in spark.createDataFrame(list(left.values()), docs.schema).select("doc_id", mixing.topic(docs.text).alias("t")).collect()}
+            topics = {r.doc_id: r.t for r in spark.createDataFrame(list(left.values()), docs.schema).select("doc_id", mixing.topic(F.col("text")).alias("t")).collect()}
             drawn = {r.doc_id: r.d for r in docs.select("doc_id", mixing.drawn(docs.doc_id).alias("d")).collect()}
             want = {i for i, r in left.items() if drawn[i] < chance[r.source, r.lang, topics[i]]}
         assert set(rows) == want

@@ -2,7 +2,8 @@
 
 1. *Lexicon.*  Over labelled documents, the documents of either label are counted for every whole word and for every word
    beginning of ``STEMS`` letters.  An entry is a word, or a beginning that many different words share, whose documents are
-   toxic far more often than chance allows (a binomial bound over all counted entries).  Copies of one text are no further
+   toxic far more often than chance allows (a binomial bound over all counted entries); what stands between quotation marks is
+   not counted, so that clean texts may quote.  Copies of one text are no further
    evidence: toxic documents are told apart by the least hash of their words, near copies mostly having the same.
 2. *Matching.*  The lexicon is a trie.  A word's Levenshtein automaton (insertions, deletions, substitutions and swaps of
    neighbours; one edit from 5 letters on, two from 9) runs over the trie, so misspelt terms are found without a list of
@@ -50,6 +51,7 @@ ADDRESSING = frozenset("you your yours yourself u ur du dich dir dein deine ihr
 QUOTES = frozenset("\"“”„«»‹›‘’`")
 
 _WORD = re.compile(r"[^\W\d_]+")
+_QUOTATION = re.compile(r"\"[^\"\n]{0,200}\"|“[^”\n]{0,200}”|„[^“\n]{0,200}“|«[^»\n]{0,200}»")
 _QUOTED = re.compile(r"[\"“”„«»‹›‘’`]")
 
 
@@ -75,7 +77,7 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     for batch in arrow_rows(batches):
         for label, body in zip(batch.column("label").to_pylist(), batch.column("body").to_pylist(), strict=True):
-            words = set(_WORD.findall((body or b"").decode("utf-8", "replace").lower()))
+            words = set(_WORD.findall(_QUOTATION.sub(" ", (body or b"").decode("utf-8", "replace").lower())))
             entries = {w[:n] for n in STEMS for w in words if len(w) > n}
             entries.update(w + "$" for w in words)
             found[label].update(entries)
