@@ -101,7 +101,7 @@ class Encoder:
     are encoded whole.
     """
 
-    def __init__(self, path: str, most: int = 800_000):
+    def __init__(self, path: str, most: int = 1_500_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
@@ -115,20 +115,36 @@ class Encoder:
         vocabulary = self.tokenizer.get_vocab()
         self.after_space = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
         self.after_space[[i for token, i in vocabulary.items() if token.startswith("\u0120")]] = True
+        self.marks = dict(zip(",.", self._packed([",", "."]), strict=True))
 
     def _packed(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, dtype=self.width).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _learn(self, new: list[str]) -> None:
-        """Put units, each meant to follow a space, into the table."""
-        ids = np.array(self.tokenizer.encode_batch_fast([" " + " ".join(new)], add_special_tokens=False)[0].ids, dtype=self.width)
+        """Put units, each meant to follow a space, into the table.
+
+        The pattern parts a word from the comma or full stop behind it, so such units are put together from their word.
+        """
+        known, marks = self.known, self.marks
+        ended = [u for u in new if u[-1] in marks and u[:-1].isalpha()]
+        if ended:
+            apart = set(ended)
+            new = [u for u in new if u not in apart]
+            new += [w for w in dict.fromkeys([u[:-1] for u in ended]) if w not in known]
+        for start in range(0, len(new), 10_000):
+            self._run(new[start : start + 10_000])
+        known.update([(u, known[u[:-1]] + marks[u[-1]]) for u in ended])
+
+    def _run(self, units: list[str]) -> None:
+        """Encode units as one running text, a space before each."""
+        ids = np.array(self.tokenizer.encode_batch_fast([" " + " ".join(units)], add_special_tokens=False)[0].ids, dtype=self.width)
         starts = np.flatnonzero(self.after_space[ids])
-        if len(starts) != len(new):  # a tokenizer that joins units after all
-            self.known.update(zip(new, self._packed([" " + u for u in new]), strict=True))
+        if len(starts) != len(units):  # a tokenizer that joins units after all
+            self.known.update(zip(units, self._packed([" " + u for u in units]), strict=True))
             return
         edges = (starts * ids.itemsize).tolist()
         packed = ids.tobytes()
-        self.known.update(zip(new, map(packed.__getitem__, map(slice, edges, [*edges[1:], len(packed)])), strict=True))
+        self.known.update(zip(units, map(packed.__getitem__, map(slice, edges, [*edges[1:], len(packed)])), strict=True))
 
     def encode(self, texts: list[str]) -> list[bytes]:
         known = self.known
@@ -141,14 +157,16 @@ class Encoder:
         known.missed = []
         # A unit that is empty or has white space at an end stands next to crowded spaces: its text is encoded whole.
         new = [u for u in dict.fromkeys(missed) if u and not (u[0].isspace() or u[-1].isspace())]
-        for start in range(0, len(new), 10_000):
-            self._learn(new[start : start + 10_000])
+        self._learn(new)
         learnt = map(known.get, missed)  # in the order in which they are wanted below
         whole = []
         for i, u in enumerate(units):
-            if None in found[i]:
-                found[i] = [next(learnt) if x is None else x for x in found[i]]
-            if None in found[i] or not u[0] or u[0][-1].isspace():
+            row, gaps = found[i], found[i].count(None)
+            at = -1
+            for _ in range(gaps):
+                at = row.index(None, at + 1)
+                row[at] = next(learnt)
+            if gaps and None in row or not u[0] or u[0][-1].isspace():
                 whole.append(i)
         packed = dict(zip(whole, self._packed([texts[i] for i in whole]), strict=True))
         return [packed[i] if i in packed else first + b"".join(rest) for i, (first, rest) in enumerate(zip(firsts, found, strict=True))]
