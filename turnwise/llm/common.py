@@ -10,7 +10,6 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from turnwise.session import configure, materialize
 
@@ -125,16 +124,18 @@ def components(edges: DataFrame, name: str) -> DataFrame:
 
     Alternating star contraction: every node's larger neighbours are tied to its smallest neighbour, then its smaller
     ones, until nothing changes.  Each round is two aggregates and two joins on narrow rows and is written to the shared
-    folder, so lineage stays short; rounds grow with the logarithm of the graph.
+    folder, so lineage stays short; rounds grow with the logarithm of the graph.  Smallest neighbours are written before they are
+    looked up, so that a node with very many edges is split between tasks.
     """
     edges = materialize(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), f"{name}_e0")
     before = None
     for step in range(1, 100):
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
+        low = materialize(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m")), f"{name}_low{step}")
         large = both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
         # Now a > b in every row; tie each node's smaller neighbours to the smallest of them.
-        low = large.groupBy("a").agg(F.min("b").alias("m"))
+        large = materialize(large, f"{name}_large{step}")
+        low = materialize(large.groupBy("a").agg(F.min("b").alias("m")), f"{name}_least{step}")
         small = large.join(low, "a").select(F.col("b").alias("x"), F.col("m").alias("b")).select(F.col("x").alias("a"), "b").unionByName(
             low.select("a", F.col("m").alias("b"))
         ).where("a <> b").distinct()
@@ -146,5 +147,3 @@ def components(edges: DataFrame, name: str) -> DataFrame:
     roots = edges.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()
     return edges.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(roots)
 
-
-LONGS = T.ArrayType(T.LongType(), False)

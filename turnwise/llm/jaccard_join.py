@@ -12,9 +12,11 @@ document's component under these links.  The join is exact and works in five ste
    until ``rare + sum over slots (tokens - 1) > eps``.  Two linked sets then share a rare token or both tokens of a pair.
    The number of slots follows the set's size, so a set has about as many pairs as its prefix has tokens.
 4. *Buckets.*  Sets of a small bucket are verified pair by pair.  In a large one, every set is compared with one pivot only
-   and rewritten as its difference from the pivot.  Two sets whose differences share no token can only link if both
-   link to the pivot; others share a token of their differences, which are small and rarely shared.  So the large bucket
-   becomes a join of small sets, solved in the same way, until no bucket is large.  No group is ever paired with itself.
+   and rewritten as its difference from the pivot, which is a small set of rarely shared tokens.  Two sets whose differences
+   share no token are as far apart as these are long together; so if any two of them link, both link to the set for which
+   difference and size are best (see ``_space``), and one pass over the bucket gives these links.  Sets with a common token in
+   their differences meet by it: a join of small sets, solved in the same way until no bucket is large.  So no group is ever
+   paired with itself.
 5. *Components* of the verified links by star contraction.
 
 Defined results: a null or empty text has an empty set and is linked with nothing; rows that repeat an id count as rows
@@ -168,10 +170,11 @@ def _compare(pairs: DataFrame, members: DataFrame, keys: list[str]) -> DataFrame
     return rows.mapInArrow(_difference("tokensx", "tokensy", "apart"), fields).withColumn("apart", F.col("apart") + F.col("lonex") + F.col("loney"))
 
 
-def _buckets(entries: DataFrame, keys: list[str], order: str, limit: int) -> tuple[DataFrame, DataFrame]:
+def _buckets(entries: DataFrame, keys: list[str], order: str, limit: int, name: str) -> tuple[DataFrame, DataFrame]:
     """Entries of small buckets, and (rid, pivot) of large ones."""
     sizes = entries.groupBy(*keys).agg(F.count(F.lit(1)).alias("size"), F.min(F.struct(order, "rid")).alias("low"), F.sum(F.col("far").cast("int")).alias("fars"))
-    sizes = sizes.where("size > 1 and fars > 0")
+    # Written first, so that the join below is one of plain shuffles, whose hot keys Spark can split.
+    sizes = materialize(sizes.where("size > 1 and fars > 0"), f"{name}_sizes")
     placed = entries.join(sizes, keys)
     return placed.where(F.col("size") <= limit), placed.where((F.col("size") > limit) & (F.col("rid") != F.col("low.rid"))).withColumn("pivot", F.col("low.rid"))
 
@@ -180,11 +183,12 @@ def links(sets: DataFrame, num: int, den: int, name: str) -> DataFrame:
     """Links (a, b) between sets(rid, n, tokens), enough of them to give every component."""
     tokens = sets.select("rid", "n", F.explode("tokens").alias("token"))
     shared = tokens.groupBy("token").agg(F.count(F.lit(1)).cast("int").alias("df")).where("df > 1")
+    shared = materialize(shared, f"{name}_shared")
     found = tokens.join(shared, "token").groupBy("rid", "n").agg(F.collect_list(F.struct("token", "df")).alias("found"))
     members = materialize(found.mapInArrow(_signatures(num, den), "rid long, n int, lone int, tokens array<long>, signs array<long>"), f"{name}_members")
     entries = members.select("rid", "n", "lone", F.explode("signs").alias("sign"), F.lit(True).alias("far"))
     entries = materialize(entries, f"{name}_entries")
-    small, large = _buckets(entries, ["sign"], "lone", PAIRED)
+    small, large = _buckets(entries, ["sign"], "lone", PAIRED, name)
     core = lambda s: F.col(f"{s}.n") - F.col(f"{s}.lone")
     least = F.col("x.n") + F.col("y.n") - 2 * F.least(core("x"), core("y"))
     pairs = (
@@ -195,37 +199,46 @@ def links(sets: DataFrame, num: int, den: int, name: str) -> DataFrame:
     )
     spokes = large.select(F.col("rid").alias("x"), F.col("pivot").alias("y")).distinct()
     pairs = materialize(pairs.withColumn("spoke", F.lit(False)).unionByName(spokes.withColumn("spoke", F.lit(True))).groupBy("x", "y").agg(F.max("spoke").alias("spoke")), f"{name}_pairs")
-    done, depth = [], 0
-    compared = _compare(pairs.select("x", "y"), members, []).join(pairs.where("spoke").select("x", "y", "spoke"), ["x", "y"], "left")
-    compared = materialize(compared.withColumn("linked", _similar(F.col("nx"), F.col("ny"), F.col("apart"), num, den)), f"{name}_compared")
-    done.append(compared.where("linked").select(F.col("x").alias("a"), F.col("y").alias("b")))
-    spaces = _space(compared.where("spoke"), F.xxhash64("y"))
+    compared = _compare(pairs.where("not spoke").select("x", "y"), members, [])
+    done, depth = [_linked(compared, num, den, f"{name}_links0")], 0
+    spaces = _compare(pairs.where("spoke").select("x", "y"), members, []).withColumn("space", F.xxhash64("y"))
     while True:
         depth += 1
-        members = materialize(spaces, f"{name}_space{depth}")
+        members, near = _space(spaces, num, den, f"{name}_{depth}")
+        done.append(near)
         if members.where("far").isEmpty():
             return _union(done)
-        next_pairs, next_spokes = _differences(members, num, den, f"{name}_{depth}")
-        compared = _compare(next_pairs.select("space", "x", "y"), members, ["space"])
-        compared = compared.withColumn("linked", _similar(F.col("nx"), F.col("ny"), F.col("apart"), num, den))
-        done.append(materialize(compared.where("linked").select(F.col("x").alias("a"), F.col("y").alias("b")), f"{name}_links{depth}"))
-        if next_spokes.isEmpty():
+        pairs, spokes = _differences(members, num, den, f"{name}_{depth}")
+        done.append(_linked(_compare(pairs, members, ["space"]), num, den, f"{name}_links{depth}"))
+        if spokes.isEmpty():
             return _union(done)
-        compared = materialize(_compare(next_spokes.select("space", "x", "y"), members, ["space"]).withColumn("linked", _similar(F.col("nx"), F.col("ny"), F.col("apart"), num, den)), f"{name}_spokes{depth}")
-        done.append(compared.where("linked").select(F.col("x").alias("a"), F.col("y").alias("b")))
-        spaces = _space(compared, F.xxhash64("space", "y"))
+        spaces = _compare(spokes, members, ["space"]).withColumn("space", F.xxhash64("space", "y"))
 
 
-def _space(compared: DataFrame, space: Column) -> DataFrame:
-    """The differences of a bucket's sets from its pivot: ``tokens`` shared with other sets, and ``lone`` ones.
+def _linked(compared: DataFrame, num: int, den: int, name: str) -> DataFrame:
+    linked = compared.where(_similar(F.col("nx"), F.col("ny"), F.col("apart"), num, den))
+    return materialize(linked.select(F.col("x").alias("a"), F.col("y").alias("b")), name)
 
-    All of them differ from the pivot by its lone tokens, for which the list gets that many tokens known to the space only.
+
+def _space(compared: DataFrame, num: int, den: int, name: str) -> tuple[DataFrame, DataFrame]:
+    """Sets compared with the pivots of their spaces to the spaces' members, and to links among these.
+
+    A member is (space, rid, n, lone, tokens, far): its lone tokens and the shared ones in which it differs from the
+    shared tokens of the pivot; the pivot is a member too.  Let ``over = length * (den + num) - n * (den - num)`` of a
+    member's difference.  Two members without a common token in their differences link exactly if their ``over`` add up
+    to zero or less.  If so, either of them also links to the member with the least ``over``, since what the two might
+    share only brings them nearer.  So linking all that can to that member leaves no such pair apart; the rest is ``far``.
     """
-    pivots = F.transform(F.sequence(F.lit(1), F.col("loney")), lambda i: F.xxhash64(F.col("space"), i))
-    return compared.withColumn("space", space).select(
-        "space", F.col("x").alias("rid"), F.col("nx").alias("n"), F.col("lonex").alias("lone"), (~F.col("linked")).alias("far"),
-        F.when(F.col("loney") > 0, F.concat("tokens", pivots)).otherwise(F.col("tokens")).alias("tokens"),
-    )
+    sets = compared.select("space", F.col("x").alias("rid"), F.col("nx").alias("n"), F.col("lonex").alias("lone"), "tokens")
+    pivots = compared.select("space", F.col("y").alias("rid"), F.col("ny").alias("n"), F.col("loney").alias("lone")).distinct()
+    members = sets.unionByName(pivots.withColumn("tokens", F.array().cast("array<long>")))
+    over = (F.size("tokens") + F.col("lone")) * (den + num) - F.col("n") * (den - num)
+    members = materialize(members.withColumn("over", over), f"{name}_sets")
+    least = members.groupBy("space").agg(F.min(F.struct("over", "rid")).alias("low"))
+    least = materialize(least.select("space", F.col("low.over").alias("least"), F.col("low.rid").alias("centre")), f"{name}_centres")
+    members = materialize(members.join(least, "space").withColumn("far", F.col("over") + F.col("least") > 0), f"{name}_space")
+    near = members.where("not far and rid <> centre").select(F.col("rid").alias("a"), F.col("centre").alias("b"))
+    return members.drop("over", "least", "centre"), near
 
 
 def _differences(members: DataFrame, num: int, den: int, name: str) -> tuple[DataFrame, DataFrame]:
@@ -244,7 +257,7 @@ def _differences(members: DataFrame, num: int, den: int, name: str) -> tuple[Dat
     entries = found.withColumn("shared", F.size("found")).withColumn("left", most - alone).where("left > 0")
     entries = entries.select("space", "rid", "n", "far", (F.col("lone") + F.col("length")).alias("length"), "shared", F.explode(F.slice("found", 1, F.col("left"))).alias("e")).where("e.any_far")
     entries = materialize(entries.select("space", F.col("e.token").alias("token"), "rid", "n", "far", "length", "shared"), f"{name}_entries")
-    small, large = _buckets(entries, ["space", "token"], "length", PAIRED_DIFFERENCES)
+    small, large = _buckets(entries, ["space", "token"], "length", PAIRED_DIFFERENCES, name)
     least = F.col("x.length") + F.col("y.length") - 2 * F.least("x.shared", "y.shared")
     pairs = small.alias("x").join(
         small.alias("y"),
