@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from turnwise.operators import ordered
 from turnwise.operators.ordering import (
-    Ordering, by_number, by_time, latest, medians, previous, running_max, running_min, running_sum, scan, top_k, total,
+    Ordering, by_number, by_time, latest, medians, previous, running_max, running_min, running_sum, scan, top_k, total, value_segments,
 )
 
 
@@ -50,27 +50,32 @@ def test_medians_match_the_definition(spark):
     assert got == {k: statistics.median([x for kk, x in data if kk == k and x is not None]) for k in ("a", "b")}
 
 
+def test_clustered_values_are_spread_over_segments(spark):
+    df = spark.range(20000).select(F.lit("k").alias("k"), (F.col("id") + 1_700_000_000_000).alias("x"))
+    sizes = [r["count"] for r in value_segments(df, "x", 64).groupBy("__cut").count().collect()]
+    assert len(sizes) == 64 and max(sizes) < 4 * 20000 / 64
+    assert medians(df, ["k"], "x", cuts=64).first().median == 1_700_000_009_999.5
+
+
 def test_repeated_wording_against_brute_force(spark):
     rng = random.Random(5)
     data = [(f"k{rng.randrange(3)}", i, " ".join(rng.choice("abc") for _ in range(rng.randrange(0, 9)))) for i in range(120)]
     df = spark.createDataFrame(data, "k string, i bigint, t string")
-    for cap in (None, 5, 20):
-        memory, want = {}, {}
-        for k, i, t in sorted(data, key=lambda d: d[1]):
-            w = t.split()
-            runs = {tuple(w[j : j + 3]) for j in range(len(w) - 2)}
-            seen = memory.setdefault(k, set())
-            want[(k, i)] = bool(runs & seen)
-            if cap is None or len(seen) < cap:
-                seen |= runs
-        got = {(r.k, r.i): r.repeated for r in ordered.repeated_wording(df, ["k"], "i", "t", n=3, max_shingles=cap).collect()}
-        assert got == want
+    memory, want = {}, {}
+    for k, i, t in sorted(data, key=lambda d: d[1]):
+        w = t.split()
+        runs = {tuple(w[j : j + 3]) for j in range(len(w) - 2)}
+        seen = memory.setdefault(k, set())
+        want[(k, i)] = bool(runs & seen)
+        seen |= runs
+    got = {(r.k, r.i): r.repeated for r in ordered.repeated_wording(df, ["k"], "i", "t", n=3).collect()}
+    assert got == want
 
 
 def test_series_keeps_ends_and_replaces_the_middle_with_the_peak(spark):
     pts = [("k", i, float(i), 1000 if i == 57 else i) for i in range(200)]
     df = spark.createDataFrame(pts, "k string, i bigint, x double, y bigint")
-    series = ordered.downsample_series(df, by_number(("k",), "i", 16), "x", "y").first().series
+    series = ordered.downsample_series(df, by_number(("k",), "i", 16), "x", "y", 32).first().series
     step = 199 / 31.0
     want = [(float(round(j * step)), round(j * step)) for j in range(32)]
     want[16] = (57.0, 1000)

@@ -12,7 +12,21 @@ pytestmark = pytest.mark.skipif(not os.path.isdir(DATA), reason="no driver table
 
 import __spark_entry__ as entry  # noqa: E402
 
-QUERIES, TWINS = entry.queries(), entry.oracle_sql()
+from turnwise.workload import queries as registered  # noqa: E402
+
+QUERIES, TWINS = registered.queries(), registered.oracle_sql()
+CODEGEN = ("spark.sql.codegen.wholeStage", "spark.sql.codegen.factoryMode")
+
+
+@pytest.fixture(scope="module", autouse=True)
+def generated_code(spark):
+    """The plans that users run, unlike the other tests' many tiny ones."""
+    before = {k: spark.conf.get(k) for k in CODEGEN}
+    for k in CODEGEN:
+        spark.conf.unset(k)
+    yield
+    for k, v in before.items():
+        spark.conf.set(k, v)
 
 
 @pytest.fixture(scope="module")
@@ -36,6 +50,7 @@ def rows_of(names, rows):
 
 def test_every_query_has_a_twin():
     assert set(TWINS) == set(QUERIES)
+    assert set(QUERIES) <= set(entry.queries()) and set(TWINS) <= set(entry.oracle_sql())
 
 
 @pytest.mark.parametrize("name", sorted(TWINS))

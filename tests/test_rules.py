@@ -64,7 +64,7 @@ def test_rules_fire_on_clear_differences_and_rank(spark):
     anchors = got["first_prompt_anchors"]
     assert anchors.fired and anchors.ratio == pytest.approx(5.0) and anchors.effect == 2.0 and anchors.reach == 0.5 and anchors.n == 20
     assert got["resumed_vs_fresh"].fired and not got["long_session_knee"].fired
-    assert got["first_prompt_score"].reason == "needs 5 judged sessions, has 0" and got["cache_resets"].reason == "nothing stands out yet"
+    assert got["first_prompt_score"].reason == "waiting for reviews: 5 wanted, 0 there" and got["cache_resets"].reason == "no clear difference"
     ranked = rules.rank_findings(rules.evaluate(table(spark, *few, *many, *resumed))).orderBy("rank").collect()
     assert [r.score for r in ranked] == sorted((r.score for r in ranked), reverse=True) and all(r.headline and r.advice for r in ranked)
 
@@ -105,8 +105,8 @@ def test_resets_and_judged_rules(spark):
 def test_empty_input_is_safe(spark):
     got = found(spark)
     assert len(got) == len(rules.RULES) and not any(r.fired for r in got.values())
-    assert rules.report(table(spark), rules.rank_findings(rules.evaluate(table(spark)))).first().report == "Nothing recorded in this period yet."
-    assert rules.compaction_verdict(table(spark)).first().verdict == "not enough compactions to judge"
+    assert rules.report(table(spark), rules.rank_findings(rules.evaluate(table(spark)))).first().report == "No sessions to report on."
+    assert rules.compaction_verdict(table(spark)).first().verdict == "too few to say"
 
 
 def comp(trigger="manual", pre=500000, post=100000):
@@ -118,14 +118,14 @@ def test_compaction_ladder(spark):
         return rules.compaction_verdict(table(spark, *rows)).first()
 
     lossy = [one(human_turns=40, reexplain=4, reexplain_after_compaction=3, turns_after_compaction=10, compactions=[comp()])] * 5
-    assert verdict(*lossy).verdict == "lossy"
-    assert verdict(*[one(compactions=[comp("auto")])] * 8).verdict == "forced late"
-    assert verdict(*[one(compactions=[comp(pre=900000)])] * 8).verdict == "forced late"
-    assert verdict(*[one(ctx_peak=900000)] * 5).verdict == "left too late"
-    assert verdict(*[one(compactions=[comp()])] * 3).verdict == "not enough compactions to judge"
-    assert verdict(*[one(compactions=[comp()])] * 8).verdict == "often"
+    assert verdict(*lossy).verdict == "loses detail"
+    assert verdict(*[one(compactions=[comp("auto")])] * 8).verdict == "late, by the limit"
+    assert verdict(*[one(compactions=[comp(pre=900000)])] * 8).verdict == "late, by the limit"
+    assert verdict(*[one(ctx_peak=900000)] * 5).verdict == "rarely compacted"
+    assert verdict(*[one(compactions=[comp()])] * 3).verdict == "too few to say"
+    assert verdict(*[one(compactions=[comp()])] * 8).verdict == "frequent"
     v = verdict(*[one(human_turns=100, compactions=[comp()])] * 8)
-    assert v.verdict == "by choice" and v.med_drop == pytest.approx(80.0)
+    assert v.verdict == "deliberate" and v.med_drop == pytest.approx(80.0)
 
 
 def test_prices(spark):
@@ -157,4 +157,4 @@ def test_visible_sessions_table_and_detail(spark):
     assert len(asc) == 4
     cost = spark.createDataFrame([("/3", 1.5, 0)], "path string, usd double, unpriced bigint")
     d = {r.sid: r for r in rules.session_detail(df, cost).collect()}
-    assert d["s3"].signals == "What happened: 2 interruptions." and d["s3"].usd == 1.5 and d["s0"].signals.startswith("Nothing")
+    assert d["s3"].signals == "Signals: 2 runs stopped." and d["s3"].usd == 1.5 and d["s0"].signals.startswith("No ")

@@ -135,6 +135,18 @@ def opening_features_kind_and_excerpt():
     assert "sk-ant" not in s.fp_excerpt and "«redacted»" in s.fp_excerpt
 
 
+@scenario
+def excerpt_is_cut_last():
+    spaced, key = yield Log().human("go" + " " * 700 + "fix the parser"), Log().human("x" * 190 + " sk-ant-" + "a" * 40)
+    assert spaced.fp_excerpt == "go fix the parser" and key.fp_excerpt == "x" * 190 + " «redacted"
+
+
+@scenario
+def commands_are_read_to_their_end():
+    s = yield Log().human("x").call("m", None, [tool("Bash", "t", command="echo " + "a" * 500 + " && pytest -q")]).result("t", "ok")
+    assert s.tests_run == 1
+
+
 @scenario
 def two_files_with_one_session_id_are_two_sessions():
     a, b = yield Log("same").human("x"), Log("same").human("y")
@@ -153,7 +165,7 @@ def assembled(spark):
         running[name] = (gen, len(logs))
     lines = spark.createDataFrame(rows, "path string, line_no bigint, value string")
     records = materialize(read_records(lines), "t")
-    done = {r.path: r for r in S.build_sessions(records, publish_excerpt=True).collect()}
+    done = {r.path: r for r in S.build_sessions(records, publish_excerpt=True, series_points=32).collect()}
     return running, done
 
 
@@ -187,8 +199,14 @@ def test_empty_input(spark):
     assert S.build_sessions(read_records(empty)).count() == 0
 
 
+def test_placing_reads_its_input_twice_and_sorts_no_aggregate(records):
+    written = materialize(records(Log().human("x").at(1).human("no, y")), "t")
+    plan = S.turn_state(written)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Scan parquet") <= 2 and "SortAggregate" not in plan
+
+
 def test_feed_window_and_lifetime(records):
     s = materialize(S.build_sessions(materialize(records(Log().human("x").call("m", use(out=3))), "t")), "s")
     now = F.lit("2027-06-01").cast("timestamp")
-    assert S.recent(s, now).count() == 0 and S.lifetime_totals(s).first().out == 3
+    assert S.recent(s, now, 365).count() == 0 and S.recent(s, now).count() == 1 and S.lifetime_totals(s).first().out == 3
     assert S.review_cost(s).first().judge_tokens == 0

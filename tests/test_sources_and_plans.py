@@ -93,7 +93,7 @@ def test_progress_plan(spark, lines):
     live = spark.createDataFrame([], "sessionId string, cwd string, startedAt double, name string")
     repos = spark.createDataFrame([], "root string")
     p = progress.build(lines(log), repos, live, "m", "/home/u")
-    assert p.projects.first().progress == 100.0 and p.stages.first().title == "Untitled session"
+    assert p.projects.first().progress == 100.0 and p.stages.first().title == "(no title)"
 
 
 def test_price_list_live_registry_deny_list_and_verdicts(spark, tmp_path):

@@ -94,3 +94,73 @@ def test_publisher_writes_once_for_equal_batches(spark, tmp_path):
     first = p.last
     p(df, 1)
     assert p.last is first
+
+
+class Kept:
+    """Stands in for a value or map state and its handle."""
+
+    def __init__(self):
+        self.value, self.map, self.timers, self.states = None, {}, [], {}
+
+    def exists(self):
+        return self.value is not None
+
+    def get(self):
+        return self.value
+
+    def update(self, value):
+        self.value = value
+
+    def containsKey(self, key):
+        return key in self.map
+
+    def updateValue(self, key, value):
+        self.map[key] = value
+
+    def clear(self):
+        self.value, self.map = None, {}
+
+    def getValueState(self, name, *schema):
+        return self.states.setdefault(name, Kept())
+
+    getMapState = getValueState
+
+    def listTimers(self):
+        return list(self.timers)
+
+    def deleteTimer(self, timer):
+        self.timers.remove(timer)
+
+    def registerTimer(self, timer):
+        self.timers.append(timer)
+
+    def getCurrentProcessingTimeInMs(self):
+        return 1000
+
+
+def test_an_idle_session_keeps_its_totals_and_asks_for_a_rebuild(spark, lines, session):
+    rows = fold.fold_input(read_records(lines(sample()))).toPandas().sort_values("line_no")
+    handle, processor = Kept(), fold.SessionFold(idle_hours=1)
+    processor.init(handle)
+    run = lambda part: next(processor.handleInputRows(("/s/1",), iter([part]), handle)).iloc[0]
+    before = run(rows.iloc[:7])
+    assert handle.timers == [1000 + 3_600_000] and before.human_turns > 0 and not before.needs_recompute
+    expired = next(processor.handleExpiredTimer(("/s/1",), handle, None)).iloc[0]
+    assert expired.human_turns == before.human_turns and not handle.states["ids"].map
+    after = run(rows.iloc[7:])
+    assert after.needs_recompute and after.human_turns == before.human_turns
+    folded = spark.createDataFrame([("/s/1", True), ("/other", False)], "path string, needs_recompute boolean")
+    built, want = feeds.rebuild(folded, lines(sample(), Log("s2", "/other").human("x"))).collect(), session(sample())
+    assert [(r.path, r.human_turns, r.active_min) for r in built] == [("/s/1", want.human_turns, want.active_min)]
+
+
+def test_without_an_idle_time_no_timer_is_set(lines):
+    handle, processor = Kept(), fold.SessionFold()
+    processor.init(handle)
+    next(processor.handleInputRows(("/s/1",), iter([fold.fold_input(read_records(lines(sample()))).toPandas()]), handle))
+    assert handle.timers == []
+
+
+def test_continued_sessions_are_closed_at_once(records):
+    log = Log("s1", "/s/1").human("x").add(type="continued-in", continuedInSessionId="next")
+    assert [tuple(r) for r in feeds.continued_sessions(records(log)).collect()] == [("/s/1", "next")]

@@ -6,11 +6,6 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
-def iso_instant(text: Column) -> Column:
-    """ISO-8601 text (``Z`` allowed) to a timestamp; null when unreadable."""
-    return F.try_to_timestamp(text)
-
-
 def epoch_millis(value: Column) -> Column:
     return F.timestamp_millis(value.cast("bigint"))
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from turnwise import fixed
 
-INLINE_DENY_VALUES = 500
+_GRAM = 8  # characters of a hashed run; any DENY_MIN_CHARS characters hold DENY_MIN_CHARS - _GRAM + 1 of them
 
 
 def redact(text: Column, patterns: Sequence[str] = fixed.SECRET_PATTERNS) -> Column:
@@ -28,56 +28,48 @@ def _replace_values(text: Column, values: Column) -> Column:
     return F.aggregate(values, text, lambda acc, v: F.replace(acc, v, F.lit(fixed.REDACTED)))
 
 
-def redact_listed(
-    df: DataFrame, id_cols: Sequence[str], col: str, deny: DataFrame, inline: int = INLINE_DENY_VALUES
-) -> DataFrame:
-    """Replace every deny-listed value (column ``value`` of ``deny``) inside ``col``.
+def _let(value: Column, use) -> Column:
+    return F.element_at(F.transform(F.array(value), use), 1)
 
-    A list of up to ``inline`` values (its size is checked first)
-    becomes literals in the expression.  A longer list is matched by join, in
-    two exact steps: a value can only occur where its first ``DENY_MIN_CHARS``
-    characters occur, so texts are exploded into their distinct windows of that
-    length, equi-joined with the list's prefixes, confirmed with ``contains``,
-    and only the confirmed values (few per text) are carried back to the row.
-    Values with spaces and values inside longer words are found too.
-    """
-    listed = deny.select("value").filter(F.length("value") >= fixed.DENY_MIN_CHARS).distinct()
-    small = listed.limit(inline + 1).collect()
-    if len(small) <= inline:
-        values = sorted((r.value for r in small), key=lambda v: (-len(v), v))
-        if not values:
-            return df
-        return df.withColumn(col, _replace_values(F.col(col), F.array(*[F.lit(v) for v in values])))
 
-    width = fixed.DENY_MIN_CHARS
+def _marks(text: Column) -> Column:
+    """The distinct least run hashes of every ``DENY_MIN_CHARS`` characters of a text.
+
+    Equal stretches of that length have equal marks, so a text that holds a
+    listed value holds the mark of the value's beginning.  Neighbouring
+    stretches mostly share theirs: there is about one mark for five characters.
+    """
+    span = fixed.DENY_MIN_CHARS - _GRAM + 1
 
     def runs(chars: Column) -> Column:
-        starts = F.when(F.size(chars) >= width, F.sequence(F.lit(1), F.size(chars) - (width - 1))).otherwise(
-            F.array().cast("array<int>")
-        )
-        return F.transform(starts, lambda i: F.xxhash64(F.array_join(F.slice(chars, i, width), "")))
-
-    keys = list(id_cols)
-    # Cut into characters once per text: substring() would walk it again for every position.
-    hashes = F.flatten(F.transform(F.array(F.split(F.col(col), "")), runs))
-    windows = df.select(*keys, F.explode(F.array_distinct(hashes)).alias("h"))
-    prefixes = listed.select(F.xxhash64(F.substring("value", 1, width)).alias("h"), "value")
-    candidates = windows.join(prefixes, "h").select(*keys, "value").distinct()
-    confirmed = (
-        candidates.join(df.select(*keys, col), keys)
-        .filter(F.contains(F.col(col), F.col("value")))
-        .groupBy(*keys)
-        .agg(F.collect_set("value").alias("__found"))
-    )
-    longest_first = F.transform(
-        F.array_sort(F.transform("__found", lambda v: F.struct((-F.length(v)).alias("n"), v.alias("v")))),
-        lambda s: s["v"],
-    )
-    return (
-        df.join(confirmed, keys, "left")
-        .withColumn(
-            col,
-            F.when(F.col("__found").isNull(), F.col(col)).otherwise(_replace_values(F.col(col), longest_first)),
-        )
-        .drop("__found")
-    )
+        return F.transform(F.sequence(F.lit(0), F.size(chars) - _GRAM), lambda i: F.xxhash64(*(F.get(chars, i + j) for j in range(_GRAM))))
+
+    def least(hashes: Column) -> Column:
+        return F.transform(F.sequence(F.lit(0), F.size(hashes) - span), lambda i: F.least(*(F.get(hashes, i + j) for j in range(span))))
+
+    found = _let(F.split(text, ""), lambda chars: _let(runs(chars), lambda hashes: F.array_distinct(least(hashes))))
+    return F.when(F.length(text) >= fixed.DENY_MIN_CHARS, found).otherwise(F.array().cast("array<bigint>"))
+
+
+def redact_listed(df: DataFrame, col: str, deny: DataFrame) -> DataFrame:
+    """Replace every deny-listed value (column ``value`` of ``deny``) inside ``col``.
+
+    One form for every length of list and text.  What a text becomes depends on
+    the text alone, so rows are known by their text: ids may be null or
+    repeated.  Texts and values meet by their marks (see ``_marks``), which are
+    filtered by the list's marks before anything else moves; a possible hit is
+    confirmed with ``contains``.  Longer values are replaced first.  Values
+    shorter than ``DENY_MIN_CHARS`` are not looked for; null texts stay null.
+    """
+    key = [F.xxhash64(col).alias("__a"), F.crc32(F.col(col).cast("binary")).alias("__b"), F.length(col).alias("__c")]
+    names = ["__a", "__b", "__c"]
+    listed = deny.select("value").where(F.length("value") >= fixed.DENY_MIN_CHARS).distinct()
+    listed = listed.select("value", F.get(_marks(F.substring("value", 1, fixed.DENY_MIN_CHARS)), F.lit(0)).alias("__mark"))
+    texts = df.where(F.col(col).isNotNull()).select(F.col(col).alias("__text"), *key)
+    marks = texts.select(*names, F.explode(_marks(F.col("__text"))).alias("__mark"))
+    possible = marks.join(listed, "__mark").select(*names, "value").distinct()
+    confirmed = possible.join(texts, names).where(F.contains("__text", "value")).groupBy(*names).agg(F.collect_set("value").alias("__found"))
+    longest_first = F.transform(F.array_sort(F.transform("__found", lambda v: F.struct((-F.length(v)).alias("n"), v.alias("v")))), lambda s: s["v"])
+    keyed = df.select("*", *key)
+    out = F.when(F.col("__found").isNull(), F.col(col)).otherwise(_replace_values(F.col(col), longest_first))
+    return keyed.join(confirmed, names, "left").withColumn(col, out).select(*df.columns)

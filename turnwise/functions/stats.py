@@ -32,11 +32,6 @@ def share(hits: Column, n: Column) -> Column:
     return ratio_or_zero(hits.cast("double"), n, 100.0)
 
 
-def median(value: Column) -> Column:
-    """Exact median of a small group, zero when empty (see ``medians`` for large ones)."""
-    return F.coalesce(F.percentile(value, 0.5), F.lit(0.0))
-
-
 def compare_columns(worse_rate: Column, better_rate: Column, worse_n: Column, better_n: Column) -> dict[str, Column]:
     """Gap always; ratio only when the reference rate can carry one."""
     gap = worse_rate - better_rate
@@ -59,7 +54,3 @@ def effect(can_ratio: Column, ratio: Column, gap: Column) -> Column:
 
 def score(effect_: Column, reach: Column, n: Column) -> Column:
     return effect_ * reach * F.least(F.lit(1.0), n / 20)
-
-
-def clamp(value: Column, lo: float, hi: float) -> Column:
-    return F.greatest(F.lit(lo), F.least(F.lit(hi), value))

@@ -77,7 +77,7 @@ def opens_like_correction(
     exclusions: Sequence[str] = fixed.CORRECTION_EXCLUSIONS,
 ) -> Column:
     """A follow-up turn whose opening reads like pushback."""
-    head = F.substring(trim_all(text), 1, fixed.EXCERPT_CHARS)
+    head = trim_start(text)
     return (
         (turn_no > 1)
         & head.rlike(opening_pattern(openings))
@@ -95,7 +95,7 @@ def first_prompt_features(text: Column, patterns: dict[str, str] = PATTERNS) ->
         "has_done_criterion": t.rlike(patterns["has_done_criterion"]),
         "is_question": t.endswith("?") | t.rlike(patterns["question"]),
         "slash_cmd": t.startswith("/"),
-        "mentions_plan": F.substring(t, 1, fixed.PLAN_WORDS_WITHIN).rlike(patterns["mentions_plan"]),
+        "mentions_plan": t.rlike(patterns["mentions_plan"]),
     }
 
 

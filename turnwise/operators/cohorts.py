@@ -53,24 +53,14 @@ def at_or_above_median(df: DataFrame, value: str) -> DataFrame:
     return df.filter(F.col(value) >= global_median(df, F.col(value)).scalar())
 
 
-def top_tools(tool_sizes: DataFrame, k: int = 8) -> DataFrame:
-    """Tools by returned size, with their share of everything returned."""
+def top_tools(tool_sizes: DataFrame, k: int | None = None) -> DataFrame:
+    """Tools by returned size, with their share of everything returned; the ``k`` largest where given."""
     totals = tool_sizes.groupBy("tool").agg(F.sum("size").alias("size"))
     whole = totals.agg(F.sum("size").alias("s"))
-    return (
-        totals.withColumn("pct", stats.share(F.col("size"), whole.scalar()))
-        .orderBy(F.desc("size"), "tool")
-        .limit(k)
-    )
+    shared = totals.withColumn("pct", stats.share(F.col("size"), whole.scalar()))
+    return shared if k is None else shared.orderBy(F.desc("size"), "tool").limit(k)
 
 
 def cause_histogram(verdict_turns: DataFrame) -> DataFrame:
     """How often each cause was named."""
     return verdict_turns.filter(F.col("cause").isNotNull()).groupBy("cause").agg(F.count("*").alias("n"))
-
-
-def label_totals(verdict_turns: DataFrame) -> DataFrame:
-    return verdict_turns.agg(
-        count_if(F.col("label").isin(*fixed.REVISION_LABELS)).alias("labelled"),
-        F.count("cause").alias("attributed"),
-    )

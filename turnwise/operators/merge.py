@@ -43,7 +43,7 @@ def union_feeds(*feeds: DataFrame) -> DataFrame:
 
 
 def merge_feeds(sessions: DataFrame, lifetime: DataFrame, meta: DataFrame, major: int = fixed.FEED_SCHEMA_MAJOR) -> Merged:
-    """Merge understood feeds: sessions newest first, counters summed, newest stamp kept."""
+    """Merge understood feeds: counters summed, newest stamp kept."""
     ok, skipped = schema_gate(meta, major)
     names = ok.select("machine").distinct()
     per_machine = lifetime.join(names, "machine", "left_semi")
@@ -53,7 +53,7 @@ def merge_feeds(sessions: DataFrame, lifetime: DataFrame, meta: DataFrame, major
         F.coalesce(F.sum("lifetime_sessions"), F.lit(0)).alias("lifetime_sessions"), F.max("generated_utc").alias("generated_utc"),
     )
     return Merged(
-        sessions.join(names, "machine", "left_semi").orderBy(F.desc_nulls_last("latest_at")),
+        sessions.join(names, "machine", "left_semi"),
         ok.select("machine", "reader_version", "generated_utc", "excerpts_published", "window_days"),
         skipped,
         S.sum_counters(per_machine.select("model", *COUNTERS), ["model"]),

@@ -75,59 +75,22 @@ def first_mark_turn(df: DataFrame, keys: Sequence[str], turn_no: Column, mark: C
     return df.groupBy(*keys).agg(F.min(F.when(mark, F.greatest(F.lit(1), turn_no))).alias(out))
 
 
-def repeated_wording(
-    df: DataFrame,
-    keys: Sequence[str],
-    turn: str,
-    text: str,
-    n: int = fixed.SHINGLE_WORDS,
-    max_shingles: int | None = None,
-) -> DataFrame:
+def repeated_wording(df: DataFrame, keys: Sequence[str], turn: str, text: str, n: int = fixed.SHINGLE_WORDS) -> DataFrame:
     """Flag turns that share an n-word run with an earlier turn of the same key.
 
     A turn is new exactly when it is the first holder of every one of its runs.
     So each run finds its first holder with a map-side combined ``min`` over
     plain numbers (a hash aggregate: no self-join, no window, no sort, however
     common a run is), and a turn repeats when it is first for fewer runs than
-    it has.  ``max_shingles`` stops remembering new turns once that many runs
-    are stored.
+    it has.  All joins are on key and turn, so a hot key is spread by its turns.
     """
     keys = list(keys)
     own = X.shingles(F.col(text), n)
-    held = df.select(*keys, turn, F.explode(own).alias("__run"))
-    firsts = held.groupBy(*keys, "__run").agg(F.min(turn).alias("__first"))
-    per_turn = firsts.groupBy(*keys, F.col("__first").alias(turn)).agg(F.count("*").alias("__new"))
-    flagged = df.select(*keys, turn, F.size(own).alias("__runs")).join(per_turn, [*keys, turn], "left")
-    repeated = F.col("__runs") > F.coalesce("__new", F.lit(0))
-    if max_shingles is None:
-        return flagged.select(*keys, turn, repeated.alias("repeated"))
-
-    stored = scan(per_turn, by_number(tuple(keys), turn), __total=running_sum(F.col("__new")))
-    cutoff = (
-        stored.filter(F.col("__total") - F.col("__new") >= max_shingles)
-        .groupBy(*keys)
-        .agg(F.min(turn).alias("__cutoff"))
-    )
-    # Beyond the cutoff a turn repeats only what was stored before it.
-    memory = firsts.join(cutoff, keys).filter(F.col("__first") < F.col("__cutoff")).select(*keys, "__run")
-    late = (
-        held.join(cutoff, keys)
-        .filter(F.col(turn) >= F.col("__cutoff"))
-        .join(memory, [*keys, "__run"], "left_semi")
-        .groupBy(*keys, turn)
-        .agg(F.lit(True).alias("__late_hit"))
-    )
-    return (
-        flagged.join(cutoff, keys, "left")
-        .join(late, [*keys, turn], "left")
-        .select(
-            *keys,
-            turn,
-            F.when(F.col(turn) >= F.col("__cutoff"), F.coalesce("__late_hit", F.lit(False)))
-            .otherwise(repeated)
-            .alias("repeated"),
-        )
-    )
+    runs = df.select(*keys, turn, F.explode(own).alias("__run"))
+    firsts = runs.groupBy(*keys, "__run").agg(F.min(turn).alias("__first"))
+    fresh = firsts.groupBy(*keys, F.col("__first").alias(turn)).agg(F.count("*").alias("__new"))
+    flagged = df.select(*keys, turn, F.size(own).alias("__runs")).join(fresh, [*keys, turn], "left")
+    return flagged.select(*keys, turn, (F.col("__runs") > F.coalesce("__new", F.lit(0))).alias("repeated"))
 
 
 def drop_repeated_boundaries(df: DataFrame, o: Ordering, cols: Sequence[str]) -> DataFrame:
@@ -177,12 +140,15 @@ def series_folds(y: str) -> dict[str, Fold]:
     return {"__i": running_sum(F.lit(1)), "__n": total(F.sum, F.lit(1)), "__top": total(F.max, F.col(y))}
 
 
-def series_aggregates(x: str, y: str, target: int = fixed.SERIES_POINTS) -> list[Column]:
-    """Per key: the evenly spaced points and the first peak; every other point is dropped row by row."""
+def series_aggregates(x: str, y: str, target: int | None = None) -> list[Column]:
+    """Per key: the evenly spaced points (all without a ``target``) and the first peak; every other point is dropped row by row."""
     i, n = F.col("__i") - 1, F.col("__n")
-    step = (n - 1) / F.lit(float(target - 1))
-    near = F.round(i / step)
-    slot = F.when(n <= target, i).when(F.bround(near * step, 0) == i, near).cast("int")
+    if target is None:
+        slot = i.cast("int")
+    else:
+        step = (n - 1) / F.lit(float(target - 1))
+        near = F.round(i / step)
+        slot = F.when(n <= target, i).when(F.bround(near * step, 0) == i, near).cast("int")
     point = F.struct(F.col(x).alias("x"), slot.alias("slot"), F.col(y).alias("y"))
     return [
         F.collect_list(F.when(slot.isNotNull(), point)).alias("__points"),
@@ -190,8 +156,10 @@ def series_aggregates(x: str, y: str, target: int = fixed.SERIES_POINTS) -> list
     ]
 
 
-def series_column(target: int = fixed.SERIES_POINTS) -> Column:
+def series_column(target: int | None = None) -> Column:
     """The finished series; the peak takes the middle slot when the stride missed it."""
+    if target is None:
+        return F.transform(F.array_sort("__points"), lambda p: F.struct(p["x"].alias("min"), p["y"].alias("ctx")))
     has_peak = F.exists("__points", lambda p: (p["x"] == F.col("__peak.x")) & (p["y"] == F.col("__peak.y")))
     swapped = F.transform(
         "__points",
@@ -204,7 +172,7 @@ def series_column(target: int = fixed.SERIES_POINTS) -> Column:
     return F.transform(ordered, lambda p: F.struct(p["x"].alias("min"), p["y"].alias("ctx")))
 
 
-def downsample_series(df: DataFrame, o: Ordering, x: str, y: str, target: int = fixed.SERIES_POINTS) -> DataFrame:
+def downsample_series(df: DataFrame, o: Ordering, x: str, y: str, target: int) -> DataFrame:
     """At most ``target`` points per key: evenly spaced, both ends, and the true peak."""
     numbered = scan(df.select(*o.keys, *dict.fromkeys([*o.order, x, y])), o, **series_folds(y))
     gathered = numbered.groupBy(*o.keys).agg(*series_aggregates(x, y, target))
@@ -240,8 +208,10 @@ def latest_meta(df: DataFrame, o: Ordering, last: Sequence[str] = (), first: Seq
     return df.groupBy(*o.keys).agg(*out)
 
 
-def keep_last_turns(df: DataFrame, o: Ordering, turn_no: str, n: int = fixed.DIGEST_TURNS) -> DataFrame:
-    """Keep the last ``n`` turns of a key; ``omitted`` says how many came before."""
+def keep_last_turns(df: DataFrame, o: Ordering, turn_no: str, n: int | None = None) -> DataFrame:
+    """Keep the last ``n`` turns of a key, all without a number; ``omitted`` says how many came before."""
+    if n is None:
+        return df.withColumn("omitted", F.lit(0).cast("bigint"))
     seen = scan(df, o, __last=total(F.max, F.col(turn_no)))
     return (
         seen.filter(F.col(turn_no) > F.col("__last") - n)
@@ -250,18 +220,18 @@ def keep_last_turns(df: DataFrame, o: Ordering, turn_no: str, n: int = fixed.DIG
     )
 
 
-def turn_minutes(df: DataFrame, keys: Sequence[str], turn_no: str, minutes: str, limit: int = fixed.TURN_MINUTES_KEPT) -> DataFrame:
-    """Minute of each of the first ``limit`` turns, in order."""
+def turn_minutes(df: DataFrame, keys: Sequence[str], turn_no: str, minutes: str, limit: int | None = None) -> DataFrame:
+    """Minute of each turn, in order; of the first ``limit`` where given."""
     pairs = F.array_sort(F.collect_list(F.struct(turn_no, minutes)))
     return (
-        df.filter(F.col(turn_no) <= limit)
+        df.filter(F.lit(True) if limit is None else F.col(turn_no) <= limit)
         .groupBy(*keys)
         .agg(F.transform(pairs, lambda p: p[minutes]).alias("turn_min"))
     )
 
 
-def actions_between_turns(events: DataFrame, keys: Sequence[str], turn_no: str, tool: str, top: int = fixed.DIGEST_TOP_TOOLS) -> DataFrame:
-    """Most used tools after each turn and before the next; ties go to the first used."""
+def actions_between_turns(events: DataFrame, keys: Sequence[str], turn_no: str, tool: str, top: int | None = None) -> DataFrame:
+    """Tools after each turn and before the next, most used first (the ``top`` ones where given); ties go to the first used."""
     keys = list(keys)
     counted = (
         events.filter((F.col(turn_no) > 0) & F.col(tool).isNotNull())

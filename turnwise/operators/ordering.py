@@ -58,11 +58,6 @@ def by_time(keys: tuple[str, ...], ts: str, tie: str, seconds: int = 60) -> Orde
     return Ordering(tuple(keys), (ts, tie), f"floor(unix_seconds(`{ts}`) / {seconds})")
 
 
-def by_value(keys: tuple[str, ...], value: str) -> Ordering:
-    """Order by a number, cut on a logarithmic scale (64 cuts per doubling)."""
-    return Ordering(tuple(keys), (value,), f"floor(sign(`{value}`) * log2(1 + abs(`{value}`)) * 64)")
-
-
 LINES = by_number(("path",), "line_no")
 
 
@@ -173,30 +168,34 @@ def first_by(df: DataFrame, keys: list[str], position: Column) -> DataFrame:
     return df.groupBy(*keys).agg(F.min_by(F.struct(*rest), position).alias("__row")).select(*keys, "__row.*")
 
 
-def top_k(df: DataFrame, keys: list[str], order: list[Column], k: int, rank: str = "rank") -> DataFrame:
-    """First ``k`` rows per key; Spark limits each task's groups before the shuffle."""
+def top_k(df: DataFrame, keys: list[str], order: list[Column], k: int | None, rank: str = "rank") -> DataFrame:
+    """First ``k`` rows per key, all without a number; Spark limits each task's groups before the shuffle."""
     w = Window.partitionBy(*keys).orderBy(*order)
-    return df.withColumn(rank, F.row_number().over(w)).filter(F.col(rank) <= k)
+    ranked = df.withColumn(rank, F.row_number().over(w))
+    return ranked if k is None else ranked.filter(F.col(rank) <= k)
+
 
+def value_segments(df: DataFrame, value: str, cuts: int) -> DataFrame:
+    """Add ``__cut``, the number of approximate quantiles below each value; it never decreases with the value."""
+    number = F.col(value).cast("double")
+    marks = df.agg(F.percentile_approx(number, [i / cuts for i in range(1, cuts)], 10 * cuts)).scalar()
+    return df.withColumn("__marks", marks).withColumn("__cut", F.size(F.filter("__marks", lambda m: m < number))).drop("__marks")
 
-def medians(df: DataFrame, keys: list[str], value: str, out: str = "median") -> DataFrame:
+
+def medians(df: DataFrame, keys: list[str], value: str, out: str = "median", cuts: int = 256) -> DataFrame:
     """Exact median per key (mean of the middle two).
 
-    Distinct values are counted first, then scanned in value order, so no task
-    ever holds all values of a group.
+    Distinct values are counted first, then scanned in value order.  Segments
+    are cut at approximate quantiles of the counted values, so each holds about
+    ``1 / cuts`` of them however they lie, and no task holds a group.
     """
     counted = df.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("__n"))
-    placed = scan(counted, by_value(tuple(keys), value), __upto=running_sum(F.col("__n")))
-    totals = counted.groupBy(*keys).agg(F.sum("__n").alias("__total"))
+    placed = scan(value_segments(counted, value, cuts), Ordering(tuple(keys), (value,), "__cut"), __upto=running_sum(F.col("__n")), __total=total(F.sum, F.col("__n")))
     lower = F.floor((F.col("__total") + 1) / 2)
     upper = F.floor(F.col("__total") / 2) + 1
 
     def covers(at: Column) -> Column:
         return (F.col("__upto") >= at) & (F.col("__upto") - F.col("__n") < at)
 
-    return (
-        placed.join(totals, keys)
-        .filter(covers(lower) | covers(upper))
-        .groupBy(*keys)
-        .agg(((F.min(value) + F.max(value)) / 2).alias(out))
-    )
+    middle = placed.filter(covers(lower) | covers(upper))
+    return middle.groupBy(*keys).agg(((F.min(value) + F.max(value)) / 2).alias(out))

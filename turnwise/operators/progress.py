@@ -99,8 +99,13 @@ def display_names(stages: DataFrame) -> DataFrame:
     )
 
 
-def build_progress(latest: DataFrame, roots: DataFrame, live: DataFrame, machine: str) -> tuple[DataFrame, DataFrame]:
-    """``(stages, subtasks)`` of one machine, redacted, from ``latest_progress``."""
+def build_progress(
+    latest: DataFrame, roots: DataFrame, live: DataFrame, machine: str, deny: DataFrame | None = None
+) -> tuple[DataFrame, DataFrame]:
+    """``(stages, subtasks)`` of one machine, redacted by pattern and by ``deny``, from ``latest_progress``."""
+    def clean(df: DataFrame, col: str) -> DataFrame:
+        return df if deny is None else redact.redact_listed(df, col, deny)
+
     placed = latest.filter("cwd != '' and sid != ''").join(roots, "cwd")
     named = display_names(attach_live(placed, live)).withColumns(
         {"machine": F.lit(machine), "project_key": F.concat(F.lit(f"{machine}::"), "root"), "stage_key": F.col("sid")}
@@ -109,6 +114,7 @@ def build_progress(latest: DataFrame, roots: DataFrame, live: DataFrame, machine
         *STAGE, "machine", "pos", X.fingerprint(F.col("t.content")).alias("subtask_key"),
         redact.redact(F.coalesce("t.content", F.lit(""))).alias("text"), F.coalesce("t.status", F.lit("pending")).alias("status"),
     )
+    subtasks = clean(subtasks, "text")
     done = F.size(F.filter("todos", lambda t: t["status"] == "completed")).cast("bigint")
     total = F.size("todos").cast("bigint")
     stages = named.select(
@@ -117,7 +123,7 @@ def build_progress(latest: DataFrame, roots: DataFrame, live: DataFrame, machine
         percent(done, total).alias("progress"),
         F.exists("todos", lambda t: F.coalesce(t["status"] == "in_progress", F.lit(False))).alias("has_doing"),
     )
-    return mark_foreground(stages), subtasks
+    return mark_foreground(clean(stages, "title")), subtasks
 
 
 def mark_foreground(stages: DataFrame) -> DataFrame:
@@ -283,9 +289,9 @@ def summary_lines(projects: DataFrame, stages: DataFrame) -> DataFrame:
 # --- user edits ---------------------------------------------------------------
 
 
-def current_overlay(log: DataFrame) -> DataFrame:
-    """Edit log to current edits: valid rows only, last write per level, key and field wins."""
-    title = F.substring("value", 1, fixed.TITLE_CHARS)
+def current_overlay(log: DataFrame, title_chars: int | None = None) -> DataFrame:
+    """Edit log to current edits: valid rows only, last write per level, key and field wins; titles whole or cut."""
+    title = F.col("value") if title_chars is None else F.substring("value", 1, title_chars)
     valid = (
         F.col("level").isin(*fixed.OVERLAY_LEVELS) & F.col("field").isin(*fixed.OVERLAY_FIELDS) & (F.col("key") != "")
         & ((F.col("field") == "hidden") | (F.length("value") > 0))

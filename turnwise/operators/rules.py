@@ -60,13 +60,13 @@ def _missing_cohorts() -> tuple[Cohort, ...]:
     out = []
     for item in fixed.MISSING_ITEMS:
         hit = f"coalesce(array_contains(j.missing, '{item}'), false)"
-        out += [Cohort(f"{item}: left out", hit), Cohort(f"{item}: given", f"not {hit}")]
+        out += [Cohort(f"{item}: absent", hit), Cohort(f"{item}: present", f"not {hit}")]
     return tuple(out)
 
 
 RULES = (
     Rule(
-        "first_prompt_anchors", "Anchors in the opening message", "not is_resumed and tool_calls_total >= 1",
+        "first_prompt_anchors", "Concrete openings", "not is_resumed and tool_calls_total >= 1",
         (
             *[Cohort(f"{k} of three", f"anchors = {k}") for k in range(4)],
             Cohort("few", "anchors <= 1", shown=False), Cohort("many", "anchors >= 2", shown=False), _POOL,
@@ -75,7 +75,7 @@ RULES = (
         advice="Name the file, the limit and the check in the first message.",
     ),
     Rule(
-        "long_session_knee", "How long a session runs", "human_turns >= 1",
+        "long_session_knee", "Session length", "human_turns >= 1",
         (
             *[Cohort(n, f"human_turns >= {lo}" + (f" and human_turns <= {hi}" if hi else "")) for n, lo, hi in BANDS],
             _POOL,
@@ -83,48 +83,48 @@ RULES = (
         advice="Finish one thing per session and hand over to a fresh one.",
     ),
     Rule(
-        "resumed_vs_fresh", "Resuming versus starting fresh", "tool_calls_total >= 1",
-        (Cohort("fresh start", "not is_resumed"), Cohort("resumed", "is_resumed"), _POOL),
-        worse="resumed", better="fresh start",
+        "resumed_vs_fresh", "Continued sessions", "tool_calls_total >= 1",
+        (Cohort("new", "not is_resumed"), Cohort("continued", "is_resumed"), _POOL),
+        worse="continued", better="new",
         advice="Restate where things stand when resuming.",
     ),
     Rule(
-        "plan_mode_big_tasks", "Planning before big tasks", "not is_resumed and tool_calls_total >= 1",
+        "plan_mode_big_tasks", "Plans on large jobs", "not is_resumed and tool_calls_total >= 1",
         (
-            Cohort("planned first", "is_big and (plan_mode or coalesce(mentions_plan, false))"),
-            Cohort("no plan", "is_big and not (plan_mode or coalesce(mentions_plan, false))"),
+            Cohort("plan", "is_big and (plan_mode or coalesce(mentions_plan, false))"),
+            Cohort("straight in", "is_big and not (plan_mode or coalesce(mentions_plan, false))"),
             Cohort("big", "is_big", shown=False), _POOL,
         ),
         events="denied_user + interrupts_tool", per="tool_calls_total / 10.0",
-        worse="no plan", better="planned first",
+        worse="straight in", better="plan",
         advice="Ask for the plan first on anything large.",
     ),
     Rule(
-        "assistant_asked", "Letting the assistant ask first", "not is_resumed and tool_calls_total >= 10",
-        (Cohort("asked at least once", "askuser >= 1"), Cohort("never asked", "askuser = 0"), _POOL),
+        "assistant_asked", "Questions back", "not is_resumed and tool_calls_total >= 10",
+        (Cohort("some questions", "askuser >= 1"), Cohort("no questions", "askuser = 0"), _POOL),
         events="interrupts + steering", per="greatest(1, human_turns - askuser)",
-        worse="never asked", better="asked at least once",
+        worse="no questions", better="some questions",
         advice="Invite questions at the end of an open-ended request.",
     ),
     Rule(
-        "tool_output_bloat", "What fills the context window", "true",
+        "tool_output_bloat", "Largest tool outputs", "true",
         (
-            Cohort("hot context", f"ctx_pct >= {HOT_CONTEXT_PCT}", shown=False),
-            Cohort("light context", f"ctx_pct < {HOT_CONTEXT_PCT}", shown=False), _POOL,
+            Cohort("window mostly full", f"ctx_pct >= {HOT_CONTEXT_PCT}", shown=False),
+            Cohort("window mostly free", f"ctx_pct < {HOT_CONTEXT_PCT}", shown=False), _POOL,
         ),
         advice="Search first and read only the lines that are needed.",
     ),
     Rule(
-        "cache_resets", "Idle gaps and conversation restarts", "tool_calls_total >= 10",
+        "cache_resets", "Cache rebuilds", "tool_calls_total >= 10",
         (
-            Cohort("with a reset", "cache_resets >= 1"), Cohort("without", "cache_resets = 0"),
+            Cohort("rebuilt", "cache_resets >= 1"), Cohort("kept", "cache_resets = 0"),
             Cohort("pool", "true", shown=False, events="cache_resets", per="human_turns"),
         ),
         events="cache_writes", per="input_tokens", scale=100.0,
         advice="Finish the step before a long pause.",
     ),
     Rule(
-        "first_prompt_score", "How complete the first messages are", f"{_JUDGED} and tool_calls_total >= 1",
+        "first_prompt_score", "Opening checklist", f"{_JUDGED} and tool_calls_total >= 1",
         (
             *[Cohort(f"{lo}-{hi}", f"j.score between {lo} and {hi}") for lo, hi in ((0, 1), (2, 3), (4, 5))],
             _POOL,
@@ -132,10 +132,10 @@ RULES = (
         judged=True,
         advice="Say goal, place, state, check and boundary.",
     ),
-    Rule("correction_causes", "Why corrections happened", _JUDGED, (_POOL,), judged=True,
+    Rule("correction_causes", "Sources of corrections", _JUDGED, (_POOL,), judged=True,
          advice="Treat each prompt gap as a line missing from the first message."),
     Rule(
-        "missing_ingredient_cost", "The ingredient left out most", _JUDGED, (*_missing_cohorts(), _POOL), judged=True,
+        "missing_ingredient_cost", "Costliest omission", _JUDGED, (*_missing_cohorts(), _POOL), judged=True,
         advice="Put that one item in every first message for a week.",
     ),
 )
@@ -240,7 +240,7 @@ def band_context(prepared: DataFrame) -> DataFrame:
 def heavy_light_medians(prepared: DataFrame) -> DataFrame:
     """Median returned size of sessions that did and did not fill their context."""
     sided = prepared.select(
-        F.when(F.col("ctx_pct") >= HOT_CONTEXT_PCT, "hot context").otherwise("light context").alias("cohort"), "output_size"
+        F.when(F.col("ctx_pct") >= HOT_CONTEXT_PCT, "window mostly full").otherwise("window mostly free").alias("cohort"), "output_size"
     )
     return medians(sided, ["cohort"], "output_size", "median_size")
 
@@ -258,7 +258,7 @@ def _sides() -> tuple[Column, Column]:
         return F.try_element_at(c, F.lit(name))
 
     usable = F.filter(F.array(*[at(b) for b in BAND_NAMES]), lambda g: g["n"] >= fixed.MIN_N)
-    pairs = F.array(*[F.struct(at(f"{i}: left out").alias("w"), at(f"{i}: given").alias("b"), F.lit(-k).alias("k")) for k, i in enumerate(fixed.MISSING_ITEMS)])
+    pairs = F.array(*[F.struct(at(f"{i}: absent").alias("w"), at(f"{i}: present").alias("b"), F.lit(-k).alias("k")) for k, i in enumerate(fixed.MISSING_ITEMS)])
     ready = F.filter(pairs, lambda p: (p["w"]["n"] >= fixed.MIN_N) & (p["b"]["n"] >= fixed.MIN_N))
     ranked = F.transform(ready, lambda p: F.struct((p["w"]["rate"] - p["b"]["rate"]).alias("gap"), p["k"], p["w"], p["b"]))
     worst = F.array_max(ranked)
@@ -266,15 +266,15 @@ def _sides() -> tuple[Column, Column]:
         F.when(F.col("rule_id") == "long_session_knee", F.try_element_at(usable, F.lit(-1)))
         .when(F.col("rule_id") == "first_prompt_score", at("0-1"))
         .when(F.col("rule_id") == "missing_ingredient_cost", worst["w"])
-        .when(F.col("rule_id") == "tool_output_bloat", at("hot context"))
-        .when(F.col("rule_id") == "cache_resets", at("with a reset"))
+        .when(F.col("rule_id") == "tool_output_bloat", at("window mostly full"))
+        .when(F.col("rule_id") == "cache_resets", at("rebuilt"))
     )
     better = (
         F.when(F.col("rule_id") == "long_session_knee", F.try_element_at(usable, F.lit(1)))
         .when(F.col("rule_id") == "first_prompt_score", F.when(at("4-5")["n"] >= fixed.MIN_N, at("4-5")).otherwise(at("2-3")))
         .when(F.col("rule_id") == "missing_ingredient_cost", worst["b"])
-        .when(F.col("rule_id") == "tool_output_bloat", at("light context"))
-        .when(F.col("rule_id") == "cache_resets", at("without"))
+        .when(F.col("rule_id") == "tool_output_bloat", at("window mostly free"))
+        .when(F.col("rule_id") == "cache_resets", at("kept"))
     )
     for rule in RULES:
         if rule.worse:
@@ -365,7 +365,7 @@ def evaluate(prepared: DataFrame) -> DataFrame:
                 {
                     "long_session_knee": F.coalesce(knee["cohort"], F.col("w.cohort")),
                     "tool_output_bloat": F.col("tool.name"),
-                    "missing_ingredient_cost": F.regexp_replace("w.cohort", ": left out$", ""),
+                    "missing_ingredient_cost": F.regexp_replace("w.cohort", ": absent$", ""),
                 },
                 F.col("w.cohort"),
             ),
@@ -376,8 +376,8 @@ def evaluate(prepared: DataFrame) -> DataFrame:
         {
             "score": F.when(F.col("fired"), stats.score(F.col("effect"), F.col("reach"), F.col("n"))),
             "reason": F.when(F.col("fired"), F.lit(None).cast("string"))
-            .when(F.col("judged") & ~judged_ready, F.format_string("needs %d judged sessions, has %d", F.lit(fixed.MIN_N), "judged_n"))
-            .otherwise("nothing stands out yet"),
+            .when(F.col("judged") & ~judged_ready, F.format_string("waiting for reviews: %d wanted, %d there", F.lit(fixed.MIN_N), "judged_n"))
+            .otherwise("no clear difference"),
         }
     ).select(
         "rule_id", "rule_ord", "fired", "reason", "detail", F.col("w.n").alias("worse_n"), F.col("w.rate").alias("worse_rate"),
@@ -432,11 +432,11 @@ def report(prepared: DataFrame, findings: DataFrame) -> DataFrame:
     first, second = nth(1, "headline"), nth(2, "headline")
     text = F.concat_ws(
         " ", head, reviewed,
-        F.coalesce(F.concat(F.lit("The thing most worth changing: "), first, F.lit(".")), F.lit("Nothing stands out yet.")),
+        F.coalesce(F.concat(F.lit("The thing most worth changing: "), first, F.lit(".")), F.lit("No difference is large enough to name.")),
         F.concat(F.lit("After that: "), second, F.lit(".")),
         F.concat(F.lit("If you change one thing: "), nth(1, "advice")),
     )
-    return whole.select(F.when(F.col("n") == 0, "Nothing recorded in this period yet.").otherwise(text).alias("report"))
+    return whole.select(F.when(F.col("n") == 0, "No sessions to report on.").otherwise(text).alias("report"))
 
 
 # --- compaction ---------------------------------------------------------------
@@ -486,9 +486,9 @@ def compaction_verdict(prepared: DataFrame) -> DataFrame:
     late = (F.col("count") >= ENOUGH_COMPACTIONS) & ((F.col("auto_pct") >= AUTO_PCT) | (F.col("med_pre") >= LATE_TOKENS))
     hot = (F.col("ran_hot") >= fixed.MIN_N) & (F.col("ran_hot") >= F.col("sessions_with"))
     verdict = (
-        F.when(lossy, "lossy").when(late, "forced late").when(hot, "left too late")
-        .when(F.col("count") < ENOUGH_COMPACTIONS, "not enough compactions to judge")
-        .when(F.col("per_100") > OFTEN_PER_100, "often").otherwise("by choice")
+        F.when(lossy, "loses detail").when(late, "late, by the limit").when(hot, "rarely compacted")
+        .when(F.col("count") < ENOUGH_COMPACTIONS, "too few to say")
+        .when(F.col("per_100") > OFTEN_PER_100, "frequent").otherwise("deliberate")
     )
     return sums.select(
         verdict.alias("verdict"), "count", "per_100", "auto_pct", "med_pre", "med_drop", "ran_hot", "sessions_with",
@@ -518,7 +518,7 @@ def glance(prepared: DataFrame, cost: DataFrame) -> DataFrame:
 
 
 def visible_sessions(
-    sessions: DataFrame, now: Column, days: int | None = 30, machines: tuple[str, ...] = (),
+    sessions: DataFrame, now: Column, days: int | None = None, machines: tuple[str, ...] = (),
     resumed: bool = False, drill: DataFrame | None = None,
 ) -> DataFrame:
     """Sessions in view: period, machines, resumed or not, optional drill-down set."""
@@ -539,8 +539,8 @@ TABLE_COLUMNS = {
 }
 
 
-def session_table(prepared: DataFrame, key: str = "latest_ts", descending: bool = True, limit: int | None = fixed.TABLE_PAGE) -> DataFrame:
-    """Twelve display columns, sorted by any of them, nulls last in both directions."""
+def session_table(prepared: DataFrame, key: str = "latest_ts", descending: bool = True, limit: int | None = None) -> DataFrame:
+    """Twelve display columns, sorted by any of them, nulls last in both directions; a page where a limit is given."""
     from turnwise.functions.text import basename
 
     named = prepared.withColumn("project", basename(F.col("cwd")))
@@ -551,9 +551,9 @@ def session_table(prepared: DataFrame, key: str = "latest_ts", descending: bool
 
 
 SIGNAL_NAMES = (
-    ("interrupts", "interruptions"), ("denied_user", "actions turned down"), ("denied_plan", "plans turned down"),
-    ("steering", "messages while it was working"), ("lex_corrections", "replies that read like a correction"),
-    ("reexplain", "messages repeating something earlier"),
+    ("interrupts", "runs stopped"), ("denied_user", "calls refused"), ("denied_plan", "plans sent back"),
+    ("steering", "notes sent mid-run"), ("lex_corrections", "turns opening with pushback"),
+    ("reexplain", "turns with earlier wording"),
 )
 
 
@@ -563,6 +563,6 @@ def session_detail(prepared: DataFrame, cost: DataFrame) -> DataFrame:
     signals = F.concat_ws(", ", *parts)
     return prepared.join(cost, ["path"], "left").select(
         "path", "sid", "human_turns", "tool_calls_total", "active_min", "tokens", F.coalesce("usd", F.lit(0.0)).alias("usd"),
-        F.when(signals == "", "Nothing went wrong in this one.").otherwise(F.concat(F.lit("What happened: "), signals, F.lit("."))).alias("signals"),
+        F.when(signals == "", "No signals.").otherwise(F.concat(F.lit("Signals: "), signals, F.lit("."))).alias("signals"),
         "ctx_series", "compactions", F.col("j.score").alias("score"), F.col("j.outcome").alias("outcome"), F.col("j.missing").alias("missing"),
     )

@@ -18,6 +18,7 @@ from turnwise.operators.ordering import (
 from turnwise.schemas import COUNTERS
 from turnwise.session import materialize
 
+NOTHING = -(1 << 62)
 BLOCKS = Ordering(("path",), ("line_no", "pos"), f"floor(line_no / {SEGMENT_ROWS})")
 
 
@@ -54,20 +55,21 @@ def turn_state(records: DataFrame) -> DataFrame:
             | F.when(is_assistant, _tool_count(fixed.PLAN_TOOLS) > 0).otherwise(False)
         ).alias("plans"),
     )
-    boundary_key = F.struct(F.col("compact.pre").alias("pre"), F.col("compact.dropped").alias("dropped"))
+    # Plain numbers keep the segments' summaries in hash aggregates; a null among them is NOTHING.
+    known = lambda c: F.coalesce(c, F.lit(NOTHING))
+    at_boundary = lambda c: F.when(F.col("is_boundary"), known(F.col(c)))
     placed = scan(
         narrow,
         LINES,
         lo=running_min(F.col("ts")),
         hi=running_max(F.col("ts")),
         turn_no=running_sum(F.col("is_human").cast("bigint")),
-        before=previous(F.when(F.col("has_ts"), F.struct("ts"))),
-        last_boundary=previous(F.when(F.col("is_boundary"), boundary_key)),
+        before=previous(F.when(F.col("has_ts"), known(F.unix_micros("ts")))),
+        last_pre=previous(at_boundary("compact.pre")),
+        last_dropped=previous(at_boundary("compact.dropped")),
     )
-    retry = (
-        F.col("last_boundary").isNotNull()
-        & F.col("last_boundary.pre").eqNullSafe(F.col("compact.pre"))
-        & F.col("last_boundary.dropped").eqNullSafe(F.col("compact.dropped"))
+    retry = F.coalesce(
+        (F.col("last_pre") == known(F.col("compact.pre"))) & (F.col("last_dropped") == known(F.col("compact.dropped"))), F.lit(False)
     )
     # A denial is noted before the turn it arrives with is counted.
     turn_before = F.col("turn_no") - F.when(F.col("is_human"), 1).otherwise(0)
@@ -76,15 +78,15 @@ def turn_state(records: DataFrame) -> DataFrame:
     placed = placed.withColumns(
         {
             "minutes_in": formats.minutes_between(F.col("lo"), F.col("hi")),
-            "gap": ordered.gap_seconds(F.col("before.ts"), F.col("ts")),
+            "gap": ordered.gap_seconds(F.timestamp_micros(F.nullif(F.col("before"), F.lit(NOTHING))), F.col("ts")),
             "is_boundary": F.col("is_boundary") & ~retry,
             "is_lex": lex,
             "mark_turn": F.greatest(F.lit(1), F.when(hard_mark, turn_before).when(lex, F.col("turn_no"))),
         }
     ).withColumn("mark_turn", F.when(hard_mark | lex, F.col("mark_turn")))
-    return ordered.post_boundary_window(
-        placed.drop("lo", "hi", "before", "last_boundary", "reads_as_correction"), LINES, F.col("is_boundary"), "turn_no"
-    )
+    # Written between the two scans: each of them reads its input twice, once for the rows and once, narrow, for the segments.
+    placed = materialize(placed.drop("lo", "hi", "before", "last_pre", "last_dropped", "reads_as_correction"), "placed")
+    return ordered.post_boundary_window(placed, LINES, F.col("is_boundary"), "turn_no")
 
 
 def api_calls(state: DataFrame) -> DataFrame:
@@ -129,8 +131,8 @@ def model_map(usage: DataFrame, keys: Sequence[str], out: str = "by_model") -> D
     return usage.groupBy(*keys).agg(F.map_from_entries(F.array_sort(F.collect_list(entry))).alias(out))
 
 
-def context_profile(calls: DataFrame) -> DataFrame:
-    """Context carried into calls: resets, peak, final value and the thinned series, in one scan."""
+def context_profile(calls: DataFrame, series_points: int | None = None) -> DataFrame:
+    """Context carried into calls: resets, peak, final value and the series (thinned where asked), in one scan."""
     sized = calls.filter("ctx > 0").select("path", "line_no", "model", "minutes_in", "ctx", F.col("usage.cr").alias("cr"))
     seen = scan(sized, LINES, __prev=previous(F.col("cr")), **ordered.series_folds("ctx"))
     fell = (F.col("__prev") != 0) & (F.col("cr") < F.col("__prev") * fixed.RESET_RATIO)
@@ -141,15 +143,16 @@ def context_profile(calls: DataFrame) -> DataFrame:
             F.max("ctx").alias("ctx_peak"),
             F.max_by("model", F.struct("ctx", -F.col("line_no"))).alias("peak_model"),
             F.max_by("ctx", "line_no").alias("ctx_final"),
-            *ordered.series_aggregates("minutes_in", "ctx"),
+            *ordered.series_aggregates("minutes_in", "ctx", series_points),
         )
-        .withColumn("ctx_series", ordered.series_column())
+        .withColumn("ctx_series", ordered.series_column(series_points))
         .drop("__points", "__peak")
     )
 
 
-def signal_counts(state: DataFrame) -> DataFrame:
-    """Counters of one pass over the placed records."""
+def signal_counts(state: DataFrame, turn_minutes: int | None = None) -> DataFrame:
+    """Counters of one pass over the placed records; the minutes of the first ``turn_minutes`` turns, or of all."""
+    timed = F.lit(True) if turn_minutes is None else F.col("turn_no") <= turn_minutes
     human, broke = F.col("is_human"), F.col("interrupt").isNotNull()
     boundary = F.struct(
         F.col("line_no"), F.col("compact.trigger"), F.col("compact.pre"), F.col("compact.post"),
@@ -175,7 +178,7 @@ def signal_counts(state: DataFrame) -> DataFrame:
         F.bround(F.coalesce(F.sum("gap"), F.lit(0.0)) / 60.0, 1).alias("active_min"),
         F.max("minutes_in").alias("wall_min"),
         F.transform(
-            F.array_sort(F.collect_list(F.when(human & (F.col("turn_no") <= fixed.TURN_MINUTES_KEPT), F.struct("turn_no", "minutes_in")))),
+            F.array_sort(F.collect_list(F.when(human & timed, F.struct("turn_no", "minutes_in")))),
             lambda p: p["minutes_in"],
         ).alias("turn_min"),
         F.transform(
@@ -185,10 +188,10 @@ def signal_counts(state: DataFrame) -> DataFrame:
     )
 
 
-def repeat_counts(records: DataFrame, state: DataFrame, max_shingles: int | None) -> DataFrame:
+def repeat_counts(records: DataFrame, state: DataFrame) -> DataFrame:
     """Turns that repeat earlier wording, in all and shortly after a compaction."""
     turns = records.filter("is_human").select("path", "line_no", "text")
-    flags = ordered.repeated_wording(turns, ["path"], "line_no", "text", max_shingles=max_shingles)
+    flags = ordered.repeated_wording(turns, ["path"], "line_no", "text")
     placed = state.filter("is_human").select("path", "line_no", "turn_in_window")
     return (
         flags.filter("repeated")
@@ -200,11 +203,10 @@ def repeat_counts(records: DataFrame, state: DataFrame, max_shingles: int | None
 
 def opening_columns(text: Column) -> list[Column]:
     """Features of the opening message, and the kind of session it starts."""
-    excerpt = F.substring(X.collapse(F.substring(text, 1, fixed.EXCERPT_CHARS * 3)), 1, fixed.EXCERPT_CHARS)
     return [
         X.session_kind(text).alias("kind"),
         *[c.alias(name) for name, c in X.first_prompt_features(text).items()],
-        redact.redact(excerpt).alias("fp_excerpt"),
+        redact.redact(X.collapse(text)).alias("fp_excerpt"),
     ]
 
 
@@ -216,7 +218,7 @@ def tool_events(records: DataFrame) -> DataFrame:
     ).select("path", "line_no", "rtype", F.explode(wanted).alias("b"))
     is_use = (F.col("rtype") == "assistant") & (F.col("b.btype") == "tool_use")
     is_result = (F.col("rtype") == "user") & (F.col("b.btype") == "tool_result")
-    command = F.when(F.col("b.tool_name") == fixed.SHELL_TOOL, F.substring("b.command", 1, fixed.COMMAND_CHARS))
+    command = F.when(F.col("b.tool_name") == fixed.SHELL_TOOL, F.col("b.command"))
     classes = X.command_class(command)
     return rows.filter(is_use | is_result).select(
         "path", "line_no", "b.pos", is_use.alias("is_use"),
@@ -328,11 +330,16 @@ def session_meta(records: DataFrame) -> DataFrame:
 def build_sessions(
     records: DataFrame,
     subagents: DataFrame | None = None,
-    max_shingles: int | None = fixed.SHINGLE_MEMORY,
     publish_excerpt: bool = False,
+    deny: DataFrame | None = None,
+    series_points: int | None = None,
+    turn_minutes: int | None = None,
 ) -> DataFrame:
     """One row per transcript (two files with one session id are two rows).
 
+    Lists are whole unless a length is given.  The excerpt is the opening
+    message with key patterns and the values of ``deny`` taken out, then cut.
+
     Pass ``records`` as a written table: a dozen aggregates read it.  The placed
     records and the de-duplicated calls are written once for the same reason.
     """
@@ -342,7 +349,7 @@ def build_sessions(
     results = tool_results(events)
     usage = tool_usage(events, results)
     parts = [
-        session_meta(records), signal_counts(state), repeat_counts(records, state, max_shingles), context_profile(calls),
+        session_meta(records), signal_counts(state, turn_minutes), repeat_counts(records, state), context_profile(calls, series_points),
         model_map(usage_by_model(calls), ["path"]), tool_maps(usage), effort_map(state), sighted_sets(records, events),
     ]
     out = reduce(lambda a, b: a.join(b, "path", "left"), parts)
@@ -355,9 +362,13 @@ def build_sessions(
     out = out.withColumns({c: F.coalesce(c, F.lit(0)) for c in zeros}).withColumns(
         {c: F.coalesce(c, F.array().cast(t)) for c, t in empty.items()}
     ).withColumn("ctx_window", R.model_window(F.col("peak_model")))
-    if not publish_excerpt:
-        out = out.drop("fp_excerpt")
     out = out.filter(F.col("sid").isNotNull())
+    if publish_excerpt:
+        if deny is not None:
+            out = redact.redact_listed(out, "fp_excerpt", deny)
+        out = out.withColumn("fp_excerpt", F.substring("fp_excerpt", 1, fixed.EXCERPT_CHARS))
+    else:
+        out = out.drop("fp_excerpt")
     return attach_subagents(out, rollup_subagents(subagents)) if subagents is not None else out
 
 
@@ -456,9 +467,9 @@ def lifetime_totals(sessions: DataFrame) -> DataFrame:
     return sum_counters(explode_models(sessions, []), ["model"])
 
 
-def recent(sessions: DataFrame, now: Column, days: int = fixed.FEED_WINDOW_DAYS) -> DataFrame:
-    """Sessions inside the feed window, newest first."""
-    return sessions.filter(F.col("latest_at") >= formats.days_before(now, days)).orderBy(F.desc("latest_at"))
+def recent(sessions: DataFrame, now: Column, days: int | None = None) -> DataFrame:
+    """Sessions inside the feed window of so many days; all without one."""
+    return sessions if days is None else sessions.filter(F.col("latest_at") >= formats.days_before(now, days))
 
 
 def review_cost(sessions: DataFrame) -> DataFrame:

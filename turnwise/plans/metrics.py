@@ -22,26 +22,24 @@ class Feed:
 
 
 def bronze(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame]:
-    """Main and delegated transcript lines, written once so line numbers stay put."""
-    main = materialize(transcripts.read_transcripts(spark, root), "bronze_main")
-    delegated = materialize(transcripts.read_subagent_transcripts(spark, root), "bronze_delegated")
-    return main, delegated
+    """Main and delegated transcript lines; both are written when they are read, so line numbers stay put."""
+    return transcripts.read_transcripts(spark, root), transcripts.read_subagent_transcripts(spark, root)
 
 
-def session_tables(spark: SparkSession, root: str, publish_excerpt: bool = False) -> DataFrame:
-    """Finished session rows of a transcript folder, delegated work rolled up."""
+def session_tables(spark: SparkSession, root: str, publish_excerpt: bool = False, deny: DataFrame | None = None, **lengths: int | None) -> DataFrame:
+    """Finished session rows of a transcript folder, delegated work rolled up (``lengths``: those of the lists in a row)."""
     main, delegated = bronze(spark, root)
     records = materialize(R.read_records(main), "records")
     sub_records = materialize(R.read_records(delegated), "delegated_records")
     files = transcripts.attach_agent_type(spark, delegated.select("path", "parent_sid").distinct(), root)
     subagents = materialize(S.subagent_totals(files, sub_records), "subagents")
-    built = S.build_sessions(records, subagents, publish_excerpt=publish_excerpt)
+    built = S.build_sessions(records, subagents, publish_excerpt=publish_excerpt, deny=deny, **lengths)
     return materialize(S.link_resumes(materialize(built, "unlinked")), "sessions")
 
 
 def build_feed(
     sessions: DataFrame, machine: str, now: datetime, verdicts: DataFrame | None = None,
-    window_days: int = fixed.FEED_WINDOW_DAYS, excerpts: bool = False,
+    window_days: int | None = None, excerpts: bool = False,
 ) -> Feed:
     """Windowed sessions, lifetime counters of all of them, and the feed's metadata."""
     stamped = sessions.withColumn("machine", F.lit(machine))
@@ -52,7 +50,7 @@ def build_feed(
     judged = verdicts.agg(F.count("*")).scalar() if verdicts is not None else F.lit(0).cast("bigint")
     meta = S.review_cost(stamped).select(
         F.lit(machine).alias("machine"), F.lit(str(fixed.FEED_SCHEMA_MAJOR)).alias("schema_version"), F.lit(__version__).alias("reader_version"),
-        F.lit(now.isoformat()).alias("generated_utc"), F.lit(window_days).alias("window_days"), F.lit(excerpts).alias("excerpts_published"),
+        F.lit(now.isoformat()).alias("generated_utc"), F.lit(window_days).cast("int").alias("window_days"), F.lit(excerpts).alias("excerpts_published"),
         judged.alias("judged"), "judge_tokens", stamped.agg(F.count("*")).scalar().alias("lifetime_sessions"),
     )
     return Feed(S.recent(stamped, now_col, window_days), lifetime, meta)

@@ -7,7 +7,6 @@ from datetime import datetime
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from turnwise import fixed
 from turnwise.operators import review
 from turnwise.session import materialize
 from turnwise.sources import sinks
@@ -15,12 +14,12 @@ from turnwise.sources import sinks
 
 def build_queue(
     sessions: DataFrame, records: DataFrame, prior: DataFrame, live: DataFrame, now: datetime,
-    deny: DataFrame | None = None, limit: int = fixed.QUEUE_LIMIT,
+    deny: DataFrame | None = None, limit: int | None = None, since: int | None = None, attempts: int | None = None, **digest: int | None,
 ) -> DataFrame:
-    """Queue items of the sessions picked for review; only their records are digested."""
-    picked = materialize(review.review_queue(sessions, prior, live, F.lit(now).cast("timestamp"), limit), "picked")
+    """Queue items of the sessions picked for review; only their records are digested (``digest``: limits of the digests)."""
+    picked = materialize(review.review_queue(sessions, prior, live, F.lit(now).cast("timestamp"), limit, since, attempts), "picked")
     theirs = materialize(records.join(picked.select("path"), "path", "left_semi"), "picked_records")
-    return review.queue_items(picked, review.build_digests(theirs, deny))
+    return review.queue_items(picked, review.build_digests(theirs, deny, **digest))
 
 
 def ingest_batch(store: DataFrame, verdicts: DataFrame, queue: DataFrame, now: datetime, reject_path: str) -> DataFrame:

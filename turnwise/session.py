@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -23,9 +22,6 @@ SETTINGS = {
 STATIC_SETTINGS = {"spark.python.sql.dataFrameDebugging.enabled": "false"}
 
 
-_LOCAL_ROOTS: dict[str, str] = {}
-
-
 def local_session(cores: int | str = "*", partitions: int = 8, app: str = "turnwise") -> SparkSession:
     """A local session for tests and benchmarks."""
     builder = (
@@ -52,18 +48,11 @@ def configure(spark: SparkSession) -> None:
 def scratch_root(spark: SparkSession) -> str:
     """The shared folder for written intermediate tables.
 
-    A cluster names it in ``spark.checkpoint.dir``.  Only a local session, whose
-    single machine holds every task, may fall back to a temporary folder.
+    A cluster names it in ``spark.checkpoint.dir``; where that is unset, the
+    warehouse, which all executors share too.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
-    app = spark.sparkContext.applicationId
-    if app not in _LOCAL_ROOTS:
-        _LOCAL_ROOTS[app] = tempfile.mkdtemp(prefix="turnwise-")
-    return _LOCAL_ROOTS[app]
+    return named or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/turnwise_scratch"
 
 
 def write_scratch(df: DataFrame, name: str) -> str:

@@ -62,6 +62,10 @@ def publish_if_changed(
     return digest, now
 
 
-def write_rejects(validated: DataFrame, path: str) -> None:
-    """Rejected verdicts with every reason."""
-    validated.filter(F.size("problems") > 0).write.mode("append").json(path)
+def write_rejects(validated: DataFrame, path: str, batch: str | None = None) -> None:
+    """Rejected verdicts with every reason; a ``batch`` that is written again replaces itself."""
+    rejected = validated.filter(F.size("problems") > 0)
+    if batch is None:
+        rejected.write.mode("append").json(path)
+    else:
+        rejected.write.mode("overwrite").json(f"{path}/batch={batch}")

@@ -9,18 +9,21 @@ from pyspark.sql import functions as F
 
 from turnwise.operators.ordered import count_if
 from turnwise.operators.records import read_records
+from turnwise.operators.sessions import build_sessions
+from turnwise.session import materialize
 from turnwise.sources.sinks import publish_if_changed
 
 CHUNK = "path STRING, base_line_no BIGINT, lines ARRAY<STRING>"
 
 
-def stream_chunks(spark: SparkSession, folder: str, max_files: int = 1000) -> DataFrame:
+def stream_chunks(spark: SparkSession, folder: str, max_files: int | None = None) -> DataFrame:
     """Follow a folder of immutable chunk files; offsets live in the checkpoint.
 
     A shipper writes appended lines as ``(path, base_line_no, lines)``.
-    ``max_files`` bounds the work of one run; the rest waits for the next.
+    ``max_files`` bounds the work of one run where it is given; the rest waits for the next.
     """
-    chunks = spark.readStream.schema(CHUNK).option("maxFilesPerTrigger", max_files).json(folder)
+    reader = spark.readStream.schema(CHUNK)
+    chunks = (reader if max_files is None else reader.option("maxFilesPerTrigger", max_files)).json(folder)
     return chunks.select("path", "base_line_no", F.posexplode("lines").alias("i", "value")).select(
         "path", (F.col("base_line_no") + F.col("i")).alias("line_no"), "value"
     )
@@ -38,6 +41,13 @@ def stream_dedupe(records: DataFrame, keys: list[str], watermark: tuple[str, str
     return records.withWatermark(*watermark).dropDuplicatesWithinWatermark(keys)
 
 
+def rebuild(folded: DataFrame, lines: DataFrame) -> DataFrame:
+    """Finished session rows, from all their lines, of the sessions that a fold has reported for recompute."""
+    paths = folded.filter("needs_recompute").select("path").distinct()
+    theirs = read_records(lines.join(paths, "path", "left_semi"))
+    return build_sessions(materialize(theirs, "recomputed"))
+
+
 def stream_bursts(records: DataFrame, keys: list[str], ts: str, gap: str = "10 minutes", watermark: str = "1 hour") -> DataFrame:
     """Activity bursts: records no further apart than ``gap`` belong together."""
     timed = records.withWatermark(ts, watermark) if records.isStreaming else records
@@ -51,6 +61,11 @@ def closed_sessions(records: DataFrame, keys: list[str], ts: str, idle: str = "6
     return stream_bursts(records, keys, ts, idle, watermark).withColumnRenamed("end", "latest_at")
 
 
+def continued_sessions(records: DataFrame) -> DataFrame:
+    """Sessions continued elsewhere are closed at once, however lately they were active: (path, continued_in)."""
+    return records.filter("rtype = 'continued-in' and continued_in is not null").select("path", "continued_in").dropDuplicates(["path"])
+
+
 def stream_counters(records: DataFrame) -> DataFrame:
     """Order-free session counters; combined before the shuffle, so a hot session is spread."""
     return records.groupBy("path").agg(

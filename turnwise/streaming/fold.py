@@ -2,8 +2,9 @@
 
 Any cut of the record stream into micro-batches gives the batch answer, as long
 as the chunks of one transcript arrive in order.  State per session is a small
-row plus the message ids seen.  After ``idle_hours`` without records the state
-is dropped; a session that changes later is reported for a batch recompute.
+row plus the message ids seen.  With ``idle_hours``, the ids of a session are
+dropped after so long without records; its totals stay, and a session that
+changes later is reported with them for a batch recompute (``feeds.rebuild``).
 """
 
 from __future__ import annotations
@@ -78,8 +79,8 @@ _EMPTY = {f: None if f in ("first_correction_turn", "last_us", "first_us", "late
 
 
 class SessionFold(StatefulProcessor):
-    def __init__(self, idle_hours: float = fixed.KEEP_STATE_HOURS):
-        self.idle_ms = int(idle_hours * 3_600_000)
+    def __init__(self, idle_hours: float | None = None):
+        self.idle_ms = None if idle_hours is None else int(idle_hours * 3_600_000)
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
@@ -90,7 +91,7 @@ class SessionFold(StatefulProcessor):
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         batch = pd.concat(list(rows), ignore_index=True).sort_values("line_no", kind="stable")
         if self.settled.exists():
-            yield self._row(key, {**_EMPTY, "next_line": int(batch["line_no"].iloc[-1]) + 1}, True)
+            yield self._row(key, dict(zip(FIELDS, self.totals.get())), True)
             return
         s = dict(zip(FIELDS, self.totals.get())) if self.totals.exists() else dict(_EMPTY)
         late = bool((batch["line_no"] < s["next_line"]).any())
@@ -104,14 +105,14 @@ class SessionFold(StatefulProcessor):
                     self.ids.updateValue((c,), (int(line),))
             s = _advance(s, batch, fresh)
             self.totals.update(tuple(s[f] for f in FIELDS))
-        for timer in self.handle.listTimers():
-            self.handle.deleteTimer(timer)
-        self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + self.idle_ms)
+        if self.idle_ms is not None:
+            for timer in self.handle.listTimers():
+                self.handle.deleteTimer(timer)
+            self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + self.idle_ms)
         yield self._row(key, s, late)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         s = dict(zip(FIELDS, self.totals.get())) if self.totals.exists() else dict(_EMPTY)
-        self.totals.clear()
         self.ids.clear()
         self.settled.update((s["next_line"],))
         yield self._row(key, s, False)
@@ -129,10 +130,10 @@ class SessionFold(StatefulProcessor):
 STATE_PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
-def stream_fold(records: DataFrame, idle_hours: float = fixed.KEEP_STATE_HOURS) -> DataFrame:
+def stream_fold(records: DataFrame, idle_hours: float | None = None) -> DataFrame:
     """Updated totals of every session touched by a micro-batch.
 
-    The eviction timers make Spark plan batches without data.  A run that should
+    With ``idle_hours``, the timers make Spark plan batches without data.  A run that should
     end when the input is used up (``availableNow``) needs
     ``spark.sql.streaming.noDataMicroBatches.enabled=false``; timers that are
     due then fire with the next batch that has data.

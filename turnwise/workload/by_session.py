@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from turnwise import fixed
 from turnwise.operators import cohorts, ordered, pricing, rules, sessions as S
 from turnwise.operators.ordering import LINES
 from turnwise.workload import oracle as O, silver
@@ -76,20 +77,20 @@ def turn_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
     f"""WITH {O.FACTS}, m AS (SELECT session, event_id, event_type,
           epoch_us(max(ts) OVER w) - epoch_us(min(ts) OVER w) AS us FROM facts
         WINDOW w AS (PARTITION BY session ORDER BY event_id))
-    SELECT session, event_id, us // 60000000 AS whole_minutes FROM m WHERE event_type = 'view'""",
+    SELECT session, event_id, CAST(round(round_even(us / 60000000.0::DOUBLE, 2) * 100) AS BIGINT) AS hundredths FROM m WHERE event_type = 'view'""",
 )
 def minutes_in(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from turnwise.operators.ordering import running_max, running_min, scan
-
     rec = silver.records(spark, sf_dir).select("path", "line_no", "ts", "is_human")
-    seen = scan(rec, LINES, lo=running_min(F.col("ts")), hi=running_max(F.col("ts")))
-    us = F.unix_micros("hi") - F.unix_micros("lo")
+    seen = ordered.minutes_in(rec, LINES, "ts")
     return seen.filter("is_human").select(
-        session_number().alias("session"), F.floor(F.col("line_no") / 2).alias("event_id"),
-        F.floor(us / 60_000_000).alias("whole_minutes"),
+        session_number().alias("session"), F.floor(F.col("line_no") / 2).alias("event_id"), _hundredths(F.col("minutes_in")).alias("hundredths")
     )
 
 
+def _hundredths(minutes: F.Column) -> F.Column:
+    return F.round(minutes * 100).cast("bigint")
+
+
 @query(
     "active_seconds",
     f"""WITH {O.TURNS} SELECT session,
@@ -192,7 +193,7 @@ def series_downsample(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = event_facts(load(spark, sf_dir, "events")).select(
         "user_id", "event_id", F.col("event_id").cast("double").alias("x"), (F.col("value") * 100).cast("bigint").alias("y")
     )
-    series = ordered.downsample_series(e, by_number(("user_id",), "event_id"), "x", "y")
+    series = ordered.downsample_series(e, by_number(("user_id",), "event_id"), "x", "y", fixed.SERIES_POINTS)
     return series.select("user_id", F.explode("series").alias("p")).select("user_id", F.col("p.min").alias("x"), F.col("p.ctx").alias("y"))
 
 
@@ -239,12 +240,16 @@ def latest_meta(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "turn_minutes",
-    f"""WITH {O.TURNS} SELECT session, count(*) AS listed FROM t2 WHERE is_human AND turn_no <= 10 GROUP BY session""",
+    f"""WITH {O.FACTS}, m AS (SELECT session, event_id, event_type, epoch_us(max(ts) OVER w) - epoch_us(min(ts) OVER w) AS us FROM facts
+        WINDOW w AS (PARTITION BY session ORDER BY event_id))
+      SELECT session, count(*) AS listed, string_agg(CAST(CAST(round(round_even(us / 60000000.0::DOUBLE, 2) * 100) AS BIGINT) AS VARCHAR), ',' ORDER BY event_id) AS hundredths
+      FROM m WHERE event_type = 'view' GROUP BY session""",
 )
 def turn_minutes(spark: SparkSession, sf_dir: str) -> DataFrame:
     st = silver.state(spark, sf_dir).filter("is_human")
-    out = ordered.turn_minutes(st, ["path"], "turn_no", "minutes_in", limit=10)
-    return out.select(session_number().alias("session"), F.size("turn_min").cast("bigint").alias("listed"))
+    out = ordered.turn_minutes(st, ["path"], "turn_no", "minutes_in")
+    listed = F.array_join(F.transform("turn_min", lambda m: _hundredths(m).cast("string")), ",")
+    return out.select(session_number().alias("session"), F.size("turn_min").cast("bigint").alias("listed"), listed.alias("hundredths"))
 
 
 @query(
@@ -442,21 +447,21 @@ _RULE_ROWS: dict[str, list[tuple[str, int, str, str, str, float]]] = {
         for i, (n, lo, hi) in enumerate(rules.BANDS)
     ],
     "resumed_vs_fresh": [
-        ("fresh start", 0, "tool_calls_total >= 1 AND NOT is_resumed", "hard", "human_turns", 10.0),
-        ("resumed", 1, "tool_calls_total >= 1 AND is_resumed", "hard", "human_turns", 10.0),
+        ("new", 0, "tool_calls_total >= 1 AND NOT is_resumed", "hard", "human_turns", 10.0),
+        ("continued", 1, "tool_calls_total >= 1 AND is_resumed", "hard", "human_turns", 10.0),
     ],
     "plan_mode_big_tasks": [
-        ("planned first", 0, f"{_BIG} AND {_PLANS}", "denied_user + interrupts_tool", "tool_calls_total / 10.0::DOUBLE", 10.0),
-        ("no plan", 1, f"{_BIG} AND NOT {_PLANS}", "denied_user + interrupts_tool", "tool_calls_total / 10.0::DOUBLE", 10.0),
+        ("plan", 0, f"{_BIG} AND {_PLANS}", "denied_user + interrupts_tool", "tool_calls_total / 10.0::DOUBLE", 10.0),
+        ("straight in", 1, f"{_BIG} AND NOT {_PLANS}", "denied_user + interrupts_tool", "tool_calls_total / 10.0::DOUBLE", 10.0),
     ],
     "assistant_asked": [
-        ("asked at least once", 0, "NOT is_resumed AND tool_calls_total >= 10 AND askuser >= 1", "interrupts + steering", "greatest(1, human_turns - askuser)", 10.0),
-        ("never asked", 1, "NOT is_resumed AND tool_calls_total >= 10 AND askuser = 0", "interrupts + steering", "greatest(1, human_turns - askuser)", 10.0),
+        ("some questions", 0, "NOT is_resumed AND tool_calls_total >= 10 AND askuser >= 1", "interrupts + steering", "greatest(1, human_turns - askuser)", 10.0),
+        ("no questions", 1, "NOT is_resumed AND tool_calls_total >= 10 AND askuser = 0", "interrupts + steering", "greatest(1, human_turns - askuser)", 10.0),
     ],
     "tool_output_bloat": [],
     "cache_resets": [
-        ("with a reset", 0, "tool_calls_total >= 10 AND cache_resets >= 1", "cache_writes", "input_tokens", 100.0),
-        ("without", 1, "tool_calls_total >= 10 AND cache_resets = 0", "cache_writes", "input_tokens", 100.0),
+        ("rebuilt", 0, "tool_calls_total >= 10 AND cache_resets >= 1", "cache_writes", "input_tokens", 100.0),
+        ("kept", 1, "tool_calls_total >= 10 AND cache_resets = 0", "cache_writes", "input_tokens", 100.0),
     ],
     "first_prompt_score": [
         (f"{lo}-{hi}", i, f"score BETWEEN {lo} AND {hi} AND tool_calls_total >= 1", "hard", "human_turns", 10.0)
@@ -466,7 +471,7 @@ _RULE_ROWS: dict[str, list[tuple[str, int, str, str, str, float]]] = {
     "missing_ingredient_cost": [
         (f"{item}: {side}", i * 2 + j, f"score IS NOT NULL AND {neg} ((length('{item}') + doc_id) % 3 = 0)", "hard", "human_turns", 10.0)
         for i, item in enumerate(rules.fixed.MISSING_ITEMS)
-        for j, (side, neg) in enumerate((("left out", ""), ("given", "NOT")))
+        for j, (side, neg) in enumerate((("absent", ""), ("present", "NOT")))
     ],
 }
 
@@ -502,7 +507,7 @@ def rule_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _BASE = f"WITH {O.PREPARED}, g AS (" + " UNION ALL ".join(_group_sql(r, 15) for r in rules.RULE_IDS if _RULE_ROWS[r]) + ")"
-_MISS = "regexp_replace(w.cohort, ': left out$', '')"
+_MISS = "regexp_replace(w.cohort, ': absent$', '')"
 
 
 def _pair_sql(rule_id: str, worse: str, better: str, extra: str = "true", pool: str = "", n: str = "") -> str:
@@ -540,13 +545,13 @@ _PAIRS = " UNION ALL ".join(
             "SELECT * FROM g WHERE rule_id = 'long_session_knee' AND n >= 5 ORDER BY ord LIMIT 1",
             "(SELECT count(*) FROM g WHERE rule_id = 'long_session_knee' AND n >= 5) >= 3", _count_sql("human_turns >= 1"),
         ),
-        _pair_sql("resumed_vs_fresh", _cohort_sql("resumed_vs_fresh", "resumed"), _cohort_sql("resumed_vs_fresh", "fresh start"), pool=_count_sql("tool_calls_total >= 1")),
+        _pair_sql("resumed_vs_fresh", _cohort_sql("resumed_vs_fresh", "continued"), _cohort_sql("resumed_vs_fresh", "new"), pool=_count_sql("tool_calls_total >= 1")),
         _pair_sql(
-            "plan_mode_big_tasks", _cohort_sql("plan_mode_big_tasks", "no plan"), _cohort_sql("plan_mode_big_tasks", "planned first"),
+            "plan_mode_big_tasks", _cohort_sql("plan_mode_big_tasks", "straight in"), _cohort_sql("plan_mode_big_tasks", "plan"),
             f"{_count_sql(_FRESH)} >= 10", _count_sql(_FRESH), _count_sql(_BIG),
         ),
         _pair_sql(
-            "assistant_asked", _cohort_sql("assistant_asked", "never asked"), _cohort_sql("assistant_asked", "asked at least once"),
+            "assistant_asked", _cohort_sql("assistant_asked", "no questions"), _cohort_sql("assistant_asked", "some questions"),
             pool=_count_sql("NOT is_resumed AND tool_calls_total >= 10"),
         ),
         _pair_sql(
@@ -614,7 +619,7 @@ def top_tools(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "heavy_light_medians",
-    f"""WITH {O.PREPARED} SELECT CASE WHEN ctx_pct >= 70 THEN 'hot context' ELSE 'light context' END AS cohort,
+    f"""WITH {O.PREPARED} SELECT CASE WHEN ctx_pct >= 70 THEN 'window mostly full' ELSE 'window mostly free' END AS cohort,
       CAST(median(output_size) AS DOUBLE) AS median_size FROM prep GROUP BY 1""",
 )
 def heavy_light(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -652,8 +657,8 @@ def band_context(spark: SparkSession, sf_dir: str) -> DataFrame:
                  (SELECT median(pre) FROM comps WHERE pre > 0) AS mp,
                  (SELECT median((pre - post) / pre * 100) FROM comps WHERE pre > 0 AND post > 0) AS md FROM s)
     SELECT CASE WHEN ra >= 10 AND af >= 10 AND sw >= 5 AND r_after >= r_base * 1.5 AND r_after >= 2 THEN 'lossy'
-                WHEN c >= 8 AND (ap >= 70 OR mp >= 850000) THEN 'forced late' WHEN hot >= 5 AND hot >= sw THEN 'left too late'
-                WHEN c < 8 THEN 'not enough compactions to judge' WHEN per > 3 THEN 'often' ELSE 'by choice' END AS verdict,
+                WHEN c >= 8 AND (ap >= 70 OR mp >= 850000) THEN 'late, by the limit' WHEN hot >= 5 AND hot >= sw THEN 'rarely compacted'
+                WHEN c < 8 THEN 'too few to say' WHEN per > 3 THEN 'frequent' ELSE 'deliberate' END AS verdict,
            CAST(c AS BIGINT) AS "count", round(per, 6) AS per_100, round(ap, 6) AS auto_pct, CAST(mp AS DOUBLE) AS med_pre, round(md, 6) AS med_drop,
            hot AS ran_hot, sw AS sessions_with, CAST(af AS BIGINT) AS "after", CAST(ra AS BIGINT) AS repeats_after,
            round(r_after, 6) AS rate_after, round(r_base, 6) AS rate_base, ra >= 10 AND af >= 10 AND sw >= 5 AS comparable FROM r""",
@@ -753,20 +758,20 @@ def visible_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
       FROM prep ORDER BY score DESC NULLS LAST, sid LIMIT 25""",
 )
 def session_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = rules.session_table(silver.prepared(spark, sf_dir), key="score")
+    t = rules.session_table(silver.prepared(spark, sf_dir), key="score", limit=25)
     return t.select("sid", "human_turns", "hard", F.col("score").cast("int").alias("score"), "tokens", *_long("compactions"))
 
 
 @query(
     "session_detail",
     f"""WITH {O.PREPARED}, {_COST}, d AS (SELECT session, tokens, {_E5_SQL.format('coalesce(usd, 0)')}, concat_ws(', ',
-        CASE WHEN interrupts > 0 THEN interrupts || ' interruptions' END, CASE WHEN denied_user > 0 THEN denied_user || ' actions turned down' END,
-        CASE WHEN denied_plan > 0 THEN denied_plan || ' plans turned down' END,
-        CASE WHEN steering > 0 THEN steering || ' messages while it was working' END,
-        CASE WHEN lex_corrections > 0 THEN lex_corrections || ' replies that read like a correction' END,
-        CASE WHEN reexplain > 0 THEN reexplain || ' messages repeating something earlier' END) AS sig
+        CASE WHEN interrupts > 0 THEN interrupts || ' runs stopped' END, CASE WHEN denied_user > 0 THEN denied_user || ' calls refused' END,
+        CASE WHEN denied_plan > 0 THEN denied_plan || ' plans sent back' END,
+        CASE WHEN steering > 0 THEN steering || ' notes sent mid-run' END,
+        CASE WHEN lex_corrections > 0 THEN lex_corrections || ' turns opening with pushback' END,
+        CASE WHEN reexplain > 0 THEN reexplain || ' turns with earlier wording' END) AS sig
       FROM prep LEFT JOIN cost USING (session))
-      SELECT session, tokens, usd_e5, CASE WHEN sig = '' THEN 'Nothing went wrong in this one.' ELSE 'What happened: ' || sig || '.' END AS signals FROM d""",
+      SELECT session, tokens, usd_e5, CASE WHEN sig = '' THEN 'No signals.' ELSE 'Signals: ' || sig || '.' END AS signals FROM d""",
 )
 def session_detail(spark: SparkSession, sf_dir: str) -> DataFrame:
     cost = pricing.session_cost(_usage(spark, sf_dir), silver.prices(spark), ["path"])

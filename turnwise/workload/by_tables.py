@@ -309,7 +309,7 @@ def _prior(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _QUEUE = f"""{O.PREPARED}, l AS (SELECT session, max(ts) AS latest FROM facts GROUP BY session),
 q AS (SELECT prep.session, latest, human_turns FROM prep JOIN l USING (session) LEFT JOIN labels lb ON lb.doc_id = prep.session
-  WHERE human_turns >= 2 AND latest >= TIMESTAMP '{_NOW}' - INTERVAL 90 DAY
+  WHERE human_turns >= 2
     AND ((session % 3 = 0 AND (session // 3) % 3 <> 0) OR (session % 5 <> 0 AND latest < TIMESTAMP '{_NOW}' - INTERVAL 6 HOUR))
     AND NOT coalesce(lb.quality <> 1 AND session % 4 >= 2, false) AND NOT coalesce(lb.quality = 1 AND human_turns - 4 < 3, false))"""
 
@@ -322,43 +322,55 @@ def _live(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("eligible_for_review", f"WITH {_QUEUE} SELECT session, human_turns FROM q")
 def eligible(spark: SparkSession, sf_dir: str) -> DataFrame:
     now = F.lit(_NOW).cast("timestamp")
-    out = review.eligible_for_review(silver.prepared(spark, sf_dir), _prior(spark, sf_dir), _live(spark, sf_dir), now)
+    out = review.eligible_for_review(silver.prepared(spark, sf_dir), _prior(spark, sf_dir), _live(spark, sf_dir), now, attempts=fixed.MAX_ATTEMPTS)
     return out.select(silver.session_number().alias("session"), "human_turns")
 
 
 @query("review_queue", f"WITH {_QUEUE} SELECT session, human_turns FROM q ORDER BY latest DESC, session DESC LIMIT 3")
 def queue(spark: SparkSession, sf_dir: str) -> DataFrame:
     now = F.lit(_NOW).cast("timestamp")
-    out = review.review_queue(silver.prepared(spark, sf_dir), _prior(spark, sf_dir), _live(spark, sf_dir), now)
+    out = review.review_queue(silver.prepared(spark, sf_dir), _prior(spark, sf_dir), _live(spark, sf_dir), now, limit=3, attempts=fixed.MAX_ATTEMPTS)
     return out.select(silver.session_number().alias("session"), "human_turns")
 
 
 @query(
     "verdict_validation",
-    f"""WITH v AS (SELECT doc_id, quality, toxic, doc_id % 7 AS a, doc_id % 11 AS b, doc_id % 13 AS c FROM labels)
-    SELECT doc_id, CAST((a = 0)::INT + (b = 0)::INT + (c = 0)::INT + (quality + toxic <> doc_id % 3)::INT + (doc_id % 17 = 0)::INT + (doc_id % 5 = 0)::INT AS BIGINT) AS n_problems FROM v""",
+    """SELECT doc_id, concat_ws(' / ',
+      CASE WHEN doc_id % 7 = 0 THEN 'length: other turn count than queued' END, CASE WHEN doc_id % 13 = 0 THEN 'missing: item outside the vocabulary' END,
+      CASE WHEN doc_id % 17 = 0 THEN 'outcome: outside the vocabulary' END,
+      CASE WHEN doc_id % 29 = 0 THEN 'rubric: unanswered item among goal/context/constraints/done_criterion/scope'
+        WHEN quality + toxic <> doc_id % 3 THEN 'score: differs from the rubric''s yes answers' END,
+      CASE WHEN doc_id % 31 = 0 THEN 'session: another id than the file''s' END,
+      CASE WHEN doc_id % 37 = 0 THEN 'summary: absent or over 140 characters' WHEN doc_id % 5 = 0 THEN 'summary: repeats a turn word for word' END,
+      CASE WHEN doc_id % 41 = 0 THEN NULL WHEN doc_id % 11 = 0 THEN 'turn.label: nonsense' WHEN doc_id % 19 = 0 THEN 'turn.cause: bad luck' WHEN doc_id % 23 = 0 THEN 'turn.number: counted from one' END,
+      CASE WHEN doc_id % 41 = 0 THEN 'turns: none given' END) AS problems FROM labels WHERE doc_id % 43 <> 0
+      UNION ALL SELECT doc_id, 'stray: nobody queued this session' FROM labels WHERE doc_id % 43 = 0""",
 )
 def verdict_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Labels as verdicts with known faults; every fault adds exactly one problem."""
+    """Labels as verdicts with known faults, and some that nobody queued; every problem by name."""
     d, labels = F.col("doc_id"), load(spark, sf_dir, "labels")
     sid = F.concat(F.lit("s"), d.cast("string"))
     turn = F.struct(
-        F.lit(1).cast("bigint").alias("i"), F.when(d % 11 == 0, "nonsense").otherwise("approval").alias("label"), F.lit(None).cast("string").alias("cause")
+        F.when(d % 23 == 0, 0).otherwise(1).cast("bigint").alias("i"), F.when(d % 11 == 0, "nonsense").otherwise("approval").alias("label"),
+        F.when(d % 19 == 0, "bad luck").alias("cause"),
     )
     yes = [F.coalesce(F.col("quality") == 1, F.lit(False)), F.coalesce(F.col("toxic") == 1, F.lit(False))]
-    rubric = F.struct(*[c.alias(k) for c, k in zip([*yes, *[F.lit(False)] * 3], fixed.RUBRIC)])
+    answers = [*yes, F.lit(False), F.when(d % 29 != 0, F.lit(False)), F.lit(False)]
+    rubric = F.struct(*[c.alias(k) for c, k in zip(answers, fixed.RUBRIC)])
     verdicts = labels.select(
-        d, sid.alias("file_sid"), sid.alias("sid"), F.lit(3).cast("bigint").alias("n_turns"), F.array(turn).alias("turns"), rubric.alias("first_prompt"),
+        d, sid.alias("file_sid"), F.when(d % 31 == 0, "other").otherwise(sid).alias("sid"), F.lit(3).cast("bigint").alias("n_turns"),
+        F.when(d % 41 != 0, F.array(turn)).alias("turns"), rubric.alias("first_prompt"),
         (d % 3).alias("score"), F.array(F.when(d % 13 == 0, "the moon").otherwise("priority")).alias("missing"),
         F.when(d % 17 == 0, "unheard of").otherwise("completed").alias("outcome"),
-        F.when(d % 5 == 0, "please keep the old parser exactly as it was").otherwise("A short neutral summary.").alias("summary"),
+        F.when(d % 37 == 0, F.repeat(F.lit("x"), 141)).when(d % 5 == 0, "please keep the old parser exactly as it was").otherwise("A short neutral summary.").alias("summary"),
     )
-    queue = labels.select(
+    queue = labels.filter(d % 43 != 0).select(
         sid.alias("sid"), F.when(d % 7 == 0, 9).otherwise(3).cast("bigint").alias("n_turns"),
         F.array(F.struct(F.lit("Please keep the old parser exactly as it was today").alias("you"))).alias("turns"),
     )
-    matched, _ = review.match_queue(verdicts, queue)
-    return review.validate_verdicts(matched).select("doc_id", F.size("problems").cast("bigint").alias("n_problems"))
+    matched, stray = review.match_queue(verdicts, queue)
+    checked = review.validate_verdicts(matched).select("doc_id", "problems").unionByName(stray.select("doc_id", "problems"))
+    return checked.select("doc_id", F.array_join("problems", " / ").alias("problems"))
 
 
 # --- other tables -------------------------------------------------------------

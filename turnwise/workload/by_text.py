@@ -10,7 +10,7 @@ from turnwise.functions import formats, redact, text as X
 from turnwise.operators import ordered, records as R, review
 from turnwise.operators.ordering import first_by
 from turnwise.operators.progress import project_root
-from turnwise.session import spread
+from turnwise.session import materialize, spread
 from turnwise.workload.adapter import load
 from turnwise.workload.silver import once
 
@@ -62,25 +62,6 @@ def repeated_wording(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ordered.repeated_wording(docs, ["source"], "doc_id", "text")
 
 
-_CAP = 2000
-
-
-@query(
-    "repeated_wording_capped",
-    f"""WITH {_runs_sql('documents', 'source', 'doc_id', 6)},
-    fresh AS (SELECT k, first_t AS t, count(*) AS c FROM firsts GROUP BY k, first_t),
-    run_tot AS (SELECT k, t, sum(c) OVER (PARTITION BY k ORDER BY t) - c AS before FROM fresh),
-    cut AS (SELECT k, min(t) AS cutoff FROM run_tot WHERE before >= {_CAP} GROUP BY k),
-    late AS (SELECT DISTINCT runs.k, runs.t FROM runs JOIN firsts USING (k, run) JOIN cut USING (k) WHERE runs.t >= cutoff AND first_t < cutoff)
-    SELECT w.k AS source, w.t AS doc_id,
-      CASE WHEN cutoff IS NOT NULL AND w.t >= cutoff THEN late.t IS NOT NULL ELSE rep.t IS NOT NULL END AS repeated
-    FROM w LEFT JOIN cut USING (k) LEFT JOIN rep USING (k, t) LEFT JOIN late USING (k, t)""",
-)
-def repeated_wording_capped(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spread(load(spark, sf_dir, "documents").select("source", "doc_id", "text"))
-    return ordered.repeated_wording(docs, ["source"], "doc_id", "text", max_shingles=_CAP)
-
-
 @query(
     "repeated_wording_conv",
     f"WITH {_runs_sql('conversations', 'conv_id', 'turn', 2)} SELECT w.k AS conv_id, w.t AS turn, rep.t IS NOT NULL AS repeated FROM w LEFT JOIN rep USING (k, t)",
@@ -95,7 +76,7 @@ _FEATURES_SQL = f"""CASE WHEN {sql_collapse('text')} = '' THEN 0 ELSE len(string
   {sql_match(_T, X.PATTERNS['has_path'])} AS has_path, {sql_match(_T, X.PATTERNS['has_constraint'])} AS has_constraint,
   {sql_match(_T, X.PATTERNS['has_done_criterion'])} AS has_done_criterion,
   ends_with({_T}, '?') OR {sql_match(_T, X.PATTERNS['question'])} AS is_question, starts_with({_T}, '/') AS slash_cmd,
-  {sql_match(f'substring({_T}, 1, {fixed.PLAN_WORDS_WITHIN})', X.PATTERNS['mentions_plan'])} AS mentions_plan"""
+  {sql_match(_T, X.PATTERNS['mentions_plan'])} AS mentions_plan"""
 
 
 @query("prompt_features", f"SELECT doc_id, {_FEATURES_SQL} FROM documents")
@@ -120,8 +101,8 @@ _NOT_LEXICON = ("the of", "la de")
 
 @query(
     "opening_lexicon",
-    f"""SELECT conv_id, turn, turn > 1 AND {sql_match(f'substring({_T}, 1, 200)', X.opening_pattern(_LEXICON))}
-      AND NOT {sql_match(f'substring({_T}, 1, 200)', X.opening_pattern(_NOT_LEXICON))} AS reads_as_correction FROM conversations""",
+    f"""SELECT conv_id, turn, turn > 1 AND {sql_match(_T, X.opening_pattern(_LEXICON))}
+      AND NOT {sql_match(_T, X.opening_pattern(_NOT_LEXICON))} AS reads_as_correction FROM conversations""",
 )
 def opening_lexicon(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = load(spark, sf_dir, "conversations")
@@ -151,28 +132,33 @@ def redact_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 _VALUE = "[0-9a-f]{16,}"
 
 
-_LISTED_SQL = f"""WITH deny AS (SELECT DISTINCT v FROM (SELECT unnest(regexp_extract_all(text, '{_VALUE}')) AS v FROM documents WHERE doc_id % 2 = 0)),
-    found AS (SELECT doc_id, list(v ORDER BY length(v) DESC, v) AS vs FROM documents JOIN deny ON contains(text, v) GROUP BY doc_id)
-    SELECT d.doc_id, md5(CASE WHEN vs IS NULL THEN text ELSE list_reduce(list_prepend(text, vs), lambda a, v: replace(a, v, '{fixed.REDACTED}')) END) AS digest,
-      vs IS NOT NULL AS changed FROM documents d LEFT JOIN found USING (doc_id)"""
+def _listed_sql(table: str, keys: str) -> str:
+    """Every listed value inside every text, longest first, by nested search."""
+    return f"""WITH deny AS (SELECT DISTINCT unnest(regexp_extract_all(text, '{_VALUE}')) AS v FROM documents),
+    texts AS (SELECT DISTINCT text FROM {table}),
+    found AS (SELECT text, list(v ORDER BY length(v) DESC, v) AS vs FROM texts JOIN deny ON contains(text, v) GROUP BY text)
+    SELECT {keys}, md5(CASE WHEN vs IS NULL THEN d.text ELSE list_reduce(list_prepend(d.text, vs), lambda a, v: replace(a, v, '{fixed.REDACTED}')) END) AS digest,
+      vs IS NOT NULL AS changed FROM {table} d LEFT JOIN found USING (text)"""
 
 
-def _redact_listed(spark: SparkSession, sf_dir: str, inline: int) -> DataFrame:
-    docs = spread(load(spark, sf_dir, "documents").select("doc_id", "text"))
-    deny = docs.filter("doc_id % 2 = 0").select(F.explode(F.regexp_extract_all("text", F.lit(_VALUE), F.lit(0))).alias("value")).distinct()
-    out = redact.redact_listed(docs.withColumn("before", F.col("text")), ["doc_id"], "text", once(spark, sf_dir, "deny_list", lambda: deny), inline)
-    return out.select("doc_id", F.md5(F.col("text").cast("binary")).alias("digest"), (F.col("text") != F.col("before")).alias("changed"))
+def _redact_listed(spark: SparkSession, sf_dir: str, table: str, *keys: str) -> DataFrame:
+    """The deny list is every value that any document holds."""
+    docs = load(spark, sf_dir, "documents").select("text")
+    deny = spread(docs).select(F.explode(F.regexp_extract_all("text", F.lit(_VALUE), F.lit(0))).alias("value")).distinct()
+    rows = spread(load(spark, sf_dir, table).select(*keys, "text"))
+    out = redact.redact_listed(rows.withColumn("before", F.col("text")), "text", materialize(deny, "deny_list"))
+    return out.select(*keys, F.md5(F.col("text").cast("binary")).alias("digest"), (F.col("text") != F.col("before")).alias("changed"))
 
 
-@query("redact_listed", _LISTED_SQL)
+@query("redact_listed", _listed_sql("documents", "doc_id"))
 def redact_listed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _redact_listed(spark, sf_dir, redact.INLINE_DENY_VALUES)
+    return _redact_listed(spark, sf_dir, "documents", "doc_id")
 
 
-@query("redact_listed_join", _LISTED_SQL)
+@query("redact_listed_join", _listed_sql("conversations", "conv_id, turn"))
 def redact_listed_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The join form, as used for lists too long to inline."""
-    return _redact_listed(spark, sf_dir, 0)
+    """The documents' values looked for in another table."""
+    return _redact_listed(spark, sf_dir, "conversations", "conv_id", "turn")
 
 
 def sql_strip(e: str) -> str:
@@ -219,13 +205,12 @@ def conversation_records(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "turn_digest",
     f"""WITH c AS (SELECT conv_id, turn, role, text, sum(CASE WHEN role = 'user' AND {sql_trim('text')} <> '' THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id ORDER BY turn) AS i FROM conversations),
-    u AS (SELECT conv_id, i, {sql_clean('text')} AS you, max(i) OVER (PARTITION BY conv_id) AS total FROM c WHERE role = 'user' AND {sql_trim('text')} <> ''),
+    u AS (SELECT conv_id, i, {sql_clean('text')} AS you FROM c WHERE role = 'user' AND {sql_trim('text')} <> ''),
     s AS (SELECT conv_id, i, arg_max({sql_collapse('text')}, turn) AS said FROM c WHERE role = 'assistant' GROUP BY conv_id, i)
-    SELECT conv_id, CAST(i AS BIGINT) AS i, md5(substring(you, 1, 400)) AS you, md5(substring(coalesce(said, ''), 1, 200)) AS said, CAST(greatest(0, total - 2) AS BIGINT) AS omitted
-    FROM u LEFT JOIN s USING (conv_id, i) WHERE i > total - 2""",
+    SELECT conv_id, CAST(i AS BIGINT) AS i, md5(you) AS you, md5(coalesce(said, '')) AS said, 0::BIGINT AS omitted FROM u LEFT JOIN s USING (conv_id, i)""",
 )
 def turn_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    digests = review.build_digests(conversation_records(spark, sf_dir), keep=2)
+    digests = review.build_digests(conversation_records(spark, sf_dir))
     return digests.select(
         F.regexp_extract("path", "([0-9]+)\\.jsonl", 1).cast("bigint").alias("conv_id"), "omitted_earlier_turns", F.explode("turns").alias("t")
     ).select(
@@ -250,12 +235,13 @@ def quote_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     "size_labels",
     """SELECT doc_id, CASE WHEN n >= 1000000 THEN printf('%.1f MB', n / 1e6::DOUBLE) WHEN n >= 1000 THEN CAST(floor(n / 1e3::DOUBLE + 0.5) AS BIGINT) || ' KB' ELSE n || ' B' END AS bytes,
       CASE WHEN n >= 1000000 THEN printf('%.1fM', n / 1e6::DOUBLE) WHEN n >= 1000 THEN CAST(floor(n / 1e3::DOUBLE + 0.5) AS BIGINT) || 'K' ELSE CAST(n AS VARCHAR) END AS tokens,
-      CASE WHEN n < 90 THEN n || 's' WHEN n < 5400 THEN CAST(floor(n / 60.0::DOUBLE + 0.5) AS BIGINT) || 'm' ELSE 'long' END AS span
+      CASE WHEN n < 90 THEN n || 's' WHEN n < 5400 THEN CAST(floor(n / 60.0::DOUBLE + 0.5) AS BIGINT) || 'm'
+        WHEN n < 36000 THEN printf('%.1fh', n / 3600.0::DOUBLE) WHEN n < 172800 THEN printf('%.0fh', n / 3600.0::DOUBLE) ELSE CAST(floor(n / 86400.0::DOUBLE + 0.5) AS BIGINT) || 'd' END AS span
       FROM (SELECT doc_id, n_chars AS n FROM documents)""",
 )
 def size_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = F.col("n_chars")
-    span = F.when(n < 5400, formats.duration(n.cast("double"))).otherwise("long")
+    span = formats.duration(n.cast("double"))
     return load(spark, sf_dir, "documents").select(
         "doc_id", formats.byte_size(n).alias("bytes"), formats.tokens(n).alias("tokens"), span.alias("span")
     )
@@ -264,11 +250,11 @@ def size_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "project_root",
     """WITH p AS (SELECT DISTINCT rtrim(regexp_replace(regexp_replace(url, '^https?:/', ''), '[?#].*$', ''), '/') AS cwd FROM pages),
-    roots AS (SELECT DISTINCT regexp_extract(cwd, '^/[^/]+/[^/]+') AS root FROM p WHERE length(cwd) % 2 = 0 AND cwd LIKE '/%/%/%')
+    roots AS (SELECT DISTINCT regexp_extract(cwd, '^/[^/]+/[^/]+') AS root FROM p WHERE cwd LIKE '/%/%/%')
     SELECT cwd, coalesce((SELECT arg_max(root, length(root)) FROM roots WHERE root <> '' AND (cwd = root OR starts_with(cwd, root || '/'))), cwd) AS root FROM p WHERE cwd <> ''""",
 )
 def project_roots(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = F.regexp_replace(F.regexp_replace(F.regexp_replace("url", "^https?:/", ""), "[?#].*$", ""), "/+$", "")
     cwds = load(spark, sf_dir, "pages").select(path.alias("cwd"))
-    roots = cwds.filter("length(cwd) % 2 = 0 and cwd like '/%/%/%'").select(F.regexp_extract("cwd", "^/[^/]+/[^/]+", 0).alias("root")).filter("root <> ''")
+    roots = cwds.filter("cwd like '/%/%/%'").select(F.regexp_extract("cwd", "^/[^/]+/[^/]+", 0).alias("root")).filter("root <> ''")
     return project_root(cwds, roots, "/home/nobody")
