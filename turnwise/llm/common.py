@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from turnwise.session import configure, materialize
 
 __all__ = [
-    "arrow_rows", "components", "let", "list_column", "materialize", "md5_unit", "prepare", "read", "same_row",
+    "arrow_rows", "components", "hold", "let", "list_column", "materialize", "md5_unit", "prepare", "read", "same_row",
     "shingles", "word_hashes", "words_of",
 ]
 
@@ -66,6 +66,17 @@ def same_row(left: DataFrame, right: DataFrame, names: list[str]) -> Column:
 
 # ---------------------------------------------------------------- inside tasks
 
+_HELD: dict = {"owner": None, "free": None}
+
+
+def hold(owner: str, free) -> None:
+    """Say whose tables this Python worker keeps from now on; those of another operator, which ran in it before, are freed."""
+    if _HELD["owner"] != owner:
+        if _HELD["free"]:
+            _HELD["free"]()
+        _HELD.update(owner=owner, free=free)
+
+
 class _WordHashes(dict):
     """64-bit hash of each word; emptied when it has grown large, so memory is bounded."""
 
@@ -85,6 +96,7 @@ def words_of(text: bytes | None) -> list[bytes]:
 
 
 def word_hashes(words: list[bytes]) -> np.ndarray:
+    hold("shingles", _HASHES.clear)
     return np.fromiter(map(_HASHES.__getitem__, words), dtype=np.uint64, count=len(words))
 
 

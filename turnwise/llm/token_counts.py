@@ -26,7 +26,7 @@ import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from turnwise.llm.common import arrow_rows
+from turnwise.llm.common import arrow_rows, hold
 
 VOCABULARY = public_tokenizers.path("piece_bpe_32k.model")
 UNKNOWN_PENALTY = 10.0
@@ -109,6 +109,7 @@ def counter(path: str) -> Counter:
 
 def _counts(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hold("token_counts", counter.cache_clear)
         counts = counter(path)
         for batch in arrow_rows(batches):
             found = [counts.count((b or b"").decode("utf-8", "replace")) for b in batch.column("body").to_pylist()]

@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from turnwise.llm.common import arrow_rows, materialize
+from turnwise.llm.common import arrow_rows, hold, materialize
 from turnwise.session import scratch_root
 
 TOKENIZER, END_ID = public_tokenizers.path("byte_bpe_50k.json"), 2
@@ -176,6 +176,7 @@ _ENCODERS: dict[str, Encoder] = {}
 
 
 def encoder(path: str) -> Encoder:
+    hold("token_records", _ENCODERS.clear)
     if path not in _ENCODERS:
         _ENCODERS[path] = Encoder(path)
     return _ENCODERS[path]

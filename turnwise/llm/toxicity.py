@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from turnwise.llm.common import arrow_rows, materialize, md5_unit
+from turnwise.llm.common import arrow_rows, hold, materialize, md5_unit
 
 TRAIN_ROWS = 200_000  # labelled documents that the lexicon and the model are fitted on, about
 STEMS = (4, 5, 6)
@@ -301,6 +301,7 @@ _FINDERS: dict[str, Finder] = {}
 
 
 def _finder(shared) -> Finder:
+    hold("toxicity", _FINDERS.clear)
     if shared.id not in _FINDERS:
         _FINDERS.clear()
         _FINDERS[shared.id] = Finder(shared.value)
