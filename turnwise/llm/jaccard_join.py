@@ -255,10 +255,12 @@ def _differences(members: DataFrame, num: int, den: int, name: str) -> tuple[Dat
     alone = F.col("lone") + F.col("length") - F.size("found")
     most = F.floor(F.col("n") * (den - num) / num).cast("int") + 1
     entries = found.withColumn("shared", F.size("found")).withColumn("left", most - alone).where("left > 0")
-    entries = entries.select("space", "rid", "n", "far", (F.col("lone") + F.col("length")).alias("length"), "shared", F.explode(F.slice("found", 1, F.col("left"))).alias("e")).where("e.any_far")
-    entries = materialize(entries.select("space", F.col("e.token").alias("token"), "rid", "n", "far", "length", "shared"), f"{name}_entries")
+    entries = entries.select("space", "rid", "n", "far", (F.col("lone") + F.col("length")).alias("length"), "shared", F.posexplode(F.slice("found", 1, F.col("left"))).alias("at", "e")).where("e.any_far")
+    entries = materialize(entries.select("space", F.col("e.token").alias("token"), "rid", "n", "far", "length", (F.col("shared") - F.col("at")).alias("rest")), f"{name}_entries")
     small, large = _buckets(entries, ["space", "token"], "length", PAIRED_DIFFERENCES, name)
-    least = F.col("x.length") + F.col("y.length") - 2 * F.least("x.shared", "y.shared")
+    # Where two differences first meet in the order of tokens, they have no more in common than either has left from there;
+    # further meetings of a pair that can link are not needed.
+    least = F.col("x.length") + F.col("y.length") - 2 * F.least("x.rest", "y.rest")
     pairs = small.alias("x").join(
         small.alias("y"),
         (F.col("x.space") == F.col("y.space")) & (F.col("x.token") == F.col("y.token")) & (F.col("x.rid") < F.col("y.rid")) & (F.col("x.far") | F.col("y.far"))
