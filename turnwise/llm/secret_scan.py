@@ -29,7 +29,7 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from turnwise.llm.common import arrow_rows, materialize, md5_unit
+from turnwise.llm.common import arrow_rows, hold, materialize, md5_unit
 from turnwise.llm.toxicity import held_out
 
 DICTIONARY_WORDS = 20_000
@@ -61,6 +61,7 @@ CANDIDATE = "id {kind}, start long, size long, digest string, format string, fea
 
 def _words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Counts of words of 3 to 20 letters, summed within the task as far as memory allows."""
+    hold("secret_scan", int)
     found: Counter[str] = Counter()
 
     def rows() -> pa.RecordBatch:

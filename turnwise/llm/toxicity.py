@@ -62,6 +62,7 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     ``kinds`` has a bit for the least word hash of every toxic text, from which the number of different ones is estimated.
     """
+    hold("toxicity_counts", _FINDERS.clear)
     found: tuple[Counter, Counter] = (Counter(), Counter())
     kinds: dict[str, int] = {}
 
@@ -85,7 +86,7 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 bit = 1 << min(xxhash.xxh3_64_intdigest(w) for w in words) % KINDS
                 for e in entries:
                     kinds[e] = kinds.get(e, 0) | bit
-        if len(found[0]) + len(found[1]) > 400_000:
+        if len(found[0]) + len(found[1]) > 200_000:
             yield rows()
     yield rows()
 
