@@ -33,5 +33,5 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def as_token_records(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """(doc_id, start, n_tokens, ids_crc32) of the records, read back from the files."""
     prepare(spark)
-    index, folder = token_records.write_records(docs, "stage_tokens")
+    index, folder = token_records.write_records(docs, "stage_tokens", most=300_000)  # workers here also hold what earlier stages left
     return token_records.read_digests(index, folder)

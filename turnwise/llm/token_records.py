@@ -39,6 +39,7 @@ from turnwise.llm.common import arrow_rows, hold, materialize
 from turnwise.session import scratch_root
 
 TOKENIZER, END_ID = public_tokenizers.path("byte_bpe_50k.json"), 2
+UNITS = 1_500_000
 FILE_BYTES = 256 * 2**20  # a task begins another file beyond this
 _HEAD, _FRAME = struct.Struct("<qBB"), struct.Struct("<QI")
 INDEX = "doc_id long, file string, offset long, size long, n_tokens long, shard int, place long"
@@ -101,7 +102,7 @@ class Encoder:
     are encoded whole.
     """
 
-    def __init__(self, path: str, most: int = 1_500_000):
+    def __init__(self, path: str, most: int = UNITS):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
@@ -175,18 +176,19 @@ class Encoder:
 _ENCODERS: dict[str, Encoder] = {}
 
 
-def encoder(path: str) -> Encoder:
+def encoder(path: str, most: int = UNITS) -> Encoder:
     hold("token_records", _ENCODERS.clear)
     if path not in _ENCODERS:
         _ENCODERS[path] = Encoder(path)
+    _ENCODERS[path].most = most
     return _ENCODERS[path]
 
 
-def _writer(folder: str, path: str, end_id: int):
+def _writer(folder: str, path: str, end_id: int, most: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, base = pa.fs.FileSystem.from_uri(folder)
         shard, place, out, file, offset = TaskContext.get().partitionId(), 0, None, "", 0
-        code = encoder(path)
+        code = encoder(path, most)
         end = np.array([end_id], dtype=code.width).tobytes()
         width = np.dtype(code.width).itemsize
         rows: list[tuple] = []
@@ -225,8 +227,13 @@ def _index(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
 
 
-def write_records(docs: DataFrame, name: str, id_col: str = "doc_id", text_col: str = "text", path: str = TOKENIZER, end_id: int = END_ID) -> tuple[DataFrame, str]:
-    """Write all documents as records in a new folder of the shared folder; give the index and the folder."""
+def write_records(
+    docs: DataFrame, name: str, id_col: str = "doc_id", text_col: str = "text", path: str = TOKENIZER, end_id: int = END_ID, most: int = UNITS
+) -> tuple[DataFrame, str]:
+    """Write all documents as records in a new folder of the shared folder; give the index and the folder.
+
+    ``most`` bounds the units of text (about 200 bytes each) that a Python worker remembers.
+    """
     root = scratch_root(docs.sparkSession)
     folder = f"{root if '://' in root or root.startswith('/') else root.replace('file:', 'file://', 1)}/turnwise/{name}-{uuid.uuid4().hex}"
     store, base = pa.fs.FileSystem.from_uri(folder)
@@ -234,7 +241,7 @@ def write_records(docs: DataFrame, name: str, id_col: str = "doc_id", text_col:
     rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").cast("binary").alias("body"))
     order = ["id", F.xxhash64("body")]
     ranged = rows.repartitionByRange(*order).sortWithinPartitions(*order)
-    return materialize(ranged.mapInArrow(_writer(folder, path, end_id), INDEX), f"{name}_index"), folder
+    return materialize(ranged.mapInArrow(_writer(folder, path, end_id, most), INDEX), f"{name}_index"), folder
 
 
 def _reader(folder: str, digest: bool):
