@@ -6,6 +6,7 @@ import pytest
 
 from tests.llm.conftest import ODD_TEXTS
 from turnwise.llm import mixing as M
+from turnwise.llm import stages
 
 
 def test_rake_reaches_the_targets(spark):
@@ -70,3 +71,31 @@ def test_draw_is_repeatable_and_keeps_columns(documents):
 def test_empty_table_and_missing_columns(documents):
     assert M.mixed(documents([]), "test").count() == 0
     assert M.mixed(documents(["a b", None]).drop("lang", "source"), "test").count() == 2
+
+
+def test_a_tiny_cell_leaves_the_kept_share(spark, documents):
+    rows = [(i, f"some words {i} " * (40 + i % 7), ["en", "de"][i % 3 == 0], f"src{i % 4}") for i in range(900)]
+    tiny = (-1, "one two three", "xx", "unseen")
+
+    def share(rows, **how):
+        found, chances = M.probabilities(documents(rows), "test", **how)
+        got = found.join(chances, list(M.DIMENSIONS)).collect()
+        assert all(0 <= r.probability <= 1 for r in got)
+        return sum(r.n_tokens * r.probability for r in got) / sum(r.n_tokens for r in got), {r.id: r.probability for r in got}
+
+    assert share([*rows, tiny])[0] < 0.4
+    with_tiny, chance = share([*rows, tiny], least_kept=M.LEAST_KEPT)
+    assert with_tiny == pytest.approx(M.LEAST_KEPT) and chance[-1] == 1
+    # The stage of the pipeline has the bound.
+    kept = stages.mixed(spark, documents([*rows, tiny]), "")
+    assert 390 < kept.count() < 520 and kept.where("doc_id = -1").count() == 1
+
+
+def test_solved_share(spark):
+    frame = spark.createDataFrame([("a", 100, 10.0), ("b", 100, 50.0), ("c", 10, 10.0), ("d", 50, 0.0)], "source string, tokens long, raked double")
+    for kept in (0.2, 0.5, 0.8):
+        c = M.solved(frame, kept)
+        assert sum(min(t, c * r) for t, r in ((100, 10.0), (100, 50.0), (10, 10.0))) == pytest.approx(kept * 260)
+    c = M.solved(frame, 1.0)  # more than the cells that may be kept have
+    assert min(c * 10, c * 10 / 10, c * 50 / 100) >= 1
+    assert M.solved(frame.where("false"), 0.5) == 0.0

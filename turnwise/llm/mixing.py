@@ -3,7 +3,10 @@
 Documents fall into cells (source, language, topic).  The cells' token counts are raked: in turn for every dimension, each cell
 is scaled by its value's target share over its present share, ``ROUNDS`` times.  A document of a cell is then kept with
 probability ``c * raked / counted`` tokens, ``c`` being the largest factor that leaves no probability above one; so the kept
-tokens have, in expectation, exactly the raked mix.  A document is kept if a number drawn from its id's MD5 is below its
+tokens have, in expectation, exactly the raked mix.  One rare cell of a large factor makes that ``c`` small for all others.  Where it
+would keep less than the share ``least_kept`` of all tokens, the cells are raked again to that share with no cell above its own
+tokens, and ``c`` is solved for exactly that share with probabilities held at one; the mix is then as near to the targets as
+the rare cells' own tokens allow.  A document is kept if a number drawn from its id's MD5 is below its
 probability, so a run that is repeated keeps the same documents.
 
 Texts are read once, in place; what is shuffled are the cells' sums, and each round is written to the shared folder.
@@ -23,6 +26,7 @@ from turnwise.llm.common import SPACES, materialize, md5_unit
 DIMENSIONS = ("source", "lang", "topic")
 ROUNDS = 8
 TEMPER = 0.9  # default targets: every value's counted share to this power, which lifts rare values
+LEAST_KEPT = 0.5  # share of all tokens that the pipeline keeps at least
 SEED = "mix"
 
 
@@ -50,34 +54,61 @@ def tempered(cells: DataFrame, dimension: str, power: float) -> DataFrame:
     return totals.select("value", (raised / F.lit(float(whole))).alias("share"))
 
 
-def rake(cells: DataFrame, targets: dict[str, DataFrame], name: str, rounds: int = ROUNDS) -> DataFrame:
+def rake(cells: DataFrame, targets: dict[str, DataFrame], name: str, rounds: int = ROUNDS, kept: float | None = None) -> DataFrame:
     """cells(*dimensions, tokens) with ``raked``, the tokens scaled to the target shares (value, share) of every dimension.
 
-    A value without a target keeps nothing.
+    A value without a target keeps nothing.  With ``kept``, the targets are shares of that part of the tokens, and no cell is raked
+    above its own tokens.
     """
-    whole = cells.agg(F.sum("tokens")).first()[0] or 0
+    whole = (cells.agg(F.sum("tokens")).first()[0] or 0) * (1.0 if kept is None else kept)
     now = cells.withColumn("raked", F.col("tokens").cast("double"))
     for step in range(rounds):
         for dimension, target in targets.items():
             held = now.groupBy(F.col(dimension).alias("value")).agg(F.sum("raked").alias("held"))
             scale = held.join(target, "value").select("value", (F.col("share") * float(whole) / F.col("held")).alias("scale")).where("held > 0")
             now = now.join(scale, now[dimension] == scale["value"], "left").drop("value")
-            now = now.withColumn("raked", F.col("raked") * F.coalesce("scale", F.lit(0.0))).drop("scale")
+            raked = F.col("raked") * F.coalesce("scale", F.lit(0.0))
+            now = now.withColumn("raked", raked if kept is None else F.least(raked, F.col("tokens").cast("double"))).drop("scale")
         now = materialize(now, f"{name}_round{step}")
     return now
 
 
-def probabilities(docs: DataFrame, name: str, id_col: str = "doc_id", text_col: str = "text", targets: dict[str, DataFrame] | None = None, topic_col: str | None = None, power: float = TEMPER) -> tuple[DataFrame, DataFrame]:
-    """Every row of ``docs`` as (id, *dimensions, n_tokens), and the probability of every cell."""
+def solved(raked: DataFrame, kept: float) -> float:
+    """The ``c`` for which min(tokens, c * raked) sums to the share ``kept`` of all tokens, or holds every cell it can at one.
+
+    ``c`` only grows from step to step, and each step holds more cells at one, so the steps end.
+    """
+    c, held = 0.0, -1
+    while True:
+        full = (F.lit(c) * F.col("raked") >= F.col("tokens")) & (F.col("raked") > 0)
+        found = raked.where("tokens > 0").agg(
+            F.sum("tokens").alias("whole"), F.sum(F.when(full, 1).otherwise(0)).alias("n"),
+            F.sum(F.when(full, F.col("tokens")).otherwise(0)).alias("full"), F.sum(F.when(full, 0.0).otherwise(F.col("raked"))).alias("free"),
+        ).first()
+        if not found.whole or not found.free or found.n == held:
+            return c
+        c, held = max(c, (kept * found.whole - found.full) / found.free), found.n
+
+
+def probabilities(docs: DataFrame, name: str, id_col: str = "doc_id", text_col: str = "text", targets: dict[str, DataFrame] | None = None, topic_col: str | None = None, power: float = TEMPER, least_kept: float = 0.0) -> tuple[DataFrame, DataFrame]:
+    """Every row of ``docs`` as (id, *dimensions, n_tokens), and the probability of every cell.
+
+    With ``least_kept``, that share of all tokens is kept at least, in expectation.
+    """
     text = F.col(f"`{text_col}`")
     value = lambda c: F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("")) if c in docs.columns else F.lit("")
     rows = docs.select(F.col(f"`{id_col}`").alias("id"), value("source").alias("source"), value("lang").alias("lang"), (value(topic_col) if topic_col else topic(text)).alias("topic"), n_tokens(text).alias("n_tokens"))
     rows = materialize(rows, f"{name}_rows")
     cells = materialize(rows.groupBy(*DIMENSIONS).agg(F.sum("n_tokens").alias("tokens")), f"{name}_cells")
-    raked = rake(cells, targets or {d: tempered(cells, d, power) for d in DIMENSIONS}, name)
+    targets = targets or {d: tempered(cells, d, power) for d in DIMENSIONS}
+    raked = rake(cells, targets, name)
     factor = F.col("raked") / F.col("tokens")
-    most = raked.where("tokens > 0").agg(F.max(factor)).first()[0] or 1.0
+    found = raked.where("tokens > 0").agg(F.max(factor).alias("most"), (F.sum("raked") / F.sum("tokens")).alias("raked")).first()
+    most = found.most or 1.0
     chance = F.when(F.col("tokens") > 0, factor / F.lit(float(most))).otherwise(1.0)
+    if least_kept and found.most and found.raked / most < least_kept:
+        raked = rake(cells, targets, f"{name}_least", kept=least_kept)
+        chance = F.when(F.col("tokens") > 0, F.least(F.lit(1.0), factor * F.lit(float(solved(raked, least_kept))))).otherwise(1.0)
     return rows, materialize(raked.select(*DIMENSIONS, chance.alias("probability")), f"{name}_chances")
 
 

@@ -25,9 +25,9 @@ def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents drawn for a raked mix of sources, languages and topics."""
+    """Documents drawn for a raked mix of sources, languages and topics; rare cells never leave less than half of the tokens."""
     prepare(spark)
-    return mixing.mixed(docs, "stage_mixing")
+    return mixing.mixed(docs, "stage_mixing", least_kept=mixing.LEAST_KEPT)
 
 
 def as_token_records(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
