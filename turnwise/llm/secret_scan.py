@@ -1,14 +1,16 @@
 """Secret scan: candidates by pattern, false positives removed by a random forest.
 
-A candidate is a run of key characters that has a digit and is long, or that is assigned to a name such as ``password``.  Each is
+A candidate is a run of key characters that has a digit and is long, or whatever without spaces is assigned to a name that ends in
+a word such as ``password``, or stands for the password in a URL; a key of a published format inside of one is a candidate of its own.  Each is
 described by numbers: its length, its character classes and the transitions between them, how likely its letter pairs are in
 ordinary words, how much of it a dictionary covers, its entropy, whether it lies in a path, URL or address, what the document's own
 path says, and the words next to it (a few known ones, the others hashed).
 
 The dictionary is the ``DICTIONARY_WORDS`` most frequent words of all documents, counted in Spark.  The forest (Spark ML) is
-fitted on at most about ``TRAIN_FINDINGS`` labelled findings, drawn by hash, of documents outside the held-out part.  Findings
-labelled by hand are given as a table (id, start, label); without one, findings of exact published formats are taken as true and
-all others as false, which teaches the forest what the formats have in common.
+fitted on at most about ``TRAIN_FINDINGS`` labelled findings, half of either label, drawn by hash, of documents outside the held-out
+part.  Findings labelled by hand are given as a table (id, start, label); without one, findings of exact published formats are taken
+as true, those of a known harmless kind (addresses, numbers and dates, paths, a word of prose after a colon) as false, and the forest
+learns from no others.
 
 Defined results: null and empty texts have no candidates; repeated rows give their findings each; a null id is
 never learnt from; with labels of one kind only, every score is that label.
@@ -49,12 +51,22 @@ FORMATS = {
 }
 
 _CANDIDATE = re.compile(r"[A-Za-z0-9][A-Za-z0-9+/_=.@:-]*")
-_ASSIGNED = re.compile(r"(?:" + "|".join(sorted(map(re.escape, NAMES), key=len, reverse=True)) + r")[\"']?\s*(?:=|:|=>)\s*[\"']?$", re.IGNORECASE)
-_WITHIN = re.compile(r"^(?:" + "|".join(sorted(map(re.escape, NAMES), key=len, reverse=True)) + r")(?:=|:)(?=.)", re.IGNORECASE)
+_SEPARATOR = re.compile(r"(?:=>|=|:)\s*")
+_NAMED = re.compile(r"[A-Za-z0-9_.-]*(?:" + "|".join(sorted(map(re.escape, NAMES), key=len, reverse=True)) + r")(?:[_-]?id)?[\"']?\s*$", re.IGNORECASE)
+_VALUE = re.compile(r"\"[^\"\s]+(?=\")|'[^'\s]+(?=')|[\"']?([^\s\"']\S*)")
+_USERINFO = re.compile(r"://[^\s/:@]*:([^\s/]+)@")
+_INSIDE = re.compile(r"(?<![A-Za-z0-9])(?:" + "|".join(FORMATS[k].pattern for k in ("access_key_id", "prefixed")) + r")(?![A-Za-z0-9])")
+_HEX_FIRST = re.compile(r"(?:" + FORMATS["assigned_hex"].pattern + r")(?=[&;,\"'])")
+_HARMLESS = re.compile(
+    r"[0-9][0-9.:+/_TZ-]*"  # numbers, dates, times
+    r"|[^@\s:/]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+"  # mail addresses
+    r"|[A-Za-z]+://[^?@\s]*"  # web addresses without a password or query
+    r"|(?:[a-z]+[a-z0-9._-]{0,23}/){2,}[a-z0-9._-]{0,24}"  # paths
+)
 _WORD = re.compile(r"[^\W\d_]+")
 _LETTERS = re.compile(r"[A-Za-z]+")
 
-CANDIDATE = "id {kind}, start long, size long, digest string, format string, features array<double>"
+CANDIDATE = "id {kind}, start long, size long, digest string, format string, features array<double>, harmless boolean"
 
 
 # ---------------------------------------------------------------- dictionary
@@ -128,22 +140,76 @@ class Describer:
             float(any(w in NAMES for w in near)), float(bool(parts & set(EXAMPLES))), float(path.endswith((".env", ".pem", ".cfg", ".ini", ".yml", ".yaml", ".json", ".properties"))), *bins,
         ]
 
-    def candidates(self, text: str, path: str) -> Iterator[tuple[int, int, str, str | None, list[float]]]:
-        """(start, length, digest, format, features) of each candidate; places are in code points."""
-        for m in _CANDIDATE.finditer(text):
-            start, value = m.start(), m[0].rstrip(".:=-/")
-            if len(value) < LEAST_ASSIGNED:
-                continue
-            inner = _WITHIN.match(value)
-            if inner:
-                start, value = start + inner.end(), value[inner.end() :]
-            assigned = bool(inner) or bool(_ASSIGNED.search(text[max(0, start - 24) : start]))
-            if len(value) < (LEAST_ASSIGNED if assigned else LEAST_LENGTH) or not any(c.isdigit() for c in value):
+    @staticmethod
+    def assigned(text: str) -> list[tuple[int, int, int, bool]]:
+        """(beginning of the name, start, end, prose) of each value that is assigned to a name or is the password of a URL, in order.
+
+        ``prose`` says that it follows a colon and a space without quotes.
+        """
+        found: list[tuple[int, int, int, bool]] = []
+        for m in _SEPARATOR.finditer(text):
+            begin = max(0, m.start() - 64)
+            name = _NAMED.search(text, begin, m.start())
+            value = name and _VALUE.match(text, m.end())
+            if not value:
                 continue
-            form = next((k for k, p in FORMATS.items() if p.fullmatch(value) and (assigned or k != "assigned_hex")), None)
-            end = start + len(value)
-            features = self.describe(value, text[max(0, start - 60) : start], text[end : end + 60], path, assigned)
-            yield start, len(value), hashlib.sha256(value.encode()).hexdigest(), form, features
+            bare = value[1] is not None
+            start, end = (value.start(1), value.end(1)) if bare else (value.start() + 1, value.end())
+            if bare:
+                held = text[start:end].rstrip(".,;:)]}>\"'")
+                if held[:1] in tuple("([{<") and len(held) < end - start:
+                    start, held = start + 1, held[1:]
+                end = start + len(held)
+            found.append((name.start(), start, end, bare and value.start(1) == value.start() and m[0][0] == ":" and m[0] != ":"))
+        found += [(m.start(1), *m.span(1), False) for m in _USERINFO.finditer(text)]
+        if not found:
+            return []
+        found.sort()
+        # A value ends where the name of the next one begins.
+        ends = [min(e, following[0]) if following[0] >= s else e for (_, s, e, _), following in zip(found, [*found[1:], (len(text), 0, 0, False)], strict=True)]
+        return [(b, s, s + len(text[s:e].rstrip("&;,?") if e < old else text[s:e]), prose) for (b, s, old, prose), e in zip(found, ends, strict=True) if e > s]
+
+    def candidates(self, text: str, path: str) -> Iterator[tuple[int, int, str, str | None, list[float], bool]]:
+        """(start, length, digest, format, features, harmless) of each candidate; places are in code points."""
+        values = self.assigned(text)
+        parts = [(s, e, True, prose) for _, s, e, prose in values]
+        taken = [(b, max(s, e)) for b, s, e, _ in values if e - s >= LEAST_ASSIGNED]
+        at = 0
+        for m in _CANDIDATE.finditer(text):
+            start = m.start()
+            while at < len(taken) and taken[at][1] <= start:
+                at += 1
+            for begin, end in taken[at:]:
+                if begin >= m.end():
+                    break
+                parts.append((start, max(start, begin), False, False))
+                start = max(start, end)
+            parts.append((start, max(start, m.end()), False, False))
+        for start, end, assigned, prose in sorted(parts):
+            yield from self._within(text, start, end, path, assigned, prose)
+
+    def _within(self, text: str, start: int, end: int, path: str, assigned: bool, prose: bool) -> Iterator[tuple[int, int, str, str | None, list[float], bool]]:
+        """The candidates of one part of a text: keys of published formats inside of it, and what is left around them."""
+        if end - start < (LEAST_ASSIGNED if assigned else LEAST_LENGTH):
+            return
+        value = text[start:end]
+        if not assigned:
+            left = value.lstrip("+/_=.@:-")
+            start, value = end - len(left), left.rstrip(".:=-/")
+        found = _INSIDE.search(value) or (assigned and _HEX_FIRST.match(value))
+        if found and len(found[0]) < len(value):
+            first, last = start + found.start(), start + found.end()
+            yield from self._within(text, start, first, path, False, False)
+            yield from self._within(text, first, last, path, assigned, False)
+            yield from self._within(text, last, start + len(value), path, False, False)
+            return
+        if len(value) < (LEAST_ASSIGNED if assigned else LEAST_LENGTH) or not (assigned or any(c.isdigit() for c in value)):
+            return
+        form = next((k for k, p in FORMATS.items() if p.fullmatch(value) and (assigned or k != "assigned_hex")), None)
+        end = start + len(value)
+        harmless = form is None and (value.lower() in self.words if assigned and prose else not assigned and bool(_HARMLESS.fullmatch(value)))
+        features = self.describe(value, text[max(0, start - 60) : start], text[end : end + 60], path, assigned)
+        yield start, len(value), hashlib.sha256(value.encode()).hexdigest(), form, features, harmless
 
 
 def _scan(words):
@@ -155,18 +221,18 @@ def _scan(words):
                 for found in describer.candidates((body or b"").decode("utf-8", "replace"), path or ""):
                     at.append(i)
                     rows.append(found)
-            kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.list_(pa.float64())]
-            columns = list(zip(*rows, strict=True)) if rows else [[]] * 5
+            kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.list_(pa.float64()), pa.bool_()]
+            columns = list(zip(*rows, strict=True)) if rows else [[]] * 6
             yield pa.RecordBatch.from_arrays(
                 [batch.column("id").take(pa.array(at, pa.int64())), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))],
-                names=["id", "start", "size", "digest", "format", "features"],
+                names=["id", "start", "size", "digest", "format", "features", "harmless"],
             )
 
     return run
 
 
 def candidates(docs: DataFrame, words: frozenset[str], id_col: str = "doc_id", text_col: str = "text", path_col: str | None = None) -> DataFrame:
-    """(id, start, size, digest, format, features) of every candidate, in one pass without a shuffle.
+    """(id, start, size, digest, format, features, harmless) of every candidate, in one pass without a shuffle.
 
     The value itself is not carried along, only its SHA-256.
     """
@@ -182,14 +248,16 @@ def fit(found: DataFrame, findings: DataFrame | None = None, seed: int = 17) ->
     """A forest from labelled findings(id, start, label), or from formats; the only label there is, where it is one."""
     learn = found.where(~held_out(F.col("id")))
     if findings is None:
-        labelled = learn.withColumn("label", F.col("format").isNotNull().cast("double"))
+        labelled = learn.withColumn("label", F.when(F.col("format").isNotNull(), 1.0).when(F.col("harmless"), 0.0)).where("label is not null")
     else:
         known = findings.groupBy("id", "start").agg(F.max("label").cast("double").alias("label")).where("label is not null")
         labelled = learn.join(known, ["id", "start"])
     counts = {r.label: r.n for r in labelled.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
     if len(counts) < 2:
         return next(iter(counts), 0.0)
-    rate = min(1.0, TRAIN_FINDINGS / sum(counts.values()))
+    rate = F.lit(0.0)
+    for label, n in counts.items():
+        rate = F.when(F.col("label") == label, min(1.0, TRAIN_FINDINGS / 2 / n)).otherwise(rate)
     sample = labelled.where(md5_unit(F.col("id"), F.col("start"), F.lit("train")) < rate)
     rows = sample.select("label", array_to_vector("features").alias("features"))
     return RandomForestClassifier(numTrees=TREES, maxDepth=DEPTH, seed=seed, featureSubsetStrategy="sqrt").fit(rows)
@@ -207,4 +275,4 @@ def scan(docs: DataFrame, name: str, findings: DataFrame | None = None, id_col:
     """(id, start, size, digest, format, score, secret) of every candidate."""
     words = dictionary(docs, text_col)
     found = materialize(candidates(docs, words, id_col, text_col, path_col), f"{name}_candidates")
-    return score(found, fit(found, findings)).drop("features").withColumn("secret", F.col("score") >= 0.5)
+    return score(found, fit(found, findings)).drop("features", "harmless").withColumn("secret", F.col("score") >= 0.5)
