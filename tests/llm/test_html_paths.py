@@ -73,3 +73,13 @@ def test_registered_pages(spark):
         article = r.html[r.html.index("<article>") + 9 : r.html.index("</article>")]
         parts = (" ".join(html.unescape(re.sub(r"</?(?:b|br)>", " ", p)).split()) for p in re.split(r"</?(?:h1|p)>", article))
         assert got[r.page_id] == "\n\n".join(p for p in parts if p)
+
+
+def test_a_host_of_two_layouts(texts):
+    intro, main = "short intro", "main text of the page " * 9
+    one = f"<body><div class=content><p>{main}</p></div></body>"
+    two = f"<body><div class=content><p>{intro}</p></div><article><p>{main}</p></article></body>"
+    rows = [(i, "http://h.com/", one if i % 10 < 7 else two) for i in range(60)]
+    # A layout of one page only, too rare to win.
+    rows.append((60, "http://h.com/", f"<body><div class=content><p>{intro}</p></div><section class=rare><p>{main}</p></section></body>"))
+    assert {text for _, text in texts(rows)} == {main.strip()}

@@ -5,7 +5,8 @@
 2. The best container's path of tags and classes, with digits generalised, is the page's vote.  Votes are counted per host in
    Spark; a host's winning paths are those with at least ``LEAST_SHARE`` of its votes, so at most ``1 / LEAST_SHARE``.
 3. Every page is parsed again and its text taken from all containers at the winning path with the most votes that the page
-   has, or from its own best container if it has none of them.
+   has.  If they hold less than ``LEAST_HELD`` of its text, the next winning path that holds as much is taken, then the page's own best
+   container; but never one at a path that the host's pages often have and mostly did not vote for, such as a box.
 
 Votes are summed before they are shuffled, so a host with a third of all pages is one row for each path and task; the
 winners are a narrow table that is joined to the pages.
@@ -29,6 +30,7 @@ from pyspark.sql import functions as F
 from turnwise.llm.common import arrow_rows, materialize
 
 LEAST_SHARE = 0.05
+LEAST_HELD = 0.3
 
 # What HTML says of its elements, and common names of page parts.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -232,7 +234,7 @@ def best_container(page: Page) -> int:
         if node.left_out or node.tag not in CONTAINERS:
             continue
         share = node.own / whole
-        if share < 0.3:
+        if share < LEAST_HELD:
             continue
         said = 1.0 if node.tag == "article" else 0.8 if node.tag == "main" else 0.4 if node.content and node.tag != "body" else 0.0
         value = (1.0 if share >= 0.9 else share) + said - 0.5 * node.linked / max(1, node.own)
@@ -242,8 +244,11 @@ def best_container(page: Page) -> int:
     return found
 
 
-def extract(page: Page, winners: list[str]) -> str:
-    """Blocks below the nodes at the first winning path that the page has, else below its best container."""
+def extract(page: Page, winners: list[str], refused: frozenset[str] = frozenset()) -> str:
+    """Blocks below the nodes at the first winning path that the page has, else below its best container.
+
+    Where the first path holds little of the page, another one or the best container, unless refused, takes its place.
+    """
     chosen: set[int] = set()
     if winners and page.nodes:
         steps = [w.split(">") for w in winners]
@@ -256,7 +261,14 @@ def extract(page: Page, winners: list[str]) -> str:
             for w in here:
                 if len(steps[w]) == depth + 1 and node.own:
                     at.setdefault(w, set()).add(i)
-        chosen = at[min(at)] if at else set()
+        whole = sum(len(text) for _, text in page.blocks)
+        held = {w: sum(page.nodes[i].own for i in at[w]) for w in sorted(at)}
+        if at:
+            chosen = at[min(at)]
+            if held[min(at)] < LEAST_HELD * whole:
+                best = best_container(page)
+                own = {best} if best < 0 or page.path(best) not in refused else chosen
+                chosen = next((at[w] for w in held if held[w] >= LEAST_HELD * whole and winners[w] not in refused), own)
     if not chosen:
         chosen = {best_container(page)}
     below: dict[int, bool] = {-1: -1 in chosen}
@@ -282,26 +294,46 @@ def _decoded(values: pa.Array) -> Iterator[str]:
 
 def _votes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in arrow_rows(batches):
-        paths = []
-        for text in _decoded(batch.column("body")):
+        found: Counter[tuple[str, str]] = Counter()
+        voted: Counter[tuple[str, str]] = Counter()
+        for host, text in zip(batch.column("host").to_pylist(), _decoded(batch.column("body")), strict=True):
             page = parse(text)
             at = best_container(page)
-            paths.append(page.path(at) if at >= 0 else None)
-        yield pa.RecordBatch.from_arrays([batch.column("host"), pa.array(paths, pa.string())], names=["host", "path"])
+            if at < 0:
+                continue
+            paths: list[str] = []
+            for node in page.nodes:
+                # Very deep containers are not told apart; their paths would grow with the square of the depth.
+                above = paths[node.parent] if node.parent >= 0 else ""
+                paths.append("" if len(above) > 2000 or (node.parent >= 0 and not above) else f"{above}>{node.step}" if above else node.step)
+            chosen = page.path(at)
+            seen = {p for p, node in zip(paths, page.nodes, strict=True) if p and node.own and not node.left_out and node.tag in CONTAINERS}
+            found.update((host, p) for p in seen | {chosen})
+            voted[host, chosen] += 1
+        keys = list(found)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([h for h, _ in keys], pa.string()), pa.array([p for _, p in keys], pa.string()), pa.array([voted[k] for k in keys], pa.int64()), pa.array([found[k] for k in keys], pa.int64())],
+            names=["host", "path", "votes", "pages"],
+        )
 
 
 def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in arrow_rows(batches):
-        found = [extract(parse(text), winners or []) for text, winners in zip(_decoded(batch.column("body")), batch.column("winners").to_pylist(), strict=True)]
+        told = zip(_decoded(batch.column("body")), batch.column("winners").to_pylist(), batch.column("refused").to_pylist(), strict=True)
+        found = [extract(parse(text), winners or [], frozenset(refused or ())) for text, winners, refused in told]
         yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("url"), pa.array(found, pa.string())], names=["id", "url", "text"])
 
 
 def host_paths(pages: DataFrame) -> DataFrame:
-    """(host, winners) from pages(host, body): each host's winning paths, most votes first."""
-    votes = pages.mapInArrow(_votes, "host string, path string").where("path is not null").groupBy("host", "path").agg(F.count(F.lit(1)).alias("votes"))
+    """(host, winners, refused) from pages(host, body): each host's winning paths, most votes first, and the containers' paths
+    that so many of its pages have, but of which most did not vote for them."""
+    votes = pages.mapInArrow(_votes, "host string, path string, votes long, pages long").groupBy("host", "path").agg(F.sum("votes").alias("votes"), F.sum("pages").alias("pages"))
     whole = votes.groupBy("host").agg(F.sum("votes").alias("whole"))
-    kept = votes.join(whole, "host").where(F.col("votes") >= LEAST_SHARE * F.col("whole"))
-    return kept.groupBy("host").agg(F.sort_array(F.collect_list(F.struct((-F.col("votes")).alias("order"), "path"))).alias("w")).select("host", F.col("w.path").alias("winners"))
+    least = LEAST_SHARE * F.col("whole")
+    votes = votes.join(whole, "host").where(F.col("pages") >= least).withColumn("wins", F.col("votes") >= least)
+    ordered = F.sort_array(F.collect_list(F.when(F.col("wins"), F.struct((-F.col("votes")).alias("order"), "path"))))
+    refused = F.sort_array(F.collect_list(F.when(2 * F.col("votes") < F.col("pages"), F.col("path"))))
+    return votes.groupBy("host").agg(ordered.alias("w"), refused.alias("refused")).select("host", F.col("w.path").alias("winners"), "refused")
 
 
 def main_texts(pages: DataFrame, name: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
@@ -310,5 +342,5 @@ def main_texts(pages: DataFrame, name: str, id_col: str = "page_id", url_col: st
     host = F.lower(F.coalesce(F.regexp_extract(F.col(f"`{url_col}`"), r"(?s)^.*?://([^/?#]*)", 1), F.lit("")))
     rows = pages.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{url_col}`").alias("url"), host.alias("host"), F.col(f"`{html_col}`").cast("binary").alias("body"))
     winners = materialize(host_paths(rows.select("host", "body")), f"{name}_winners")
-    joined = rows.join(winners, "host", "left").select("id", "url", "body", "winners")
+    joined = rows.join(winners, "host", "left").select("id", "url", "body", "winners", "refused")
     return joined.mapInArrow(_texts, f"id {kind}, url string, text string")
