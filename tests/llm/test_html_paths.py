@@ -83,3 +83,18 @@ def test_a_host_of_two_layouts(texts):
     # A layout of one page only, too rare to win.
     rows.append((60, "http://h.com/", f"<body><div class=content><p>{intro}</p></div><section class=rare><p>{main}</p></section></body>"))
     assert {text for _, text in texts(rows)} == {main.strip()}
+
+
+@pytest.mark.parametrize(
+    ("html", "text"),
+    [
+        ("<article><p>a <svg width=1 />b</p><p>c</article>", "a b\n\nc"), ("<article><p>a <math/>b <svg/>c<svg><text>no</text></svg>d</article>", "a b cd"),
+        ("<article><p>if <math><mi>x</mi><mo>=</mo><mn>1</mn></math> then</p></article>", "if x=1 then"),
+        ("<body><div class='fixed-header content'><p>text of the page</p></div><div class=sidebar>s</div></body>", "text of the page"),
+        ("<div class=nav-open><div class=nav>m</div><h1>T</h1><p>text</p><div class=comments><article>no comment</article></div></div>", "T\n\ntext"),
+        ("<article><h1>T</h1><p class=byline>by me</p><p>a</p><div class=related>r</div><p class=copyright>c</p><div class=share-note>s</div></article>", "T\n\nby me\n\na\n\nr\n\nc\n\ns"),
+        ("<div><p>long enough text</p><p>and <span class=ad>buy</span>more</p></div><div class=comments>comments that are far longer than the page's text</div>", "long enough text\n\nand more"),
+    ],
+)
+def test_no_text_is_lost_in_parsing(html, text):
+    assert alone(html) == text

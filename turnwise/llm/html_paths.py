@@ -11,7 +11,9 @@
 Votes are summed before they are shuffled, so a host with a third of all pages is one row for each path and task; the
 winners are a narrow table that is joined to the pages.
 
-Defined results: a null or empty page, and a page of nothing but what is left out, has the empty text; a null url, or one
+What a class or id alone names as a menu, notice and so on is left out only if it does not hold most of the page's text, or its heading.
+
+Defined results: a null or empty page, and a page of nothing but what tags and roles leave out, has the empty text; a null url, or one
 without ``://``, belongs to the host ""; repeated rows vote and are extracted each.
 """
 
@@ -34,16 +36,17 @@ LEAST_HELD = 0.3
 
 # What HTML says of its elements, and common names of page parts.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript template iframe textarea title svg math".split())
+RAW = frozenset("script style noscript template iframe textarea title svg".split())
 BLOCK = frozenset("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
 CONTAINERS = frozenset("article body div main section td".split())
 LEFT_OUT_TAGS = frozenset("aside button canvas datalist dialog embed footer form head header iframe input label menu nav noscript object option script select style svg template textarea title".split())
 LEFT_OUT_ROLES = frozenset("alert alertdialog banner complementary contentinfo dialog form menu menubar navigation search toolbar".split())
 LEFT_OUT_NAMES = frozenset(
-    "ad ads adv advert adverts advertisement advertisements alert banner breadcrumb breadcrumbs byline comment comments consent cookie cookies copyright "
-    "disclaimer discussion disqus footer gdpr header login masthead menu menus modal nav navbar navigation newsletter notice notices notification pager pagination popup promo "
-    "promos promotion recommended related replies reply respond share sharing sidebar sidebars signup skip social sponsor sponsored subscribe toolbar topbar widget widgets".split()
+    "ad ads adv advert adverts advertisement advertisements alert banner breadcrumb breadcrumbs comment comments consent cookie cookies "
+    "discussion disqus footer gdpr header login masthead menu menus modal nav navbar navigation newsletter notice notices notification pager pagination popup promo "
+    "promos promotion replies reply respond sidebar sidebars signup sponsor sponsored subscribe toolbar topbar".split()
 )
+COMMENT_NAMES = frozenset("comment comments discussion disqus replies reply respond".split())
 CONTENT_NAMES = frozenset("article body content entry main post story text".split())
 NEGATING = frozenset("has no with without".split())
 CLOSED_BY: dict[str, frozenset[str]] = {
@@ -68,6 +71,7 @@ class Node:
     parent: int
     names: tuple[str, ...] = ()
     left_out: bool = False
+    named: frozenset[str] = frozenset()  # names of LEFT_OUT_NAMES, which leave it out if the rest of the page bears them out
     content: bool = False
     in_content: bool = False
     step: str = ""
@@ -104,7 +108,7 @@ def _node(tag: str, rest: str, parent: int, nodes: list[Node]) -> Node:
                 words = _NAME.findall(_CAMEL.sub("-", name).lower())
                 named = {w for w, before in zip(words, ["", *words], strict=False) if before not in NEGATING}
                 if tag not in ("html", "body", "article", "main"):
-                    node.left_out |= bool(named & LEFT_OUT_NAMES)
+                    node.named |= named & LEFT_OUT_NAMES
                 node.content |= bool(named & CONTENT_NAMES)
                 if kind == "class":
                     classes.append(_DIGITS.sub("#", name.lower()).replace(">", "_"))
@@ -123,24 +127,17 @@ def parse(text: str) -> Page:
     """Parse leniently: end tags that are missing are implied, those without a beginning are ignored."""
     page, stack = Page(), []
     nodes, blocks = page.nodes, page.blocks
-    pieces: list[str] = []
+    pieces: list[tuple[int, str, bool]] = []  # node, text, whether in a link
+    pending: list[tuple[int, list[tuple[int, str, bool]]]] = []
     opened: Counter[str] = Counter()
-    links = 0
 
     def flush() -> None:
-        nonlocal links
         if pieces:
-            block = " ".join("".join(pieces).split())
+            at = stack[-1] if stack else -1
+            while at >= 0 and nodes[at].tag not in BLOCK:
+                at = nodes[at].parent
+            pending.append((at, pieces.copy()))
             pieces.clear()
-            if block:
-                at = stack[-1] if stack else -1
-                while at >= 0 and nodes[at].tag not in BLOCK:
-                    at = nodes[at].parent
-                blocks.append((at, block))
-                if at >= 0:
-                    nodes[at].own += len(block)
-                    nodes[at].linked += min(links, len(block))
-        links = 0
 
     def close(depth: int) -> None:
         for i in stack[depth:]:
@@ -148,12 +145,8 @@ def parse(text: str) -> Page:
         del stack[depth:]
 
     def add(raw: str) -> None:
-        nonlocal links
         if not (stack and nodes[stack[-1]].left_out):
-            decoded = entities.unescape(raw) if "&" in raw else raw
-            pieces.append(decoded)
-            if any(nodes[i].tag == "a" for i in stack[-4:]):
-                links += len(decoded)
+            pieces.append((stack[-1] if stack else -1, entities.unescape(raw) if "&" in raw else raw, any(nodes[i].tag == "a" for i in stack[-4:])))
 
     at, size = 0, len(text)
     while at < size:
@@ -181,7 +174,7 @@ def parse(text: str) -> Page:
                     break
             continue
         if tag == "br":
-            pieces.append(" ")
+            pieces.append((-1, " ", False))
             continue
         if tag in BLOCK:
             flush()
@@ -198,6 +191,8 @@ def parse(text: str) -> Page:
         if tag in VOID:
             continue
         rest = found["rest"] or found["rest2"] or ""
+        if tag in ("svg", "math") and rest.endswith("/"):
+            continue
         if tag in RAW:
             end = re.compile(rf"</{re.escape(tag)}\b[^>]*>?", re.IGNORECASE).search(text, at)
             at = end.end() if end else size
@@ -210,6 +205,15 @@ def parse(text: str) -> Page:
         nodes.append(_node(tag, rest, stack[-1] if stack else -1, nodes))
         stack.append(len(nodes) - 1)
     flush()
+    _leave_out(nodes, pending)
+    for at, found in pending:
+        kept = [x for x in found if x[0] < 0 or not nodes[x[0]].left_out]
+        block = " ".join("".join(x[1] for x in kept).split())
+        if block:
+            blocks.append((at, block))
+            if at >= 0:
+                nodes[at].own += len(block)
+                nodes[at].linked += min(sum(len(x[1]) for x in kept if x[2]), len(block))
     for node in reversed(nodes):
         if node.parent >= 0:
             nodes[node.parent].own += node.own
@@ -217,6 +221,36 @@ def parse(text: str) -> Page:
     return page
 
 
+def _leave_out(nodes: list[Node], pending: list[tuple[int, list[tuple[int, str, bool]]]]) -> None:
+    """Leave out nodes by their names, but for those that hold most of the page's text, an article, or its heading.
+
+    Comments may hold most of a page, and articles, and are left out nevertheless.
+    """
+    if not any(n.named for n in nodes):
+        return
+    held, whole = [0] * len(nodes), 0
+    for _, found in pending:
+        for at, text, _ in found:
+            whole += len(text.strip())
+            if at >= 0:
+                held[at] += len(text.strip())
+    heads, articles = [False] * len(nodes), [False] * len(nodes)
+    for i in range(len(nodes) - 1, -1, -1):
+        node = nodes[i]
+        if node.left_out:
+            continue
+        heads[i] |= node.tag in ("h1", "main")
+        articles[i] |= node.tag == "article"
+        if node.parent >= 0:
+            held[node.parent] += held[i]
+            heads[node.parent] |= heads[i]
+            articles[node.parent] |= articles[i]
+    for i, node in enumerate(nodes):
+        saved = heads[i] or (not node.named & COMMENT_NAMES and (articles[i] or 2 * held[i] > whole))
+        node.left_out |= bool(node.named) and not saved
+        node.left_out |= node.parent >= 0 and nodes[node.parent].left_out
+
+
 def best_container(page: Page) -> int:
     """The node that most likely holds the main text; -1 for the whole page.
 
