@@ -107,3 +107,22 @@ def test_odd_rows(spark, documents):
     assert len(got) == len(odd) and sum(s >= 0.5 for s in got) == 1
     assert X.score(documents([]), model).count() == 0
     assert X.without_toxic(documents(odd), model).count() == len(odd) - 1
+
+
+def test_misspelt_inflections_of_a_learnt_beginning(spark, documents):
+    rng = random.Random(9)
+    plain = ["".join(rng.choice("aeiou") + rng.choice("bcdfgklmnp") for _ in range(3)) for _ in range(200)]
+    rows, labels = [], []
+    for i in range(1200):
+        words, toxic = [rng.choice(plain) for _ in range(30)], i % 3 == 0
+        wrong = toxic and i % 9 == 0
+        if toxic:
+            words[7] = ("derckig" if wrong else "dreckig") + rng.choice(["e", "er", "es", "em", "en", ""])
+        rows.append((i, " ".join(words)))
+        labels.append((i, 1, int(toxic)))
+    docs = documents(rows)
+    model = X.fit(docs, spark.createDataFrame(labels, "doc_id long, quality int, toxic int"))
+    assert any(not e.endswith("$") and "dreckige".startswith(e) for e in model.entries)
+    assert X.Lexicon({e: v for e, v in model.entries.items() if e.startswith("dreck")}).find("derckige")[1] == 1
+    got = {r.id: r.score for r in X.score(docs, model).collect()}
+    assert all((got[i] >= 0.5) == (i % 3 == 0) for i, _ in rows)

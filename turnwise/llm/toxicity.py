@@ -116,7 +116,8 @@ def _learn(counts: DataFrame, toxic: int, clean: int) -> dict[str, float]:
     # The longest beginning that has about the same documents says as much, and of fewer words.
     longer = sorted((e for e in rows if not e.endswith("$")), key=len, reverse=True)
     stems = [next(e for e in longer if e.startswith(s) and rows[e][0] >= 0.95 * rows[s][0]) for s in stems]
-    kept = [e for e in whole if not any(e.startswith(s) for s in stems)] + stems
+    # Whole words stay beside the beginnings that cover them, since only whole words are found with edits.
+    kept = [*whole, *stems]
     return {e: math.log((rows[e][0] + 0.5) / (rows[e][1] + 0.5) * (clean + 1) / (toxic + 1)) for e in kept}
 
 
