@@ -1,4 +1,4 @@
-from conftest import Log, tool, use
+from tests.transcript_log import Log, tool, use
 from pyspark.sql import functions as F
 
 from turnwise.operators import records as R

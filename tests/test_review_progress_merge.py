@@ -1,6 +1,6 @@
 from datetime import datetime
 
-from conftest import Log, tool
+from tests.transcript_log import Log, tool
 from pyspark.sql import functions as F
 
 from turnwise import fixed

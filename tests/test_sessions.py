@@ -2,7 +2,7 @@
 all transcripts are assembled in one run, as one table."""
 
 import pytest
-from conftest import Log, tool, use
+from tests.transcript_log import Log, tool, use
 from pyspark.sql import functions as F
 
 from turnwise.operators import sessions as S

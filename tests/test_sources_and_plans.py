@@ -1,7 +1,7 @@
 import json
 from datetime import datetime, timedelta
 
-from conftest import Log, tool, use
+from tests.transcript_log import Log, tool, use
 from pyspark.sql import functions as F
 
 from turnwise.plans import findings, metrics, progress, reviewing

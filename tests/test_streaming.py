@@ -1,7 +1,7 @@
 import json
 import os
 
-from conftest import Log, tool, use
+from tests.transcript_log import Log, tool, use
 from pyspark.sql import functions as F
 
 from turnwise.operators.records import read_records
