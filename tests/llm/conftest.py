@@ -1,19 +1,12 @@
-"""Small tables and brute-force versions for the corpus operators."""
+"""Fixtures of the corpus operators' tests."""
 
 from __future__ import annotations
 
 import pytest
-from pyspark.sql import types as T
 
+from tests.llm.tables import DOCUMENTS
 from turnwise.llm.common import prepare
 
-#: documents with extra columns whose names clash with the operators' own.
-DOCUMENTS = T.StructType([
-    T.StructField("doc_id", T.LongType()), T.StructField("text", T.StringType()), T.StructField("lang", T.StringType()),
-    T.StructField("source", T.StringType()), T.StructField("n_chars", T.LongType()), T.StructField("key", T.StringType()), T.StructField("id", T.StringType()),
-    T.StructField("hash", T.IntegerType()), T.StructField("score", T.DoubleType()),
-])
-
 
 @pytest.fixture
 def documents(spark):
@@ -29,7 +22,3 @@ def documents(spark):
         return spark.createDataFrame(full, DOCUMENTS).repartition(parts)
 
     return make
-
-
-#: Texts that every operator must get through: null, empty, blank, one word, symbols, very long, one endless word, controls.
-ODD_TEXTS = [None, "", " \t\n\x0b\x0c\r ", "word", "### $$$ %%% |||", "long text here " * 20_000, "x" * 200_000, "a\x00b     c", "café \U0001f389 漢字", "same text", "same text"]

@@ -3,7 +3,7 @@ from __future__ import annotations
 import random
 import re
 
-from tests.llm.conftest import ODD_TEXTS
+from tests.llm.tables import ODD_TEXTS
 from turnwise.llm import decontaminate as D
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")

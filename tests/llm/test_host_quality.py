@@ -6,7 +6,7 @@ from collections import Counter
 
 import pytest
 
-from tests.llm.conftest import ODD_TEXTS
+from tests.llm.tables import ODD_TEXTS
 from turnwise.llm import host_quality as Q
 
 SPACE = " \t\n\x0b\x0c\r"

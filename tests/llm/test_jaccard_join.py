@@ -5,7 +5,7 @@ from collections import Counter
 
 import pytest
 
-from tests.llm.conftest import ODD_TEXTS
+from tests.llm.tables import ODD_TEXTS
 from turnwise.llm import jaccard_join as J
 from turnwise.llm.common import components, words_of
 

@@ -4,7 +4,7 @@ import hashlib
 
 import pytest
 
-from tests.llm.conftest import ODD_TEXTS
+from tests.llm.tables import ODD_TEXTS
 from turnwise.llm import mixing as M
 from turnwise.llm import stages
 

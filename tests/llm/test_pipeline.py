@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from tests.llm.conftest import ODD_TEXTS
+from tests.llm.tables import ODD_TEXTS
 from tests.llm.test_decontaminate import brute as brute_hits
 from tests.llm.test_jaccard_join import brute as brute_classes
 from turnwise.llm import mixing, registry, stages, token_records, toxicity

@@ -5,7 +5,7 @@ import zlib
 
 import pytest
 
-from tests.llm.conftest import ODD_TEXTS
+from tests.llm.tables import ODD_TEXTS
 from turnwise.llm import secret_scan as S
 
 

@@ -4,7 +4,7 @@ import random
 
 from tokenizers import Tokenizer, models, normalizers
 
-from tests.llm.conftest import ODD_TEXTS
+from tests.llm.tables import ODD_TEXTS
 from turnwise.llm import token_counts as C
 
 

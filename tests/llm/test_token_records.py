@@ -8,7 +8,7 @@ import pyarrow.fs
 import pytest
 from tokenizers import Tokenizer
 
-from tests.llm.conftest import ODD_TEXTS
+from tests.llm.tables import ODD_TEXTS
 from turnwise.llm import token_records as R
 
 
