@@ -311,14 +311,22 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, num: int = 4, den: int = 5, name: str = "one_of_each") -> DataFrame:
     """The rows of ``docs`` with one row of each component, that with the smallest id; texts without words all stay."""
     found = jaccard_classes(docs, id_col, text_col, width, num, den, name)
-    kept = found.where("n_shingles > 0").groupBy("component_id").agg(F.min(F.struct("id", "key")).alias("low"))
-    kept = materialize(kept.select("low.*"), f"{name}_kept")
-    names = docs.columns
-    keyed = docs.withColumn("__body", F.col(text_col).cast("binary"))
-    marked = keyed.withColumn("__key", _set_key(width)(F.col("__body"))).drop("__body")
-    stay = marked.join(kept, marked["__key"].eqNullSafe(kept["key"]) & marked[id_col].eqNullSafe(kept["id"]), "left_semi")
-    stay = stay.dropDuplicates(["__key", id_col])
-    return stay.unionByName(marked.where(F.col("__key").isNull())).select(*(F.col(f"`{c}`") for c in names))
+    low = found.where("n_shingles > 0").groupBy("component_id").agg(F.min(F.struct("id", "key")).alias("low")).select("low.*")
+    kept = materialize(low, f"{name}_kept").withColumn("__kept", F.lit(True))
+    # By id: its rows, and whether they stay.  An id of one row needs no text to be looked at again.
+    stays = F.coalesce("__kept", F.lit(False)) | (F.col("n_shingles") == 0)
+    marked = found.join(kept, found["key"].eqNullSafe(kept["key"]) & found["id"].eqNullSafe(kept["id"]), "left").select(found["id"], stays.alias("stays"))
+    by_id = materialize(marked.groupBy("id").agg(F.count(F.lit(1)).alias("rows"), F.max("stays").alias("stays")).where("stays"), f"{name}_ids")
+    there = lambda ids: docs.join(ids, docs[id_col].eqNullSafe(ids["__id"]), "left_semi")
+    plain = there(by_id.where("rows = 1").select(F.col("id").alias("__id")))
+    repeated = by_id.where("rows > 1").select(F.col("id").alias("__id"))
+    if repeated.isEmpty():
+        return plain
+    keyed = there(repeated).withColumn("__body", F.col(f"`{text_col}`").cast("binary"))
+    keyed = keyed.withColumn("__key", _set_key(width)(F.col("__body"))).drop("__body")
+    stay = keyed.join(kept, keyed["__key"].eqNullSafe(kept["key"]) & keyed[id_col].eqNullSafe(kept["id"]), "left_semi")
+    stay = stay.dropDuplicates(["__key", id_col]).unionByName(keyed.where(F.col("__key").isNull()))
+    return plain.unionByName(stay.select(*(F.col(f"`{c}`") for c in docs.columns)))
 
 
 def _set_key(width: int):

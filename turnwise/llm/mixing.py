@@ -22,6 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from turnwise.llm.common import SPACES, materialize, md5_unit
+from turnwise.operators.ordering import Ordering, running_sum, scan, total, value_segments
 
 DIMENSIONS = ("source", "lang", "topic")
 ROUNDS = 8
@@ -61,33 +62,39 @@ def rake(cells: DataFrame, targets: dict[str, DataFrame], name: str, rounds: int
     above its own tokens.
     """
     whole = (cells.agg(F.sum("tokens")).first()[0] or 0) * (1.0 if kept is None else kept)
+    # The shares go to the cells once; a step is then one aggregate by value and one look-up of it.
     now = cells.withColumn("raked", F.col("tokens").cast("double"))
+    for dimension, target in targets.items():
+        goal = target.select(F.col("value").alias(dimension), (F.col("share") * float(whole)).alias(f"__{dimension}"))
+        now = now.join(goal, dimension, "left")
+    now = materialize(now, f"{name}_goals")
     for step in range(rounds):
-        for dimension, target in targets.items():
-            held = now.groupBy(F.col(dimension).alias("value")).agg(F.sum("raked").alias("held"))
-            scale = held.join(target, "value").select("value", (F.col("share") * float(whole) / F.col("held")).alias("scale")).where("held > 0")
-            now = now.join(scale, now[dimension] == scale["value"], "left").drop("value")
-            raked = F.col("raked") * F.coalesce("scale", F.lit(0.0))
-            now = now.withColumn("raked", raked if kept is None else F.least(raked, F.col("tokens").cast("double"))).drop("scale")
+        for dimension in targets:
+            held = now.groupBy(dimension).agg(F.sum("raked").alias("__held"))
+            scale = F.when(F.col("__held") > 0, F.col(f"__{dimension}") / F.col("__held"))
+            raked = F.col("raked") * F.coalesce(scale, F.lit(0.0))
+            now = now.join(held, dimension, "left").withColumn("raked", raked if kept is None else F.least(raked, F.col("tokens").cast("double"))).drop("__held")
         now = materialize(now, f"{name}_round{step}")
-    return now
+    return now.select(*cells.columns, "raked")
 
 
 def solved(raked: DataFrame, kept: float) -> float:
     """The ``c`` for which min(tokens, c * raked) sums to the share ``kept`` of all tokens, or holds every cell it can at one.
 
-    ``c`` only grows from step to step, and each step holds more cells at one, so the steps end.
+    A cell is held at one from ``c = tokens / raked`` on.  Running sums in the order of that number say what each such ``c`` keeps; between
+    two of them what is kept grows in proportion.  Cells are cut at quantiles of the number, so no task holds all of them.
     """
-    c, held = 0.0, -1
-    while True:
-        full = (F.lit(c) * F.col("raked") >= F.col("tokens")) & (F.col("raked") > 0)
-        found = raked.where("tokens > 0").agg(
-            F.sum("tokens").alias("whole"), F.sum(F.when(full, 1).otherwise(0)).alias("n"),
-            F.sum(F.when(full, F.col("tokens")).otherwise(0)).alias("full"), F.sum(F.when(full, 0.0).otherwise(F.col("raked"))).alias("free"),
-        ).first()
-        if not found.whole or not found.free or found.n == held:
-            return c
-        c, held = max(c, (kept * found.whole - found.full) / found.free), found.n
+    able = raked.where("tokens > 0 and raked > 0").select((F.col("tokens") / F.col("raked")).alias("at"), F.col("tokens").cast("double").alias("tokens"), "raked")
+    steps = able.groupBy("at").agg(F.sum("tokens").alias("tokens"), F.sum("raked").alias("raked")).withColumn("all", F.lit(1))
+    order = Ordering(("all",), ("at",), "__cut")
+    placed = scan(value_segments(steps, "at", 64), order, full=running_sum(F.col("tokens")), part=running_sum(F.col("raked")), free=total(F.sum, F.col("raked")))
+    goal = kept * float(raked.agg(F.sum("tokens")).first()[0] or 0)
+    reached = F.col("full") + F.col("at") * (F.col("free") - F.col("part")) >= goal
+    before = F.struct((F.col("full") - F.col("tokens")).alias("full"), (F.col("free") - F.col("part") + F.col("raked")).alias("free"))
+    found = placed.agg(F.min_by(F.when(reached, before), F.when(reached, F.col("at"))).alias("first"), F.max("at").alias("last")).first()
+    if found.first is None:
+        return found.last or 0.0
+    return (goal - found.first.full) / found.first.free
 
 
 def probabilities(docs: DataFrame, name: str, id_col: str = "doc_id", text_col: str = "text", targets: dict[str, DataFrame] | None = None, topic_col: str | None = None, power: float = TEMPER, least_kept: float = 0.0) -> tuple[DataFrame, DataFrame]:
