@@ -24,26 +24,27 @@ def contains_any(text: Column, needles: Sequence[str]) -> Column:
     return hit
 
 
-def prefilter_lines(lines: DataFrame, markers: Sequence[str] = fixed.LINE_MARKERS) -> DataFrame:
+def prefilter_lines(lines: DataFrame, markers: Sequence[str] = fixed.LINE_MARKERS, unread: bool = False) -> DataFrame:
     """Keep lines that can matter, before any JSON is parsed.
 
     Both ``"key":"value"`` and ``"key": "value"`` spellings count.  A line left
-    out here does not touch timestamps or metadata either.
+    out here does not touch timestamps or metadata either.  With ``unread``,
+    rows without a value stay: they say what was read, not what was in it.
     """
     spellings = dict.fromkeys(s for m in markers for s in (m, m.replace('":"', '": "')))
-    return lines.filter(contains_any(F.col("value"), list(spellings)))
+    matters = contains_any(F.col("value"), list(spellings))
+    return lines.filter(matters | F.col("value").isNull() if unread else matters)
 
 
-def parse_lines(lines: DataFrame) -> DataFrame:
+def parse_lines(lines: DataFrame, unread: bool = False) -> DataFrame:
     """Parse each line once, against the fixed record schema.
 
     Fields of an unexpected type become null; an unreadable or half-written
     line has no fields at all and is dropped.
     """
     parsed = lines.withColumn("j", F.from_json("value", schemas.RECORD))
-    return parsed.filter(
-        F.coalesce("j.type", "j.sessionId", "j.timestamp", "j.cwd", "j.gitBranch", "j.entrypoint", "j.permissionMode").isNotNull()
-    )
+    read = F.coalesce("j.type", "j.sessionId", "j.timestamp", "j.cwd", "j.gitBranch", "j.entrypoint", "j.permissionMode").isNotNull()
+    return parsed.filter(read | F.col("value").isNull() if unread else read)
 
 
 def count_bad_lines(lines: DataFrame) -> DataFrame:
@@ -201,8 +202,8 @@ def tool_family(name: Column) -> Column:
     )
 
 
-def to_records(parsed: DataFrame) -> DataFrame:
-    """Typed records from parsed lines.  Strings stay null when absent or empty."""
+def to_records(parsed: DataFrame, carry: Sequence[str] = ()) -> DataFrame:
+    """Typed records from parsed lines, with the columns ``carry``.  Strings stay null when absent or empty."""
 
     def text(path: str) -> Column:
         return F.nullif(F.col(f"j.{path}"), F.lit(""))
@@ -214,6 +215,7 @@ def to_records(parsed: DataFrame) -> DataFrame:
     step = parsed.select(
         "path",
         "line_no",
+        *carry,
         F.col("j.type").alias("rtype"),
         F.col("j.subtype").alias("subtype"),
         text("sessionId").alias("sid"),
@@ -274,9 +276,9 @@ def to_records(parsed: DataFrame) -> DataFrame:
     )
 
 
-def read_records(lines: DataFrame, markers: Sequence[str] = fixed.LINE_MARKERS) -> DataFrame:
+def read_records(lines: DataFrame, markers: Sequence[str] = fixed.LINE_MARKERS, carry: Sequence[str] = (), unread: bool = False) -> DataFrame:
     """Lines ``(path, line_no, value)`` to records: filter, parse, type."""
-    return to_records(parse_lines(prefilter_lines(lines, markers)))
+    return to_records(parse_lines(prefilter_lines(lines, markers, unread), unread), carry)
 
 
 def explode_blocks(records: DataFrame, *carry: str) -> DataFrame:

@@ -22,7 +22,7 @@ NOTHING = -(1 << 62)
 BLOCKS = Ordering(("path",), ("line_no", "pos"), f"floor(line_no / {SEGMENT_ROWS})")
 
 
-def _tool_count(names: Sequence[str] | None = None) -> Column:
+def tool_count(names: Sequence[str] | None = None) -> Column:
     def hit(b: Column) -> Column:
         use = b["btype"] == "tool_use"
         return use if names is None else use & b["tool_name"].isin(*names)
@@ -47,12 +47,12 @@ def turn_state(records: DataFrame) -> DataFrame:
         F.when(is_assistant, F.col("usage")).alias("usage"),
         F.when(is_assistant, F.col("effort")).alias("effort"),
         head_hit.alias("reads_as_correction"),
-        F.when(is_assistant, _tool_count()).otherwise(0).alias("n_tools"),
-        F.when(is_assistant, _tool_count([fixed.ASK_TOOL])).otherwise(0).alias("n_ask"),
-        F.when(is_assistant, _tool_count(fixed.EDIT_TOOLS)).otherwise(0).alias("n_edit"),
+        F.when(is_assistant, tool_count()).otherwise(0).alias("n_tools"),
+        F.when(is_assistant, tool_count([fixed.ASK_TOOL])).otherwise(0).alias("n_ask"),
+        F.when(is_assistant, tool_count(fixed.EDIT_TOOLS)).otherwise(0).alias("n_edit"),
         (
             (F.col("permission_mode").eqNullSafe("plan"))
-            | F.when(is_assistant, _tool_count(fixed.PLAN_TOOLS) > 0).otherwise(False)
+            | F.when(is_assistant, tool_count(fixed.PLAN_TOOLS) > 0).otherwise(False)
         ).alias("plans"),
     )
     # Plain numbers keep the segments' summaries in hash aggregates; a null among them is NOTHING.
@@ -380,7 +380,7 @@ def build_subagents(records: DataFrame) -> DataFrame:
 
 def subagent_totals(files: DataFrame, records: DataFrame) -> DataFrame:
     """Tool calls per delegated transcript; files ``(path, parent_sid, agent_type)`` all stay."""
-    tools = records.filter("rtype = 'assistant'").groupBy("path").agg(F.sum(_tool_count()).alias("tool_calls"))
+    tools = records.filter("rtype = 'assistant'").groupBy("path").agg(F.sum(tool_count()).alias("tool_calls"))
     return files.join(tools, "path", "left").withColumns(
         {"tool_calls": F.coalesce("tool_calls", F.lit(0)), "agent_type": F.coalesce(F.nullif("agent_type", F.lit("")), F.lit("unknown"))}
     ).join(model_map(build_subagents(records), ["path"]), "path", "left")
