@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
 from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,11 +11,16 @@ from pyspark.sql import functions as F
 from turnwise.functions import redact
 from turnwise.operators import merge, rules
 from turnwise.session import materialize
-from turnwise.sources import tables
+from turnwise.sources import snapshots
 
 
 def merged_feeds(spark: SparkSession, root: str) -> merge.Merged:
-    return merge.merge_feeds(*(tables.read_feeds(spark, root, t) for t in ("sessions", "lifetime", "meta")))
+    """The feeds of all machines, each as of its newest snapshot; one with a file that is gone or does not open is left out whole."""
+    there = snapshots.owners(spark, root)
+    whole = [s for s in there if snapshots.intact(spark, s)]
+    merged = merge.merge_feeds(*(snapshots.read(spark, whole, t) for t in ("sessions", "lifetime", "meta")))
+    damaged = [(s.owner, None, None) for s in there if s not in whole]
+    return replace(merged, skipped=merged.skipped.unionByName(spark.createDataFrame(damaged, merged.skipped.schema)))
 
 
 def redact_feed(sessions: DataFrame) -> DataFrame:

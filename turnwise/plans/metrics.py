@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from turnwise import __version__, fixed
 from turnwise.operators import records as R, sessions as S
 from turnwise.session import materialize
-from turnwise.sources import sinks, transcripts
+from turnwise.sources import snapshots, transcripts
 
 
 @dataclass(frozen=True)
@@ -19,6 +19,8 @@ class Feed:
     sessions: DataFrame
     lifetime: DataFrame
     meta: DataFrame
+    machine: str
+    now: datetime
 
 
 def bronze(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame]:
@@ -53,8 +55,9 @@ def build_feed(
         F.lit(now.isoformat()).alias("generated_utc"), F.lit(window_days).cast("int").alias("window_days"), F.lit(excerpts).alias("excerpts_published"),
         judged.alias("judged"), "judge_tokens", stamped.agg(F.count("*")).scalar().alias("lifetime_sessions"),
     )
-    return Feed(S.recent(stamped, now_col, window_days), lifetime, meta)
+    return Feed(S.recent(stamped, now_col, window_days), lifetime, meta, machine, now)
 
 
-def publish(feed: Feed, out: str) -> None:
-    sinks.write_metrics_feed(feed.sessions, feed.lifetime, feed.meta, out)
+def publish(feed: Feed, out: str, batch: str | None = None) -> snapshots.Snapshot:
+    """The machine's three tables as one snapshot, if they changed or the heartbeat is due."""
+    return snapshots.publish({"sessions": feed.sessions, "lifetime": feed.lifetime, "meta": feed.meta}, out, feed.machine, feed.now, batch)

@@ -31,7 +31,7 @@ def read_lines(spark: SparkSession, *globs: str) -> DataFrame:
     raw = None
     for glob in globs:
         folder, _, pattern = glob.rpartition("/")
-        frame = _if_there(lambda: spark.read.option("ignoreMissingFiles", "true").option("pathGlobFilter", pattern).text(folder))
+        frame = if_there(lambda: spark.read.option("ignoreMissingFiles", "true").option("pathGlobFilter", pattern).text(folder))
         if frame is None:
             continue
         # Blank lines go before positions are given, so that a split's positions have no gaps.
@@ -44,7 +44,7 @@ def read_lines(spark: SparkSession, *globs: str) -> DataFrame:
     return with_line_no(raw)
 
 
-def _if_there(read) -> DataFrame | None:
+def if_there(read) -> DataFrame | None:
     """What ``read`` gives, or None if its path does not exist."""
     try:
         return read()
@@ -70,7 +70,7 @@ def attach_agent_type(spark: SparkSession, files: DataFrame, root: str) -> DataF
     reader = spark.read.schema("agentType STRING").option("multiLine", "true")
     meta = None
     for glob in SUBAGENT_GLOBS:
-        found = _if_there(lambda g=glob: reader.json(f"{root}/{g.replace('.jsonl', '.meta.json')}"))
+        found = if_there(lambda g=glob: reader.json(f"{root}/{g.replace('.jsonl', '.meta.json')}"))
         if found is not None:
             one = found.select(
                 F.regexp_replace(F.col("_metadata.file_path"), "\\.meta\\.json$", ".jsonl").alias("path"), F.col("agentType").alias("agent_type")

@@ -31,6 +31,7 @@ from pathlib import PurePosixPath
 import pyarrow as pa
 import pyarrow.fs
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceStreamReader, InputPartition
 
 FORMAT = "line_tail"
@@ -248,6 +249,46 @@ class TailSource(DataSource):
         return TailReader(dict(self.options))
 
 
+def read_paths(paths: DataFrame, root: str, block: int = BLOCK_BYTES) -> DataFrame:
+    """All lines ``(path, line_no, value)``, numbered as the stream numbers them, of files below ``root`` that a column ``path`` names.
+
+    Long files are read by many tasks; a file that is gone has no lines.
+    """
+
+    def sized(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, _, prefix = _open(root)
+        for batch in batches:
+            named = batch.column("path").to_pylist()
+            sizes = [f.size or 0 for f in store.get_file_info([p.removeprefix(prefix) for p in named])] if named else []
+            yield pa.RecordBatch.from_arrays([batch.column("path"), pa.array(sizes, pa.int64())], names=["path", "size"])
+
+    def lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, _, prefix = _open(root)
+        for batch in batches:
+            for path, low, high in zip(*(batch.column(c).to_pylist() for c in ("path", "low", "high")), strict=True):
+                rows, size = [], 0
+                with io.BufferedReader(store.open_input_file(path.removeprefix(prefix)), 1 << 20) as file:
+                    for at, line in lines_between(file, low, high, low == 0):
+                        value = line.rstrip(b"\r\n")
+                        if value:
+                            rows.append((path, at, value.decode("utf-8", "replace")))
+                            size += len(value)
+                        if size >= BATCH_BYTES:
+                            yield _lines(rows)
+                            rows, size = [], 0
+                if rows:
+                    yield _lines(rows)
+
+    blocks = paths.select("path").distinct().mapInArrow(sized, "path STRING, size BIGINT").where("size > 0")
+    blocks = blocks.select("path", "size", F.explode(F.expr(f"sequence(0L, size - 1, {block}L)")).alias("low"))
+    blocks = blocks.select("path", "low", F.least(F.col("low") + block, F.col("size")).alias("high"))
+    return blocks.repartition("path", "low").mapInArrow(lines, "path STRING, line_no BIGINT, value STRING")
+
+
+def _lines(rows: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), (pa.string(), pa.int64(), pa.string()), strict=True)], names=["path", "line_no", "value"])
+
+
 def register(spark: SparkSession) -> None:
     spark.dataSource.register(TailSource)
 
