@@ -14,12 +14,11 @@ from turnwise.llm import token_records as R
 
 def ids_of(text):
     tokenizer = Tokenizer.from_file(R.TOKENIZER)
-    tokenizer.encode_special_tokens = True
     return [*tokenizer.encode(text or "", add_special_tokens=False).ids, R.END_ID]
 
 
 def test_encoder_equals_the_library():
-    texts = [t or "" for t in ODD_TEXTS] + ["it's  we'll\n\n\tx  ", "<|endoftext|> a", "123 45,6 'tis ''s 's", "  ", "a b　c ́x"]
+    texts = [t or "" for t in ODD_TEXTS] + ["it's  we'll\n\n\tx  ", "<|endoftext|> a", "x <|endoftext|> y", "a<|endoftext|>b c", "<|endoftext|>", "<| endoftext |>", "123 45,6 'tis ''s 's", "  ", "a b　c ́x"]
     got = [np.frombuffer(b, "<u2").tolist() for b in R.Encoder(R.TOKENIZER, most=3).encode(texts)]
     assert got == [ids_of(t)[:-1] for t in texts]
 

@@ -94,18 +94,17 @@ class _Table(dict):
 
 
 class Encoder:
-    """Texts to packed token ids by a tokenizer file of the ``tokenizers`` library, special strings being ordinary text.
+    """Texts to packed token ids by a tokenizer file of the ``tokenizers`` library, as the library gives them, special strings included.
 
     A byte-level tokenizer encodes the pieces into which its pattern splits a text one by one.  Where every space stands
     alone, each begins a piece, so the text may be cut before every space, and units seen before are taken from a
-    table, which is emptied when it has grown large.  New units are encoded as one running text.  Other texts, and those of other tokenizers,
-    are encoded whole.
+    table, which is emptied when it has grown large.  New units are encoded as one running text.  Other texts, those that hold a string the
+    tokenizer knows as a token of its own, and those of other tokenizers are encoded whole.
     """
 
     def __init__(self, path: str, most: int = UNITS):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         self.width = "<u2" if self.tokenizer.get_vocab_size() < 2**16 else "<u4"
         with open(path, encoding="utf-8") as f:
             config = json.load(f)
@@ -113,6 +112,7 @@ class Encoder:
         plain = not config.get("normalizer") and not config.get("truncation") and not config.get("padding")
         self.by_units = plain and before.get("type") == "ByteLevel" and before.get("use_regex") and not before.get("add_prefix_space")
         self.known, self.most = _Table(), most
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         vocabulary = self.tokenizer.get_vocab()
         self.after_space = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
         self.after_space[[i for token, i in vocabulary.items() if token.startswith("\u0120")]] = True
@@ -151,7 +151,7 @@ class Encoder:
         known = self.known
         if len(known) > self.most:
             known.clear()
-        units = [t.split(" ") if self.by_units else [""] for t in texts]
+        units = [t.split(" ") if self.by_units and not any(a in t for a in self.added) else [""] for t in texts]
         firsts = self._packed([u[0] for u in units])
         found = [list(map(known.__getitem__, u[1:])) for u in units]
         missed = known.missed
