@@ -42,9 +42,21 @@ def parse_lines(lines: DataFrame, unread: bool = False) -> DataFrame:
     Fields of an unexpected type become null; an unreadable or half-written
     line has no fields at all and is dropped.
     """
-    parsed = lines.withColumn("j", F.from_json("value", schemas.RECORD))
-    read = F.coalesce("j.type", "j.sessionId", "j.timestamp", "j.cwd", "j.gitBranch", "j.entrypoint", "j.permissionMode").isNotNull()
-    return parsed.filter(read | F.col("value").isNull() if unread else read)
+    return keep_readable(with_fields(lines), unread)
+
+
+def with_fields(lines: DataFrame) -> DataFrame:
+    """Each line with the fields found in it as ``j``."""
+    return lines.withColumn("j", F.from_json("value", schemas.RECORD))
+
+
+def readable() -> Column:
+    """Whether a line had any field of a record."""
+    return F.coalesce("j.type", "j.sessionId", "j.timestamp", "j.cwd", "j.gitBranch", "j.entrypoint", "j.permissionMode").isNotNull()
+
+
+def keep_readable(parsed: DataFrame, unread: bool = False) -> DataFrame:
+    return parsed.filter(readable() | F.col("value").isNull() if unread else readable())
 
 
 def count_bad_lines(lines: DataFrame) -> DataFrame:
