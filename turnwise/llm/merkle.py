@@ -152,7 +152,9 @@ class Manifest:
 
 def manifest(leaves: DataFrame, name: str, arity: int = ARITY) -> Manifest:
     """Trees over ``leaves`` (tree, id, digest, and columns to keep)."""
-    rows = ranked(leaves.withColumn("__row", F.monotonically_increasing_id()), ["id", "digest", "__row"], name).drop("__row")
+    # Written before they are ranked: dealing rows out by range looks at them twice, and texts are to be hashed once.
+    leaves = materialize(leaves.withColumn("__row", F.monotonically_increasing_id()), f"{name}_hashed")
+    rows = ranked(leaves, ["id", "digest", "__row"], name).drop("__row")
     sources = levels(rows, name, arity)
     subroots = roots(sources, arity).select(F.lit("").alias("tree"), F.col("tree").alias("source_tree"), "digest")
     return Manifest(sources, levels(ranked(subroots, ["source_tree"], f"{name}_top"), f"{name}_top", arity), arity)
