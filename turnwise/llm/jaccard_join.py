@@ -256,8 +256,13 @@ def _differences(members: DataFrame, num: int, den: int, name: str) -> tuple[Dat
     most = F.floor(F.col("n") * (den - num) / num).cast("int") + 1
     entries = found.withColumn("shared", F.size("found")).withColumn("left", most - alone).where("left > 0")
     entries = entries.select("space", "rid", "n", "far", (F.col("lone") + F.col("length")).alias("length"), "shared", F.posexplode(F.slice("found", 1, F.col("left"))).alias("at", "e")).where("e.any_far")
-    entries = materialize(entries.select("space", F.col("e.token").alias("token"), "rid", "n", "far", "length", (F.col("shared") - F.col("at")).alias("rest")), f"{name}_entries")
-    small, large = _buckets(entries, ["space", "token"], "length", PAIRED_DIFFERENCES, name)
+    entries = entries.select("space", F.col("e.token").alias("token"), F.col("e.df").alias("df"), "rid", "n", "far", "length", (F.col("shared") - F.col("at")).alias("rest"))
+    entries = materialize(entries, f"{name}_entries")
+    # A bucket is no larger than its token is frequent, so only those of very frequent tokens need to be counted.
+    rows = ["space", "token", "rid", "n", "far", "length", "rest"]
+    small = entries.where(F.col("df") <= PAIRED_DIFFERENCES).select(*rows)
+    fewer, large = _buckets(entries.where(F.col("df") > PAIRED_DIFFERENCES).select(*rows), ["space", "token"], "length", PAIRED_DIFFERENCES, name)
+    small = small.unionByName(fewer.select(*rows))
     # Where two differences first meet in the order of tokens, they have no more in common than either has left from there;
     # further meetings of a pair that can link are not needed.
     least = F.col("x.length") + F.col("y.length") - 2 * F.least("x.rest", "y.rest")
@@ -313,16 +318,17 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     found = jaccard_classes(docs, id_col, text_col, width, num, den, name)
     low = found.where("n_shingles > 0").groupBy("component_id").agg(F.min(F.struct("id", "key")).alias("low")).select("low.*")
     kept = materialize(low, f"{name}_kept").withColumn("__kept", F.lit(True))
-    # By id: its rows, and whether they stay.  An id of one row needs no text to be looked at again.
+    # By id: its rows, and whether they stay.  An id of one row needs no text to be looked at again.  Fewer rows go than stay, so
+    # the ids of those that go are looked up.
     stays = F.coalesce("__kept", F.lit(False)) | (F.col("n_shingles") == 0)
     marked = found.join(kept, found["key"].eqNullSafe(kept["key"]) & found["id"].eqNullSafe(kept["id"]), "left").select(found["id"], stays.alias("stays"))
-    by_id = materialize(marked.groupBy("id").agg(F.count(F.lit(1)).alias("rows"), F.max("stays").alias("stays")).where("stays"), f"{name}_ids")
-    there = lambda ids: docs.join(ids, docs[id_col].eqNullSafe(ids["__id"]), "left_semi")
-    plain = there(by_id.where("rows = 1").select(F.col("id").alias("__id")))
-    repeated = by_id.where("rows > 1").select(F.col("id").alias("__id"))
+    by_id = materialize(marked.groupBy(F.col("id").alias("__id")).agg(F.count(F.lit(1)).alias("rows"), F.max("stays").alias("stays")).where("rows > 1 or not stays"), f"{name}_ids")
+    here = lambda ids, how: docs.join(ids.select("__id"), docs[id_col].eqNullSafe(ids["__id"]), how)
+    plain = here(by_id, "left_anti")
+    repeated = by_id.where("rows > 1 and stays")
     if repeated.isEmpty():
         return plain
-    keyed = there(repeated).withColumn("__body", F.col(f"`{text_col}`").cast("binary"))
+    keyed = here(repeated, "left_semi").withColumn("__body", F.col(f"`{text_col}`").cast("binary"))
     keyed = keyed.withColumn("__key", _set_key(width)(F.col("__body"))).drop("__body")
     stay = keyed.join(kept, keyed["__key"].eqNullSafe(kept["key"]) & keyed[id_col].eqNullSafe(kept["id"]), "left_semi")
     stay = stay.dropDuplicates(["__key", id_col]).unionByName(keyed.where(F.col("__key").isNull()))
