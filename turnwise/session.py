@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -45,6 +46,14 @@ def configure(spark: SparkSession) -> None:
             spark.conf.set(name, value)
 
 
+def share_package(spark: SparkSession) -> None:
+    """Put this package on the path of the Python workers, for operators that run in them."""
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    given = spark.sparkContext.environment
+    if root not in given.get("PYTHONPATH", "").split(os.pathsep):
+        given["PYTHONPATH"] = os.pathsep.join(x for x in (root, given.get("PYTHONPATH", "")) if x)
+
+
 def scratch_root(spark: SparkSession) -> str:
     """The shared folder for written intermediate tables.
 

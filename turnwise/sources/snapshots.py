@@ -40,7 +40,7 @@ class Snapshot:
     schemas: dict[str, str] = field(default_factory=dict)
 
 
-def _schema(s: Snapshot, table: str) -> T.StructType:
+def schema_of(s: Snapshot, table: str) -> T.StructType:
     return T.StructType.fromJson(json.loads(s.schemas[table]))
 
 
@@ -92,7 +92,7 @@ def read(spark: SparkSession, snapshots: Snapshot | list[Snapshot], table: str)
     for s in [snapshots] if isinstance(snapshots, Snapshot) else snapshots:
         if table in s.parts:
             folders = list(s.parts[table].values())
-            found.append(spark.read.schema(_schema(s, table)).parquet(*folders) if folders else spark.createDataFrame([], _schema(s, table)))
+            found.append(spark.read.schema(schema_of(s, table)).parquet(*folders) if folders else spark.createDataFrame([], schema_of(s, table)))
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), found) if found else None
 
 
@@ -130,7 +130,7 @@ def upsert(rows: DataFrame, root: str, before: Snapshot, table: str, keys: list[
         raise ValueError(f"{table} is kept in another number of buckets")
     folders = [held[name(b)] for b in touched if name(b) in held]
     if folders:
-        old = spark.read.schema(_schema(before, table)).parquet(*folders)
+        old = spark.read.schema(schema_of(before, table)).parquet(*folders)
         old = old.join(placed.select(*keys), keys, "left_anti").withColumn("__bucket", F.pmod(F.xxhash64(*keys), F.lit(buckets)))
         placed = old.unionByName(placed, allowMissingColumns=True)
     folder = f"{root}/{before.owner}/{table}/{uuid.uuid4().hex}"

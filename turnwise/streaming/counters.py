@@ -28,6 +28,16 @@ def observed_records(lines: DataFrame, counted: Observation | str = LINES, parse
     return R.to_records(R.keep_readable(whole, unread), carry)
 
 
+def metric_row(progress) -> tuple:
+    """A progress report as a row of ``METRICS``."""
+    found: dict = {}
+    for name in (LINES, PARSED):
+        row = progress.observedMetrics.get(name)
+        found |= row.asDict() if row is not None else {}
+    late = sum(o.numRowsDroppedByWatermark for o in progress.stateOperators)
+    return progress.name, str(progress.runId), progress.batchId, progress.timestamp, *(found.get(c) for c in ("lines", "relevant", "records", "bad")), late
+
+
 class Metrics(StreamingQueryListener):
     """Appends a row (see ``METRICS``) to a folder for each micro-batch of each query that had input; ``spark.streams.addListener`` it."""
 
@@ -38,18 +48,9 @@ class Metrics(StreamingQueryListener):
         pass
 
     def onQueryProgress(self, event) -> None:
-        p = event.progress
-        found = {**self._observed(p, LINES), **self._observed(p, PARSED)}
-        late = sum(o.numRowsDroppedByWatermark for o in p.stateOperators)
-        if p.numInputRows == 0 and not late:
-            return
-        row = (p.name, str(p.runId), p.batchId, p.timestamp, *(found.get(c) for c in ("lines", "relevant", "records", "bad")), late)
-        self.spark.createDataFrame([row], METRICS).coalesce(1).write.mode("append").json(self.folder)
-
-    @staticmethod
-    def _observed(progress, name: str) -> dict:
-        row = progress.observedMetrics.get(name)
-        return row.asDict() if row is not None else {}
+        row = metric_row(event.progress)
+        if event.progress.numInputRows or row[-1]:
+            self.spark.createDataFrame([row], METRICS).coalesce(1).write.mode("append").json(self.folder)
 
     def onQueryIdle(self, event) -> None:
         pass

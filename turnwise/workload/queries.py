@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from turnwise.session import configure
-from turnwise.workload import by_files, by_session, by_tables, by_text
+from turnwise.workload import by_files, by_session, by_streams, by_tables, by_text
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -21,7 +21,7 @@ def _configured(query: Query) -> Query:
 
 
 def modules() -> list:
-    return [by_session, by_text, by_tables, by_files]
+    return [by_session, by_text, by_tables, by_files, by_streams]
 
 
 def queries() -> dict[str, Query]:
