@@ -145,7 +145,7 @@ def test_progress_from_transcripts(spark, lines):
     projects = P.project_rollup(stages)
     assert [r.project for r in P.sort_projects(projects).collect()] == ["tools", "work"]
     out = [r.line for r in P.summary_lines(projects, stages).collect()]
-    assert out[0] == "[n/a]  tools  (1 stages, 1 live)" and out[1].endswith("*LIVE* <FG>") and out[3] == "    [50%] Fix it  (1/2)"
+    assert out[0] == "tools: n/a of 1 stages, 1 running" and out[1].endswith(", running, in front") and out[3] == "  - Fix it: 50%, 1 of 2 to-dos"
     from turnwise.sources.sinks import nested_progress
 
     tree = {r.project: r for r in nested_progress(projects, stages, todos).collect()}

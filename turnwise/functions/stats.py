@@ -18,7 +18,7 @@ def rate(events: Column, turns: Column, per: float = fixed.RATE_PER) -> Column:
 
 
 def band_half(events: Column, turns: Column, z: float = fixed.Z, per: float = fixed.RATE_PER) -> Column:
-    """Half width of the range this many events implies."""
+    """Distance of the band's ends from the rate, by the square root of the count."""
     return ratio_or_zero(z * F.sqrt(F.greatest(events.cast("double"), F.lit(0.0))), turns, per)
 
 
@@ -33,7 +33,7 @@ def share(hits: Column, n: Column) -> Column:
 
 
 def compare_columns(worse_rate: Column, better_rate: Column, worse_n: Column, better_n: Column) -> dict[str, Column]:
-    """Gap always; ratio only when the reference rate can carry one."""
+    """The difference of the rates, and their quotient where the better rate is large enough to divide by."""
     gap = worse_rate - better_rate
     can_ratio = better_rate >= fixed.MIN_RATE_FOR_RATIO
     ratio = F.when(can_ratio, worse_rate / better_rate)

@@ -86,7 +86,7 @@ def opens_like_correction(
 
 
 def first_prompt_features(text: Column, patterns: dict[str, str] = PATTERNS) -> dict[str, Column]:
-    """Structural flags of an opening message, found by pattern only."""
+    """What the opening message of a session mentions, by regular expressions alone."""
     t = trim_all(text)
     return {
         "fp_words": F.size(words(text)).cast("bigint"),

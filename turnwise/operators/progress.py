@@ -263,22 +263,22 @@ def sort_projects(projects: DataFrame) -> DataFrame:
     return projects.orderBy(F.desc("foreground"), F.desc("num_active"), F.desc_nulls_last("latest_at"), "project_key")
 
 
-def summary_lines(projects: DataFrame, stages: DataFrame) -> DataFrame:
-    """Readable lines: each project, then its stages, in display order."""
+def summary_lines(projects: DataFrame, stages: DataFrame, title_chars: int | None = None) -> DataFrame:
+    """Readable lines: each project, then its stages, in display order; titles are whole unless a length is given."""
     label = formats.percent(F.col("progress"))
     heads = projects.select(
         "project_key", F.col("foreground").alias("pf"), F.col("num_active").alias("pa"), F.col("latest_at").alias("pl"),
         F.lit(0).alias("level"), F.lit(False).alias("sf"), F.lit(False).alias("sr"), F.lit(None).cast("timestamp").alias("sl"),
         F.lit("").alias("stage_key"),
-        F.format_string("[%s]  %s  (%d stages, %d live)", label, "project", "num_stages", "num_active").alias("line"),
+        F.format_string("%s: %s of %d stages, %d running", "project", label, "num_stages", "num_active").alias("line"),
     )
     order = projects.select("project_key", F.col("foreground").alias("pf"), F.col("num_active").alias("pa"), F.col("latest_at").alias("pl"))
     rows = stages.join(order, "project_key").select(
         "project_key", "pf", "pa", "pl", F.lit(1).alias("level"), F.col("foreground").alias("sf"), F.col("running").alias("sr"),
         F.col("latest_at").alias("sl"), F.col("stage_key").cast("string").alias("stage_key"),
         F.concat(
-            F.format_string("    [%s] %s  (%d/%d)", label, F.substring("title", 1, 70), "num_done", "num_todos"),
-            F.when(F.col("running"), " *LIVE*").otherwise(""), F.when(F.col("foreground"), " <FG>").otherwise(""),
+            F.format_string("  - %s: %s, %d of %d to-dos", F.col("title") if title_chars is None else F.substring("title", 1, title_chars), label, "num_done", "num_todos"),
+            F.when(F.col("running"), ", running").otherwise(""), F.when(F.col("foreground"), ", in front").otherwise(""),
         ).alias("line"),
     )
     return heads.unionByName(rows).orderBy(

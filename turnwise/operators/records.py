@@ -135,7 +135,7 @@ def body_text(body: Column) -> Column:
 
 
 def result_text(blocks: Column) -> Column:
-    """Tool-result bodies flattened, so a denial reason can be matched."""
+    """The text of all tool results of a record, one below the other."""
     results = F.filter(blocks, lambda b: (b["btype"] == "tool_result") & b["result_body"].isNotNull())
     return F.coalesce(F.array_join(F.transform(results, lambda b: body_text(b["result_body"])), "\n"), F.lit(""))
 

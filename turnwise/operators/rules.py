@@ -72,7 +72,7 @@ RULES = (
             Cohort("few", "anchors <= 1", shown=False), Cohort("many", "anchors >= 2", shown=False), _POOL,
         ),
         worse="few", better="many",
-        advice="Name the file, the limit and the check in the first message.",
+        advice="Open with three things: where to work, what must not change, and how you will know it is finished.",
     ),
     Rule(
         "long_session_knee", "Session length", "human_turns >= 1",
@@ -396,7 +396,7 @@ def rank_findings(evaluated: DataFrame) -> DataFrame:
         {
             "long_session_knee": F.format_string("Sessions from %s on ran %s as many corrections as the shortest", "detail", "phrase"),
             "plan_mode_big_tasks": F.format_string(
-                "On big jobs, a plan first meant %.1f rejected or stopped actions per 100, against %.1f without", "better_rate", "worse_rate"
+                "Large tasks begun from a plan had %.1f of 100 actions turned down or broken off; those begun without one had %.1f", "better_rate", "worse_rate"
             ),
             "tool_output_bloat": F.format_string("The %s tool returned %.0f%% of everything read", "detail", "share_pct"),
             "cache_resets": F.format_string("The whole conversation was sent again in %d sessions", "worse_n"),
@@ -428,7 +428,7 @@ def report(prepared: DataFrame, findings: DataFrame) -> DataFrame:
         return findings.filter(F.col("rank") == k).agg(F.max(field)).scalar()
 
     head = F.format_string("Across %d sessions, %.0f%% ran start to finish without a correction.", "n", "clean_pct")
-    reviewed = F.when(F.col("judged") > 0, F.format_string("%d have been read through in detail.", "judged"))
+    reviewed = F.when(F.col("judged") > 0, F.format_string("Reviews exist for %d of them.", "judged"))
     first, second = nth(1, "headline"), nth(2, "headline")
     text = F.concat_ws(
         " ", head, reviewed,

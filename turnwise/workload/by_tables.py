@@ -184,14 +184,19 @@ def foreground(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stages.filter("foreground").select("project_key", "stage_key")
 
 
+_PERCENT = "CASE WHEN {nt} > 0 THEN printf('%.0f%%', round_even({nd} * 100.0::DOUBLE / {nt}, 1)) ELSE 'n/a' END"
+
+
 @query(
     "summary_lines",
-    f"""WITH {_PROG} SELECT '[' || CASE WHEN sum(nt) > 0 THEN printf('%.0f%%', round_even(sum(nd) * 100.0::DOUBLE / sum(nt), 1)) ELSE 'n/a' END || ']  ' || any_value(project) || '  (' || count(*) || ' stages, ' || count(*) FILTER (running) || ' live)' AS line
-      FROM st GROUP BY machine, pk""",
+    f"""WITH {_PROG} SELECT any_value(project) || ': ' || {_PERCENT.format(nt="sum(nt)", nd="sum(nd)")} || ' of ' || count(*) || ' stages, ' || count(*) FILTER (running) || ' running' AS line
+      FROM st GROUP BY machine, pk
+      UNION ALL SELECT '  - ' || title || ': ' || {_PERCENT.format(nt="nt", nd="nd")} || ', ' || nd || ' of ' || nt || ' to-dos' || CASE WHEN running THEN ', running' ELSE '' END
+        || CASE WHEN sk = (SELECT sk FROM st WHERE running ORDER BY ts DESC, machine, pk, sk LIMIT 1) THEN ', in front' ELSE '' END FROM st""",
 )
 def summary_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     projects, stages, _ = progress_tables(spark, sf_dir)
-    return P.summary_lines(projects, stages).filter(~F.col("line").startswith(" "))
+    return P.summary_lines(projects, stages)
 
 
 _EDITS = """edits AS (SELECT CASE k % 3 WHEN 0 THEN 'project' WHEN 1 THEN 'stage' ELSE 'other' END AS level, CAST(user_id AS VARCHAR) AS key,
@@ -333,20 +338,7 @@ def queue(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(silver.session_number().alias("session"), "human_turns")
 
 
-@query(
-    "verdict_validation",
-    """SELECT doc_id, concat_ws(' / ',
-      CASE WHEN doc_id % 7 = 0 THEN 'length: other turn count than queued' END, CASE WHEN doc_id % 13 = 0 THEN 'missing: item outside the vocabulary' END,
-      CASE WHEN doc_id % 17 = 0 THEN 'outcome: outside the vocabulary' END,
-      CASE WHEN doc_id % 29 = 0 THEN 'rubric: unanswered item among goal/context/constraints/done_criterion/scope'
-        WHEN quality + toxic <> doc_id % 3 THEN 'score: differs from the rubric''s yes answers' END,
-      CASE WHEN doc_id % 31 = 0 THEN 'session: another id than the file''s' END,
-      CASE WHEN doc_id % 37 = 0 THEN 'summary: absent or over 140 characters' WHEN doc_id % 5 = 0 THEN 'summary: repeats a turn word for word' END,
-      CASE WHEN doc_id % 41 = 0 THEN NULL WHEN doc_id % 11 = 0 THEN 'turn.label: nonsense' WHEN doc_id % 19 = 0 THEN 'turn.cause: bad luck' WHEN doc_id % 23 = 0 THEN 'turn.number: counted from one' END,
-      CASE WHEN doc_id % 41 = 0 THEN 'turns: none given' END) AS problems FROM labels WHERE doc_id % 43 <> 0
-      UNION ALL SELECT doc_id, 'stray: nobody queued this session' FROM labels WHERE doc_id % 43 = 0""",
-)
-def verdict_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _verdicts(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """Labels as verdicts with known faults, and some that nobody queued; every problem by name."""
     d, labels = F.col("doc_id"), load(spark, sf_dir, "labels")
     sid = F.concat(F.lit("s"), d.cast("string"))
@@ -368,11 +360,84 @@ def verdict_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
         sid.alias("sid"), F.when(d % 7 == 0, 9).otherwise(3).cast("bigint").alias("n_turns"),
         F.array(F.struct(F.lit("Please keep the old parser exactly as it was today").alias("you"))).alias("turns"),
     )
-    matched, stray = review.match_queue(verdicts, queue)
+    return review.match_queue(verdicts, queue)
+
+
+@query(
+    "verdict_validation",
+    """SELECT doc_id, concat_ws(' / ',
+      CASE WHEN doc_id % 7 = 0 THEN 'length: other turn count than queued' END, CASE WHEN doc_id % 13 = 0 THEN 'missing: item outside the vocabulary' END,
+      CASE WHEN doc_id % 17 = 0 THEN 'outcome: outside the vocabulary' END,
+      CASE WHEN doc_id % 29 = 0 THEN 'rubric: unanswered item among goal/context/constraints/done_criterion/scope'
+        WHEN quality + toxic <> doc_id % 3 THEN 'score: differs from the rubric''s yes answers' END,
+      CASE WHEN doc_id % 31 = 0 THEN 'session: another id than the file''s' END,
+      CASE WHEN doc_id % 37 = 0 THEN 'summary: absent or over 140 characters' WHEN doc_id % 5 = 0 THEN 'summary: repeats a turn word for word' END,
+      CASE WHEN doc_id % 41 = 0 THEN NULL WHEN doc_id % 11 = 0 THEN 'turn.label: nonsense' WHEN doc_id % 19 = 0 THEN 'turn.cause: bad luck' WHEN doc_id % 23 = 0 THEN 'turn.number: counted from one' END,
+      CASE WHEN doc_id % 41 = 0 THEN 'turns: none given' END) AS problems FROM labels WHERE doc_id % 43 <> 0
+      UNION ALL SELECT doc_id, 'stray: nobody queued this session' FROM labels WHERE doc_id % 43 = 0""",
+)
+def verdict_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every problem by name, those of verdicts that nobody queued too."""
+    matched, stray = _verdicts(spark, sf_dir)
     checked = review.validate_verdicts(matched).select("doc_id", "problems").unionByName(stray.select("doc_id", "problems"))
     return checked.select("doc_id", F.array_join("problems", " / ").alias("problems"))
 
 
+_GOOD = """doc_id % 43 <> 0 AND doc_id % 7 <> 0 AND doc_id % 13 <> 0 AND doc_id % 17 <> 0 AND doc_id % 29 <> 0 AND quality + toxic = doc_id % 3 AND doc_id % 31 <> 0
+  AND doc_id % 37 <> 0 AND doc_id % 5 <> 0 AND doc_id % 41 <> 0 AND doc_id % 11 <> 0 AND doc_id % 19 <> 0 AND doc_id % 23 <> 0"""
+
+
+@query(
+    "verdict_ingest",
+    f"""SELECT doc_id, CAST(CASE WHEN doc_id % 4 = 0 THEN 2 ELSE 0 END + CASE WHEN doc_id % 43 <> 0 THEN 1 ELSE 0 END AS BIGINT) AS attempts,
+        CASE WHEN {_GOOD} THEN 'reviewer' WHEN doc_id % 4 = 0 THEN 'before' END AS judged_by,
+        CAST(CASE WHEN {_GOOD} THEN doc_id % 3 WHEN doc_id % 4 = 0 THEN 9 ELSE -1 END AS BIGINT) AS score,
+        CAST(CASE WHEN doc_id % 43 <> 0 THEN CASE WHEN doc_id % 7 = 0 THEN 9 ELSE 3 END ELSE 2 END AS BIGINT) AS n_turns
+      FROM labels WHERE doc_id % 43 <> 0 OR doc_id % 4 = 0""",
+)
+def verdict_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A batch into a store that has some of its sessions: attempts count, a rejected verdict leaves the earlier result."""
+    matched, _ = _verdicts(spark, sf_dir)
+    earlier = load(spark, sf_dir, "labels").filter(F.col("doc_id") % 4 == 0)
+    result = F.when(F.lit(True), F.struct(F.lit(9).cast("bigint").alias("score")))
+    store = earlier.select(
+        F.concat(F.lit("s"), F.col("doc_id").cast("string")).alias("sid"), F.lit(2).cast("bigint").alias("n_turns"), F.lit(_NOW).cast("timestamp").alias("at"),
+        F.lit(2).cast("bigint").alias("attempts"), F.lit("before").alias("judged_by"), result.alias("result"),
+    )
+    empty = review.empty_store(spark)
+    wide = store.withColumn("result", F.from_json(F.to_json("result"), empty.schema["result"].dataType))
+    out = review.ingest(empty.unionByName(wide), review.validate_verdicts(matched).withColumn("judged_by", F.lit(None).cast("string")), F.lit(_NOW).cast("timestamp"))
+    return out.select(F.substring("sid", 2, 20).cast("bigint").alias("doc_id"), "attempts", "judged_by", F.coalesce(F.col("result.score"), F.lit(-1)).alias("score"), "n_turns")
+
+
+@query(
+    "review_status",
+    f"""WITH {O.PREPARED}, l AS (SELECT session, max(ts) AS latest FROM facts GROUP BY session),
+      m AS (SELECT coalesce(arg_max(doc_id * 3, CAST(doc_id AS VARCHAR)), 0) AS mark FROM labels), j AS (SELECT count(*) FILTER (quality = 1) AS judged FROM labels)
+      SELECT judged, (SELECT count(*) FROM prep JOIN l USING (session) WHERE human_turns >= 2 AND ((session % 3 = 0 AND (session // 3) % 3 <> 0) OR (session % 5 <> 0 AND latest < TIMESTAMP '{_NOW}' - INTERVAL 6 HOUR))) AS eligible,
+        (SELECT count(*) FROM labels WHERE toxic = 1) AS awaiting, (SELECT count(*) FROM labels WHERE doc_id % 7 = 0) AS rejected, CAST(judged - mark AS BIGINT) AS since_note, judged - mark >= {fixed.NOTE_EVERY} AS note_due
+      FROM j, m""",
+)
+def review_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = load(spark, sf_dir, "labels")
+    store = labels.select(F.when(F.col("quality") == 1, "yes").alias("result"))
+    notes = labels.select(F.col("doc_id").cast("string").alias("date"), (F.col("doc_id") * 3).alias("judged_total"))
+    return review.review_status(silver.prepared(spark, sf_dir), store, _live(spark, sf_dir), labels.filter("toxic = 1"), labels.filter("doc_id % 7 = 0"), notes, F.lit(_NOW).cast("timestamp"))
+
+
+@query(
+    "actions_between_turns",
+    f"""WITH {O.TURNS}, a AS (SELECT session, turn_no, CASE k % 5 WHEN 0 THEN 'Bash' WHEN 1 THEN 'Edit' WHEN 2 THEN 'AskUserQuestion' WHEN 3 THEN 'Read' ELSE 'Skill' END AS tool, event_id FROM t2 WHERE is_tool AND turn_no > 0),
+      g AS (SELECT session, turn_no, tool, count(*) AS n, min(event_id) AS first FROM a GROUP BY ALL)
+      SELECT session, turn_no, tool, n, CAST(row_number() OVER (PARTITION BY session, turn_no ORDER BY n DESC, first) AS INTEGER) AS rank FROM g""",
+)
+def actions_between_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    placed = silver.state(spark, sf_dir).select("path", "line_no", "turn_no")
+    uses = S.tool_events(silver.records(spark, sf_dir)).filter("is_use").join(placed, ["path", "line_no"])
+    events = uses.select(silver.session_number().alias("session"), "turn_no", "tool", F.struct("line_no", "pos").alias("position"))
+    return ordered.actions_between_turns(events, ["session"], "turn_no", "tool")
+
+
 # --- other tables -------------------------------------------------------------
 
 
