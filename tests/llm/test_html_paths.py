@@ -1,5 +1,7 @@
 from __future__ import annotations
 
+import time
+
 import pytest
 from pyspark.sql import types as T
 
@@ -98,3 +100,36 @@ def test_a_host_of_two_layouts(texts):
 )
 def test_no_text_is_lost_in_parsing(html, text):
     assert alone(html) == text
+
+
+@pytest.mark.parametrize(("page", "want"), [
+    ("<article><p>one</p><svg><path d='x'><p>two</p></article>", "one\n\ntwo"),
+    ("<article><p>one</p><svg><path d='x'><p>two</p><svg><g/></svg><p>three</p></article>", "one\n\ntwo\n\nthree"),
+    ("<article><p>one</p><svg><svg><text>no</text></svg><text>no</text></svg><p>two</p></article>", "one\n\ntwo"),
+    ("<article><p>one</p><iframe src=x><p>two</p></article>", "one\n\ntwo"),
+    ("<article><p>one <iframe src=x>two</article>", "one"),
+    ("<article><p>one</p><template><div>no</div><template>no</template>no</template><p>two</p></article>", "one\n\ntwo"),
+    ("<article><p>one</p><textarea>no<p>two</p></article>", "one\n\ntwo"),
+    ("<title>no<body><article><p>one</p></article>", "one"),
+    ("<article><p>one</p><script>x < y</article>", "one"),
+    ("<article><p>one <![CDATA[ x > y ]]> two</p></article>", "one y ]]> two"),
+])
+def test_elements_that_are_not_closed_keep_the_rest(page, want):
+    assert H.extract(H.parse(page), []) == want
+
+
+@pytest.mark.parametrize("make", [
+    lambda n: "<b>" * n + "<p>x" * n, lambda n: "<p><div>" + "<b>" * n + "<p>x" * n, lambda n: "<b><div>" + "<i>" * n + "</b>x" * n, lambda n: "<b>" * n + "x<hr>" * n,
+    lambda n: "<svg>" * n + "<p>x", lambda n: "<textarea>" * n + "x", lambda n: "<div>" * n + "x", lambda n: "<ul>" + "<li><b>x" * n, lambda n: "<template><p>x" * n,
+])
+def test_parsing_takes_time_in_proportion(make):
+    H.parse(make(100)).paths()
+    start = time.perf_counter()
+    H.extract(H.parse(make(20_000)), ["html>body"])
+    assert time.perf_counter() - start < 4
+
+
+def test_deep_paths_are_told_apart():
+    deep = "<div class='level'>" * 600
+    one, other = (H.parse(f"{deep}<div class='{c}'>text</div>").paths()[-1] for c in ("a", "b"))
+    assert one != other and len(one) <= H.PATH_CHARS

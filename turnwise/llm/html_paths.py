@@ -26,6 +26,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -56,13 +57,15 @@ CLOSED_BY: dict[str, frozenset[str]] = {
 KEEPS_OPEN = frozenset("article aside blockquote body details div dl fieldset figure footer form header html main nav ol section table ul".split())
 
 _TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(?P<close>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<rest>(?:\"[^\"]*\"|'[^']*'|[^'\">])*+)>|<(?P<close2>/?)(?P<tag2>[a-zA-Z][^\s/>]*)(?P<rest2>[^>]*)(?:>|\Z)",
+    r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(?P<close>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<rest>(?:\"[^\"]*\"|'[^']*'|[^'\">])*+)>|<(?P<close2>/?)(?P<tag2>[a-zA-Z][^\s/>]*)(?P<rest2>[^>]*)(?:>|\Z)",
     re.DOTALL,
 )
 _ATTRIBUTE = re.compile(r"(?<![\w-])(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.IGNORECASE)
 _NAME = re.compile(r"[a-z0-9]+")
 _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 _DIGITS = re.compile(r"\d+")
+_BLOCK_TAG = re.compile(rf"</?(?:{'|'.join(sorted(BLOCK))})(?=[\s/>])", re.IGNORECASE)
+PATH_CHARS = 2_000  # a longer path goes on from its hash
 
 
 @dataclass
@@ -86,12 +89,13 @@ class Page:
     nodes: list[Node] = field(default_factory=list)
     blocks: list[tuple[int, str]] = field(default_factory=list)
 
-    def path(self, i: int) -> str:
-        steps = []
-        while i >= 0:
-            steps.append(self.nodes[i].step)
-            i = self.nodes[i].parent
-        return ">".join(reversed(steps))
+    def paths(self) -> list[str]:
+        """Every node's path of steps from the root; what is beyond ``PATH_CHARS`` is told apart by a running hash."""
+        found: list[str] = []
+        for node in self.nodes:
+            path = f"{found[node.parent]}>{node.step}" if node.parent >= 0 else node.step
+            found.append(path if len(path) <= PATH_CHARS else f"#{xxhash.xxh3_128_hexdigest(path)}")
+        return found
 
 
 def _node(tag: str, rest: str, parent: int, nodes: list[Node]) -> Node:
@@ -123,25 +127,77 @@ def _node(tag: str, rest: str, parent: int, nodes: list[Node]) -> Node:
     return node
 
 
+class _RawEnds:
+    """Where elements of raw content end, found in one pass over the text for each tag."""
+
+    def __init__(self, text: str):
+        self.text, self.ends, self.none_beyond = text, {}, {}
+
+    def after(self, tag: str, start: int, at: int) -> int:
+        """Where to go on after the start tag [start, at).
+
+        Scripts and styles without an end tag take the rest.  Any other element that is not closed ends at the next tag of a block: what
+        follows is the page's.  Elements that may hold their like are closed by the end tag of their own level.
+        """
+        end = self._nested(tag).get(start) if tag in ("svg", "template") else self._next(tag, at)
+        if end is not None:
+            return end
+        if tag in ("script", "style"):
+            return len(self.text)
+        block = None if "block" in self.none_beyond else _BLOCK_TAG.search(self.text, at)
+        if block is None:
+            self.none_beyond["block"] = True
+        return block.start() if block else at
+
+    def _next(self, tag: str, at: int) -> int | None:
+        if tag in self.none_beyond:
+            return None
+        found = re.compile(rf"</{tag}\b[^>]*>?", re.IGNORECASE).search(self.text, at)
+        if found is None:
+            self.none_beyond[tag] = True
+        return found.end() if found else None
+
+    def _nested(self, tag: str) -> dict[int, int]:
+        if tag not in self.ends:
+            opened, ends = [], {}
+            for m in re.compile(rf"<(/?){tag}\b([^>]*)>?", re.IGNORECASE).finditer(self.text):
+                if not m[1]:
+                    if not m[2].endswith("/"):
+                        opened.append(m.start())
+                elif opened:
+                    ends[opened.pop()] = m.end()
+            self.ends[tag] = ends
+        return self.ends[tag]
+
+
 def parse(text: str) -> Page:
-    """Parse leniently: end tags that are missing are implied, those without a beginning are ignored."""
+    """Parse leniently: end tags that are missing are implied, those without a beginning are ignored.
+
+    Linear in the text: tags are counted within the innermost element that keeps others open, so that no look through the open elements finds
+    nothing, and what it finds is closed.
+    """
     page, stack = Page(), []
     nodes, blocks = page.nodes, page.blocks
     pieces: list[tuple[int, str, bool]] = []  # node, text, whether in a link
     pending: list[tuple[int, list[tuple[int, str, bool]]]] = []
     opened: Counter[str] = Counter()
+    scopes: list[Counter[str]] = [Counter()]  # open tags inside each element of KEEPS_OPEN
+    in_block: list[int] = []  # each node's innermost block
+    raw = _RawEnds(text)
 
     def flush() -> None:
         if pieces:
-            at = stack[-1] if stack else -1
-            while at >= 0 and nodes[at].tag not in BLOCK:
-                at = nodes[at].parent
-            pending.append((at, pieces.copy()))
+            pending.append((in_block[stack[-1]] if stack else -1, pieces.copy()))
             pieces.clear()
 
     def close(depth: int) -> None:
-        for i in stack[depth:]:
-            opened[nodes[i].tag] -= 1
+        for i in reversed(stack[depth:]):
+            tag = nodes[i].tag
+            opened[tag] -= 1
+            if tag in KEEPS_OPEN:
+                scopes.pop()
+            else:
+                scopes[-1][tag] -= 1
         del stack[depth:]
 
     def add(raw: str) -> None:
@@ -161,17 +217,14 @@ def parse(text: str) -> Page:
         if not tag:
             continue
         if found["close"] or found["close2"]:
-            if not opened[tag]:
+            if not (opened if tag in KEEPS_OPEN else scopes[-1])[tag]:
                 continue
-            for depth in range(len(stack) - 1, -1, -1):
-                here = nodes[stack[depth]].tag
-                if here == tag:
-                    if tag in BLOCK:
-                        flush()
-                    close(depth)
-                    break
-                if here in KEEPS_OPEN and tag not in KEEPS_OPEN:
-                    break
+            depth = len(stack) - 1
+            while nodes[stack[depth]].tag != tag:
+                depth -= 1
+            if tag in BLOCK:
+                flush()
+            close(depth)
             continue
         if tag == "br":
             pieces.append((-1, " ", False))
@@ -182,26 +235,29 @@ def parse(text: str) -> Page:
             enders = CLOSED_BY.get(tag, frozenset()) | {"p"}
             if tag[0] == "h" and tag[1:].isdigit():
                 enders |= {"h1", "h2", "h3", "h4", "h5", "h6"}
-            for depth in range(len(stack) - 1, -1, -1):
-                here = nodes[stack[depth]].tag
-                if here in enders:
+            depth = len(stack)
+            while any(scopes[-1][e] for e in enders):
+                depth -= 1
+                if nodes[stack[depth]].tag in enders:
                     close(depth)
-                elif here in KEEPS_OPEN:
-                    break
         if tag in VOID:
             continue
         rest = found["rest"] or found["rest2"] or ""
         if tag in ("svg", "math") and rest.endswith("/"):
             continue
         if tag in RAW:
-            end = re.compile(rf"</{re.escape(tag)}\b[^>]*>?", re.IGNORECASE).search(text, at)
-            at = end.end() if end else size
+            at = raw.after(tag, found.start(), at)
             continue
         if rest.endswith("/") and tag not in BLOCK:
             continue
         if tag in ("html", "body") and opened[tag]:
             continue
         opened[tag] += 1
+        if tag in KEEPS_OPEN:
+            scopes.append(Counter())
+        else:
+            scopes[-1][tag] += 1
+        in_block.append(len(nodes) if tag in BLOCK else in_block[stack[-1]] if stack else -1)
         nodes.append(_node(tag, rest, stack[-1] if stack else -1, nodes))
         stack.append(len(nodes) - 1)
     flush()
@@ -285,23 +341,18 @@ def extract(page: Page, winners: list[str], refused: frozenset[str] = frozenset(
     """
     chosen: set[int] = set()
     if winners and page.nodes:
-        steps = [w.split(">") for w in winners]
-        reached: list[tuple[int, list[int]]] = []  # depth, and the winners whose path leads here so far
+        paths, order = page.paths(), {w: k for k, w in reversed([*enumerate(winners)])}
         at: dict[int, set[int]] = {}
-        for i, node in enumerate(page.nodes):
-            depth, before = reached[node.parent] if node.parent >= 0 else (0, list(range(len(steps))))
-            here = [w for w in before if len(steps[w]) > depth and steps[w][depth] == node.step]
-            reached.append((depth + 1, here))
-            for w in here:
-                if len(steps[w]) == depth + 1 and node.own:
-                    at.setdefault(w, set()).add(i)
+        for i, (path, node) in enumerate(zip(paths, page.nodes, strict=True)):
+            if path in order and node.own:
+                at.setdefault(order[path], set()).add(i)
         whole = sum(len(text) for _, text in page.blocks)
         held = {w: sum(page.nodes[i].own for i in at[w]) for w in sorted(at)}
         if at:
             chosen = at[min(at)]
             if held[min(at)] < LEAST_HELD * whole:
                 best = best_container(page)
-                own = {best} if best < 0 or page.path(best) not in refused else chosen
+                own = {best} if best < 0 or paths[best] not in refused else chosen
                 chosen = next((at[w] for w in held if held[w] >= LEAST_HELD * whole and winners[w] not in refused), own)
     if not chosen:
         chosen = {best_container(page)}
@@ -335,13 +386,9 @@ def _votes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             at = best_container(page)
             if at < 0:
                 continue
-            paths: list[str] = []
-            for node in page.nodes:
-                # Very deep containers are not told apart; their paths would grow with the square of the depth.
-                above = paths[node.parent] if node.parent >= 0 else ""
-                paths.append("" if len(above) > 2000 or (node.parent >= 0 and not above) else f"{above}>{node.step}" if above else node.step)
-            chosen = page.path(at)
-            seen = {p for p, node in zip(paths, page.nodes, strict=True) if p and node.own and not node.left_out and node.tag in CONTAINERS}
+            paths = page.paths()
+            chosen = paths[at]
+            seen = {p for p, node in zip(paths, page.nodes, strict=True) if node.own and not node.left_out and node.tag in CONTAINERS}
             found.update((host, p) for p in seen | {chosen})
             voted[host, chosen] += 1
         keys = list(found)
