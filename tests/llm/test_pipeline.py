@@ -17,7 +17,7 @@ from tests.llm.test_jaccard_join import brute as brute_classes
 from turnwise.llm import mixing, registry, stages, token_records, toxicity
 
 SF = "/root/testdata/sf0.001"
-TABLES = "documents pages benchmark labels".split()
+TABLES = "documents pages benchmark labels conversations embeddings".split()
 
 
 def test_stages_are_the_contract():

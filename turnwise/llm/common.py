@@ -156,6 +156,8 @@ def components(edges: DataFrame, name: str) -> DataFrame:
         if seen == before:
             break
         before = seen
+    else:
+        raise RuntimeError(f"{name}: the components have not settled after 99 rounds")
     roots = edges.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()
     return edges.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(roots)
 

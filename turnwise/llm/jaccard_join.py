@@ -314,7 +314,10 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, num: int = 4, den: int = 5, name: str = "one_of_each") -> DataFrame:
-    """The rows of ``docs`` with one row of each component, that with the smallest id; texts without words all stay."""
+    """The rows of ``docs`` with one row of each component, that with the smallest id; texts without words all stay.
+
+    Rows that repeat that id and hold the same set count as one; which of them stays is not defined where their other columns differ.
+    """
     found = jaccard_classes(docs, id_col, text_col, width, num, den, name)
     low = found.where("n_shingles > 0").groupBy("component_id").agg(F.min(F.struct("id", "key")).alias("low")).select("low.*")
     kept = materialize(low, f"{name}_kept").withColumn("__kept", F.lit(True))
