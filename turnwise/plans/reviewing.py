@@ -22,10 +22,13 @@ def build_queue(
     return review.queue_items(picked, review.build_digests(theirs, deny, **digest))
 
 
-def ingest_batch(store: DataFrame, verdicts: DataFrame, queue: DataFrame, now: datetime, reject_path: str) -> DataFrame:
-    """Validate a batch, write the rejects with their reasons, and give the new store."""
+def ingest_batch(store: DataFrame, verdicts: DataFrame, queue: DataFrame, now: datetime, reject_path: str, batch: str | None = None) -> DataFrame:
+    """Validate a batch, write the rejects with their reasons, and give the new store.
+
+    A ``batch`` name makes the rejects of a run that is repeated replace those of the run before.
+    """
     matched, stray = review.match_queue(verdicts, queue)
     checked = materialize(review.validate_verdicts(matched), "validated")
     rejects = checked.select("file_sid", "problems").unionByName(stray.select("file_sid", "problems"))
-    sinks.write_rejects(rejects, reject_path)
+    sinks.write_rejects(rejects, reject_path, batch)
     return review.ingest(store, checked, F.lit(now).cast("timestamp"))

@@ -58,11 +58,3 @@ def read_newest_note(spark: SparkSession, path: str) -> DataFrame:
         "multiLine", "true"
     ).json(path).select(F.regexp_extract(F.col("_metadata.file_path"), "([^/]+)\\.json$", 1).alias("date"), "judged_total", "notes")
     return notes.agg(F.max_by(F.struct("date", "judged_total", "notes"), "date").alias("n")).filter("n is not null").select("n.*")
-
-
-def read_feeds(spark: SparkSession, root: str, table: str) -> DataFrame:
-    """One feed table (``sessions``, ``lifetime``, ``meta``, ``notes``) of every machine present."""
-    return (
-        spark.read.option("ignoreMissingFiles", "true").option("ignoreCorruptFiles", "true").option("mergeSchema", "true")
-        .parquet(f"{root}/{table}")
-    )

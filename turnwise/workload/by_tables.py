@@ -425,6 +425,25 @@ def review_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     return review.review_status(silver.prepared(spark, sf_dir), store, _live(spark, sf_dir), labels.filter("toxic = 1"), labels.filter("doc_id % 7 = 0"), notes, F.lit(_NOW).cast("timestamp"))
 
 
+_FLAGS = {"is_steer": fixed.FLAG_STEERING, "is_bound0": fixed.FLAG_COMPACTION, "is_du": fixed.FLAG_REJECTED, "is_dp": fixed.FLAG_PERMISSION, "is_int": fixed.FLAG_INTERRUPT}
+_FLAG_SQL = "CASE " + " ".join(f"WHEN {c} THEN '{flag}'" for c, flag in _FLAGS.items()) + " END"
+
+
+@query(
+    "session_digests",
+    f"""WITH {O.TURNS}, a AS (SELECT session, turn_no, CASE k % 5 WHEN 0 THEN 'Bash' WHEN 1 THEN 'Edit' WHEN 2 THEN 'AskUserQuestion' WHEN 3 THEN 'Read' ELSE 'Skill' END AS tool, event_id FROM t2 WHERE is_tool),
+      g AS (SELECT session, turn_no, tool, count(*) AS n, min(event_id) AS first FROM a GROUP BY ALL),
+      u AS (SELECT session, turn_no, string_agg(tool || ':' || n, ',' ORDER BY n DESC, first) AS tools FROM g GROUP BY ALL),
+      f AS (SELECT session, turn_no, string_agg(DISTINCT flag, ',' ORDER BY flag) AS flags FROM (SELECT session, turn_no, {_FLAG_SQL} AS flag FROM t2 WHERE NOT is_human) WHERE flag IS NOT NULL GROUP BY ALL)
+      SELECT h.session, h.turn_no AS i, coalesce(tools, '') AS tools, coalesce(flags, '') AS flags FROM t2 h LEFT JOIN u USING (session, turn_no) LEFT JOIN f USING (session, turn_no) WHERE is_human""",
+)
+def session_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What happened after each turn and before the next: tools by use, and flags."""
+    turns = review.build_digests(silver.records(spark, sf_dir)).select(silver.session_number().alias("session"), F.explode("turns").alias("t"))
+    tools = F.array_join(F.transform("t.tools", lambda x: F.concat(x["tool"], F.lit(":"), x["n"].cast("string"))), ",")
+    return turns.select("session", F.col("t.i").alias("i"), tools.alias("tools"), F.array_join("t.flags", ",").alias("flags"))
+
+
 @query(
     "actions_between_turns",
     f"""WITH {O.TURNS}, a AS (SELECT session, turn_no, CASE k % 5 WHEN 0 THEN 'Bash' WHEN 1 THEN 'Edit' WHEN 2 THEN 'AskUserQuestion' WHEN 3 THEN 'Read' ELSE 'Skill' END AS tool, event_id FROM t2 WHERE is_tool AND turn_no > 0),
