@@ -93,6 +93,7 @@ def test_upkeep_ends_where_the_batch_ends(spark, lines, tmp_path):
         s, keyed = W.fresh(0), W.Keyed(State())
         for row in W.fold_rows(W.covered_records(frame)).orderBy("line_no").collect():
             W.feed(s, json.loads(row.row), keyed)
+        keyed.settle()
         folded[path] = W.finished(s, keyed.items.get() or ())
     body(spark.createDataFrame([marks(a, False, folded[a]), marks(b, False, folded[a])], W.OUTPUT), 0)
     body(spark.createDataFrame([marks(b, True, folded[a])], W.OUTPUT), 1)

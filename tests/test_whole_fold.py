@@ -50,8 +50,8 @@ class State:
     def keys(self):
         return iter(list(self.map))
 
-    def appendValue(self, value):
-        self.list.append(value)
+    def appendList(self, values):
+        self.list.extend(values)
 
     def clear(self):
         self.value, self.map, self.list = None, {}, []

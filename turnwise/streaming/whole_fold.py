@@ -35,6 +35,7 @@ from turnwise.operators.sessions import opening_columns, tool_count
 from turnwise.streaming.fold import STATE_PROVIDER
 
 HELD_ROWS = 50_000
+REMEMBERED = 50_000
 BUCKET = 1 << 20
 
 _USED = ("in", "cc5", "cc1h", "cr", "out", "think")
@@ -121,21 +122,40 @@ def _least(s: dict, name: str, turn: int) -> None:
 
 
 class Keyed:
-    """The state that is read key by key."""
+    """The state that is read key by key; every look costs a call to the JVM, so keys met before in a call of the operator are remembered,
+    as many as ``REMEMBERED``, and list items are handed over together."""
 
     def __init__(self, handle: StatefulProcessorHandle):
         self.ids = handle.getMapState("ids", "id STRING", "seen BOOLEAN")
         self.runs = handle.getMapState("runs", "run BIGINT", "seen BOOLEAN")
         self.open = handle.getMapState("open", "id STRING", "tool STRING, test BOOLEAN, commit BOOLEAN")
         self.items = handle.getListState("items", "kind STRING, item STRING")
+        self.met: set = set()
+        self.waiting: list[tuple[str, str]] = []
 
     def first_time(self, state, key) -> bool:
+        if key in self.met:
+            return False
+        if len(self.met) < REMEMBERED:
+            self.met.add(key)
         if state.containsKey((key,)):
             return False
         state.updateValue((key,), (True,))
         return True
 
+    def add(self, kind: str, item) -> None:
+        self.waiting.append((kind, json.dumps(item)))
+        if len(self.waiting) >= REMEMBERED:
+            self.settle()
+
+    def settle(self) -> None:
+        """Hand items over, and remember nothing beyond this call: the next one may be about another session."""
+        if self.waiting:
+            self.items.appendList(self.waiting)
+        self.waiting, self.met = [], set()
+
     def forget(self) -> None:
+        self.waiting, self.met = [], set()
         for state in (self.ids, self.runs, self.open):
             state.clear()
 
@@ -173,7 +193,7 @@ def feed(s: dict, r: dict, keyed: Keyed) -> None:
     if human:
         s.setdefault("opening", r.get("text"))
         s["turns_after_compaction"] += turn_in
-        keyed.items.appendValue(("turn", json.dumps(at_min)))
+        keyed.add("turn", at_min)
         known = [not keyed.first_time(keyed.runs, run) for run in r.get("runs", ())]
         s["reexplain"] += any(known)
         s["reexplain_after_compaction"] += any(known) and turn_in
@@ -217,7 +237,7 @@ def _feed_boundary(s: dict, c: dict, at_min: float, turn: int, keyed: Keyed) ->
     mark = [c.get("pre"), c.get("dropped")]
     if s.get("boundary") != mark:  # an equal one is the same boundary, written again
         s["window_at"] = turn
-        keyed.items.appendValue(("compaction", json.dumps({**{f: c.get(f) for f in ("trigger", "pre", "post", "dropped")}, "at_min": at_min, "turn_index": turn})))
+        keyed.add("compaction", {**{f: c.get(f) for f in ("trigger", "pre", "post", "dropped")}, "at_min": at_min, "turn_index": turn})
     s["boundary"] = mark
 
 
@@ -241,7 +261,7 @@ def _feed_call(s: dict, r: dict, at_min: float, keyed: Keyed) -> None:
         if ctx > s["ctx_peak"]:
             s["ctx_peak"], s["peak_model"] = ctx, r.get("model")
         s["ctx_final"] = ctx
-        keyed.items.appendValue(("context", json.dumps({"min": at_min, "ctx": ctx})))
+        keyed.add("context", {"min": at_min, "ctx": ctx})
 
 
 def _feed_tool(s: dict, e: dict, keyed: Keyed) -> None:
@@ -406,6 +426,7 @@ class WholeFold(StatefulProcessor):
             self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + delay)
 
     def _row(self, key, s: dict, recompute: bool) -> pd.DataFrame:
+        self.keyed.settle()
         self.totals.update((json.dumps(s),))
         return pd.DataFrame([{"path": key[0], "generation": s["generation"], "folded": finished(s, self.keyed.items.get() if self.keyed.items.exists() else ()), "needs_recompute": recompute}])
 
