@@ -205,6 +205,22 @@ def test_placing_reads_its_input_twice_and_sorts_no_aggregate(records):
     assert plan.count("Scan parquet") <= 2 and "SortAggregate" not in plan
 
 
+def test_assembly_reads_records_once_and_joins_few_parts(spark, records, monkeypatch):
+    written = materialize(records(Log().human("x").call("m", use(out=3), [tool("Read", "a")])), "t")
+    source, plans = set(written.inputFiles()), []
+
+    def noted(df, name):
+        plans.append(df)
+        return materialize(df, name)
+
+    monkeypatch.setattr(S, "materialize", noted)
+    last = S.build_sessions(written)
+    assert [bool(source & set(df.inputFiles())) for df in plans] == [True] + [False] * (len(plans) - 1)
+    assert not source & set(last.inputFiles())
+    assert plans[0]._jdf.queryExecution().executedPlan().toString().count("FileScan parquet") == 1
+    assert last._jdf.queryExecution().optimizedPlan().toString().count("Join LeftOuter") <= 9
+
+
 def test_feed_window_and_lifetime(records):
     s = materialize(S.build_sessions(materialize(records(Log().human("x").call("m", use(out=3))), "t")), "s")
     now = F.lit("2027-06-01").cast("timestamp")

@@ -30,16 +30,38 @@ def tool_count(names: Sequence[str] | None = None) -> Column:
     return F.coalesce(F.size(F.filter("blocks", hit)), F.lit(0)).cast("bigint")
 
 
-def turn_state(records: DataFrame) -> DataFrame:
-    """Records with their place in the session: turn, minute, gap, boundary window.
+def tool_event_array(rtype: Column, blocks: Column) -> Column:
+    """A record's tool uses (of assistant records) and tool results (of user records), reduced to narrow structs."""
+    is_use, is_result = rtype == "assistant", rtype == "user"
+    wanted = F.filter(blocks, lambda b: (is_use & (b["btype"] == "tool_use")) | (is_result & (b["btype"] == "tool_result")))
+
+    def narrow(b: Column) -> Column:
+        classes = X.command_class(F.when(b["tool_name"] == fixed.SHELL_TOOL, b["command"]))
+        return F.struct(
+            b["pos"].alias("pos"), is_use.alias("is_use"),
+            F.nullif(F.when(is_use, b["tool_id"]).otherwise(b["tool_use_id"]), F.lit("")).alias("id"),
+            F.when(is_use, b["tool_name"]).alias("tool"),
+            F.when(is_use, classes["is_test"]).alias("is_test"),
+            F.when(is_use, classes["is_commit"]).alias("is_commit"),
+            F.when(is_use, b["skill"]).alias("skill"),
+            F.when(is_result, b["result_chars"]).alias("result_chars"),
+            F.when(is_result, b["is_error"]).alias("is_error"),
+        )
+
+    return F.transform(wanted, narrow)
+
 
-    Text is reduced to flags before the shuffle, so the scanned rows are narrow.
+def record_facts(records: DataFrame) -> DataFrame:
+    """All that the assembly takes from a record: flags, counters, who and where, narrow tool events.
+
+    Texts stay for human turns only, blocks not at all, so that records are read once and everything after reads this.
     """
     is_assistant = F.col("rtype") == "assistant"
     head_hit = F.col("is_human") & X.opens_like_correction(F.col("text"), F.lit(2))
-    narrow = records.select(
-        "path", "line_no", "ts", "is_human", "interrupt", "denial", "is_steering", "is_boundary",
-        F.col("ts_str").isNotNull().alias("has_ts"),
+    return records.select(
+        "path", "line_no", "rtype", "ts", "ts_str", "sid", "cwd", "git_branch", "entrypoint", "continued_in", "attribution_skill", "pr_number",
+        "is_human", "interrupt", "denial", "is_steering", "is_boundary",
+        F.when(F.col("is_human"), F.col("text")).alias("text"),
         F.when(F.col("is_boundary"), F.col("compact")).alias("compact"),
         is_assistant.alias("is_assistant"),
         F.when(is_assistant, F.col("msg_id")).alias("msg_id"),
@@ -54,6 +76,20 @@ def turn_state(records: DataFrame) -> DataFrame:
             (F.col("permission_mode").eqNullSafe("plan"))
             | F.when(is_assistant, tool_count(fixed.PLAN_TOOLS) > 0).otherwise(False)
         ).alias("plans"),
+        tool_event_array(F.col("rtype"), F.col("blocks")).alias("events"),
+    )
+
+
+def turn_state(records: DataFrame) -> DataFrame:
+    """Records with their place in the session: turn, minute, gap, boundary window."""
+    return placed_facts(record_facts(records))
+
+
+def placed_facts(facts: DataFrame) -> DataFrame:
+    """``turn_state`` from ``record_facts``; text is a flag by now, so the scanned rows are narrow."""
+    narrow = facts.select(
+        "path", "line_no", "ts", "is_human", "interrupt", "denial", "is_steering", "is_boundary", F.col("ts_str").isNotNull().alias("has_ts"),
+        "compact", "is_assistant", "msg_id", "model", "usage", "effort", "reads_as_correction", "n_tools", "n_ask", "n_edit", "plans",
     )
     # Plain numbers keep the segments' summaries in hash aggregates; a null among them is NOTHING.
     known = lambda c: F.coalesce(c, F.lit(NOTHING))
@@ -212,24 +248,12 @@ def opening_columns(text: Column) -> list[Column]:
 
 def tool_events(records: DataFrame) -> DataFrame:
     """Tool uses and tool results as one ordered table of narrow rows."""
-    wanted = F.filter("blocks", lambda b: b["btype"].isin("tool_use", "tool_result"))
-    rows = records.filter(
-        F.col("rtype").isin("assistant", "user")
-    ).select("path", "line_no", "rtype", F.explode(wanted).alias("b"))
-    is_use = (F.col("rtype") == "assistant") & (F.col("b.btype") == "tool_use")
-    is_result = (F.col("rtype") == "user") & (F.col("b.btype") == "tool_result")
-    command = F.when(F.col("b.tool_name") == fixed.SHELL_TOOL, F.col("b.command"))
-    classes = X.command_class(command)
-    return rows.filter(is_use | is_result).select(
-        "path", "line_no", "b.pos", is_use.alias("is_use"),
-        F.nullif(F.when(is_use, F.col("b.tool_id")).otherwise(F.col("b.tool_use_id")), F.lit("")).alias("id"),
-        F.when(is_use, F.col("b.tool_name")).alias("tool"),
-        F.when(is_use, classes["is_test"]).alias("is_test"),
-        F.when(is_use, classes["is_commit"]).alias("is_commit"),
-        F.when(is_use, F.col("b.skill")).alias("skill"),
-        F.when(is_result, F.col("b.result_chars")).alias("result_chars"),
-        F.when(is_result, F.col("b.is_error")).alias("is_error"),
-    )
+    return event_rows(records.select("path", "line_no", "rtype", tool_event_array(F.col("rtype"), F.col("blocks")).alias("events")))
+
+
+def event_rows(facts: DataFrame) -> DataFrame:
+    """``tool_events`` from ``record_facts``."""
+    return facts.filter(F.col("rtype").isin("assistant", "user")).select("path", "line_no", F.inline("events"))
 
 
 def tool_results(events: DataFrame) -> DataFrame:
@@ -266,28 +290,20 @@ def outcome_counts(results: DataFrame) -> DataFrame:
     )
 
 
-def _count_map(df: DataFrame, name: str, value: str, out: str, keep: Column) -> Column:
-    entries = F.array_sort(F.collect_list(F.when(keep, F.struct(name, value))))
-    return F.map_from_entries(entries).alias(out)
+def effort_counts(state: DataFrame) -> DataFrame:
+    return state.filter(F.col("effort").isNotNull()).groupBy("path", "effort").agg(F.count("*").alias("n"))
 
 
-def tool_maps(usage: DataFrame) -> DataFrame:
-    """Published per-tool maps and the shell outcome counts, from one row per tool."""
-    return usage.groupBy("path").agg(
-        _count_map(usage, "tool", "calls", "tools", F.col("calls") > 0),
-        _count_map(usage, "tool", "errors", "tool_err", F.col("errors") > 0),
-        _count_map(usage, "tool", "result_chars", "tool_bytes", F.col("results") > 0),
-        F.sum("tests_run").alias("tests_run"), F.sum("git_commits").alias("git_commits"),
-    )
+def _count_map(name: str, value: str, out: str) -> Column:
+    return F.map_from_entries(F.array_sort(F.collect_list(F.struct(name, value)))).alias(out)
 
 
 def effort_map(state: DataFrame) -> DataFrame:
-    counted = state.filter(F.col("effort").isNotNull()).groupBy("path", "effort").agg(F.count("*").alias("n"))
-    return counted.groupBy("path").agg(_count_map(counted, "effort", "n", "effort", F.lit(True)))
+    return effort_counts(state).groupBy("path").agg(_count_map("effort", "n", "effort"))
 
 
-def sighted_sets(records: DataFrame, events: DataFrame) -> DataFrame:
-    """Distinct skills and pull requests, each in order of first sight.
+def first_sights(records: DataFrame, events: DataFrame) -> DataFrame:
+    """Where each skill and each pull request of a transcript is seen first.
 
     A skill attributed to a record is seen before the skills it calls.
     """
@@ -300,13 +316,49 @@ def sighted_sets(records: DataFrame, events: DataFrame) -> DataFrame:
     links = records.filter((F.col("rtype") == "pr-link") & F.col("pr_number").isNotNull()).select(
         "path", F.lit("pr").alias("kind"), F.col("pr_number").cast("string").alias("item"), F.struct("line_no", F.lit(0).alias("pos")).alias("at")
     )
-    first = attributed.unionByName(called).unionByName(links).groupBy("path", "kind", "item").agg(F.min("at").alias("at"))
+    return attributed.unionByName(called).unionByName(links).groupBy("path", "kind", "item").agg(F.min("at").alias("at"))
+
+
+def _seen(kind: str) -> Column:
+    pairs = F.array_sort(F.collect_list(F.when(F.col("kind") == kind, F.struct("at", "item"))))
+    return F.transform(pairs, lambda p: p["item"])
 
-    def of(kind: str) -> Column:
-        pairs = F.array_sort(F.collect_list(F.when(F.col("kind") == kind, F.struct("at", "item"))))
-        return F.transform(pairs, lambda p: p["item"])
 
-    return first.groupBy("path").agg(of("skill").alias("skills"), of("pr").cast("array<bigint>").alias("pr_numbers"))
+def _sighted() -> list[Column]:
+    return [_seen("skill").alias("skills"), _seen("pr").cast("array<bigint>").alias("pr_numbers")]
+
+
+def sighted_sets(records: DataFrame, events: DataFrame) -> DataFrame:
+    """Distinct skills and pull requests, each in order of first sight."""
+    return first_sights(records, events).groupBy("path").agg(*_sighted())
+
+
+def published_maps(by_model: DataFrame, usage: DataFrame, efforts: DataFrame, sights: DataFrame) -> DataFrame:
+    """The published maps and lists of a transcript from its rows per model, tool, effort, and skill or pull request.
+
+    All four meet in one shuffle of rows that are aggregated already; a map without rows is null.
+    """
+    rows = (
+        by_model.withColumns({"kind": F.lit("model"), "item": F.col("model")}).drop("model").withColumnRenamed("calls", "model_calls")
+        .unionByName(usage.withColumns({"kind": F.lit("tool"), "item": F.col("tool")}).drop("tool"), allowMissingColumns=True)
+        .unionByName(efforts.select("path", F.lit("effort").alias("kind"), F.col("effort").alias("item"), "n"), allowMissingColumns=True)
+        .unionByName(sights, allowMissingColumns=True)
+    )
+
+    def mapped(kind: str, value: Column, out: str, keep: Column | None = None) -> Column:
+        of_kind = F.col("kind") == kind
+        entries = F.array_sort(F.collect_list(F.when(of_kind if keep is None else of_kind & keep, F.struct("item", value.alias("value")))))
+        return F.when(F.count_if(of_kind) > 0, F.map_from_entries(entries)).alias(out)
+
+    counters = F.struct(*[F.col("model_calls" if c == "calls" else c).alias(c) for c in COUNTERS])
+    return rows.groupBy("path").agg(
+        mapped("model", counters, "by_model"),
+        mapped("tool", F.col("calls"), "tools", F.col("calls") > 0),
+        mapped("tool", F.col("errors"), "tool_err", F.col("errors") > 0),
+        mapped("tool", F.col("result_chars"), "tool_bytes", F.col("results") > 0),
+        F.sum("tests_run").alias("tests_run"), F.sum("git_commits").alias("git_commits"),
+        mapped("effort", F.col("n"), "effort"), *_sighted(),
+    )
 
 
 def session_meta(records: DataFrame) -> DataFrame:
@@ -340,17 +392,17 @@ def build_sessions(
     Lists are whole unless a length is given.  The excerpt is the opening
     message with key patterns and the values of ``deny`` taken out, then cut.
 
-    Pass ``records`` as a written table: a dozen aggregates read it.  The placed
-    records and the de-duplicated calls are written once for the same reason.
+    ``records`` are read once.  Their facts, the placed facts and the
+    de-duplicated calls are written, since several aggregates read each.
     """
-    state = materialize(turn_state(records), "turn_state")
+    facts = materialize(record_facts(records), "record_facts")
+    state = materialize(placed_facts(facts), "turn_state")
     calls = materialize(api_calls(state), "api_calls")
-    events = tool_events(records)
-    results = tool_results(events)
-    usage = tool_usage(events, results)
+    events = event_rows(facts)
+    usage = tool_usage(events, tool_results(events))
     parts = [
-        session_meta(records), signal_counts(state, turn_minutes), repeat_counts(records, state), context_profile(calls, series_points),
-        model_map(usage_by_model(calls), ["path"]), tool_maps(usage), effort_map(state), sighted_sets(records, events),
+        session_meta(facts), signal_counts(state, turn_minutes), repeat_counts(facts, state), context_profile(calls, series_points),
+        published_maps(usage_by_model(calls), usage, effort_counts(state), first_sights(facts, events)),
     ]
     out = reduce(lambda a, b: a.join(b, "path", "left"), parts)
     kept = [c for c in out.columns if c != "opening"]
@@ -390,7 +442,7 @@ def rollup_subagents(subagents: DataFrame) -> DataFrame:
     """Per parent session: how many, of which types, their tokens and tool calls."""
     whole = subagents.groupBy("parent_sid").agg(F.count("*").alias("n"), F.sum("tool_calls").alias("tool_calls"))
     typed = subagents.groupBy("parent_sid", "agent_type").agg(F.count("*").alias("k"))
-    by_type = typed.groupBy("parent_sid").agg(_count_map(typed, "agent_type", "k", "by_type", F.lit(True)))
+    by_type = typed.groupBy("parent_sid").agg(_count_map("agent_type", "k", "by_type"))
     long = explode_models(subagents, ["parent_sid"])
     by_model = model_map(sum_counters(long, ["parent_sid", "model"]), ["parent_sid"])
     return whole.join(by_type, "parent_sid", "left").join(by_model, "parent_sid", "left")
