@@ -37,32 +37,46 @@ def test_rules(pages, url, host, path, rule, action):
 def test_edges(pages):
     html = "<a href='/x'>1</a><A class=b HREF=\"HTTP://B.com/y\">2</a><a href=//c.com>3</a><a href=mailto:x@y.z>4</a><a href='/z'>"
     got = {(r.src, r.dst, r.links) for r in U.host_edges(pages([(1, "http://a.com/", html), (2, None, html), (3, "http://a.com/", None)])).collect()}
-    assert got == {("a.com", "a.com", 2), ("a.com", "b.com", 1), ("a.com", "c.com", 1)}
+    assert got == {("a.com", "b.com", 1), ("a.com", "c.com", 1)}
 
 
-def brute(edges, seeds, forward):
+def brute(edges, trust, distrust):
     out = {}
-    for s, d, n in edges:
-        a, b = (s, d) if forward else (d, s)
+    for a, b, n in edges:
         out.setdefault(a, []).append((b, n))
-    rank = dict(seeds)
+    part = {a: [(b, n / sum(k for _, k in to)) for b, n in to] for a, to in out.items()}
+    forward = [dict(trust), dict.fromkeys(trust, 1.0)]
+    seeds, back = [trust, dict.fromkeys(trust, 1.0)], dict(distrust)
     for _ in range(U.ROUNDS):
-        got = dict.fromkeys(seeds, 0.0)
-        for a, to in out.items():
-            for b, n in to:
-                got[b] += rank[a] * n / sum(k for _, k in to)
-        rank = {h: (1 - U.DAMPING) * seeds[h] + U.DAMPING * got[h] for h in seeds}
-    return rank
+        forward = [{h: (1 - U.DAMPING) * s[h] + U.DAMPING * sum(f[a] * p for a, to in part.items() for b, p in to if b == h) for h in s} for f, s in zip(forward, seeds, strict=True)]
+        back = {h: max(distrust[h], U.DAMPING * sum(p * back[b] for b, p in part.get(h, []))) for h in distrust}
+    return *forward, back
 
 
 def test_ranks_equal_brute_force(spark):
-    edges = [("a", "b", 3), ("b", "c", 1), ("b", "b", 2), ("c", "a", 1), ("d", "a", 5), ("d", "c", 1)]
-    seeds = [(h, float(h == "a"), float(h == "c"), 1.0) for h in "abcde"]
-    got = {r.host: r for r in U.propagate(spark.createDataFrame(edges, "src string, dst string, links long"), spark.createDataFrame(seeds, "host string, trust double, distrust double, plain double"), "test").collect()}
-    trust = brute(edges, {h: t for h, t, _, _ in seeds}, True)
-    distrust = brute(edges, {h: d for h, _, d, _ in seeds}, False)
+    edges = [("a", "b", 3), ("b", "c", 1), ("b", "d", 2), ("c", "a", 1), ("d", "a", 5), ("d", "c", 1)]
+    seeds = [(h, float(h == "a"), {"c": 1.0, "d": 0.25}.get(h, 0.0)) for h in "abcde"]
+    got = {r.host: r for r in U.propagate(spark.createDataFrame(edges, "src string, dst string, links long"), spark.createDataFrame(seeds, "host string, trust double, distrust double"), "test").collect()}
+    trust, plain, distrust = brute(edges, {h: t for h, t, _ in seeds}, {h: d for h, _, d in seeds})
     for h in "abcde":
-        assert got[h].trust == pytest.approx(trust[h]) and got[h].distrust == pytest.approx(distrust[h])
+        assert (got[h].trust, got[h].plain, got[h].distrust) == pytest.approx((trust[h], plain[h], distrust[h]))
+
+
+def test_farms_of_every_size_are_blocked_and_single_links_are_not(pages):
+    """Farms of 1 to 100 hosts that link to one blocked host each; half of all other hosts are blocked; own links do not dilute."""
+    link = lambda to: f"<a href='http://{to}/'>x</a>"
+    own, rows, farm, neutral, page = "<a href='/x'>x</a>" * 20, [], [], [], 0
+    for size in (1, 2, 10, 100):
+        rows.append((page := page + 1, f"http://b{size}.net/", own))
+        for k in range(size):
+            farm.append(page := page + 1)
+            rows.append((page, f"http://f{k}.farm{size}.com/", own + link(f"b{size}.net")))
+    for k in range(9):
+        neutral.append(page := page + 1)
+        rows.append((page, f"http://n{k}.info/", own + link("b1.net") + "".join(link(f"n{j}.info") for j in range(9))))
+    rows += [(1000 + k, f"http://spam{k}.net/", link(f"n{k % 9}.info")) for k in range(100)]
+    got = {r.id: r.verdict for r in U.judged(pages(rows), "test").collect()}
+    assert {got[i] for i in farm} == {"block"} and {got[i] for i in neutral} == {"allow"}
 
 
 def test_distrust_reaches_hosts_that_link_to_blocked_ones(pages):

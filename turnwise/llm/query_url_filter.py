@@ -25,25 +25,21 @@ l AS (SELECT host AS src, unnest(regexp_extract_all(coalesce(html, ''), '(?i)<a\
 t AS (SELECT src, CASE WHEN regexp_matches(link, '(?i)^https?://') THEN translate(regexp_extract(link, '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')
     WHEN prefix(link, '//') THEN translate(regexp_extract('http:' || link, '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')
     WHEN regexp_matches(link, '^[A-Za-z][A-Za-z0-9+.-]*:') THEN '' ELSE src END AS dst FROM l),
-e AS (SELECT src, dst, count(*) AS links FROM t WHERE src <> '' AND dst <> '' GROUP BY 1, 2),
-both_ways AS (SELECT src, dst, links, true AS fwd FROM e UNION ALL SELECT dst, src, links, false FROM e),
-moves AS (SELECT src AS host, dst, fwd, links / sum(links) OVER (PARTITION BY src, fwd) AS part FROM both_ways),
+e AS (SELECT src, dst, count(*) AS links FROM t WHERE src <> '' AND dst <> '' AND src <> dst GROUP BY 1, 2),
+moves AS (SELECT src, dst, links / sum(links) OVER (PARTITION BY src) AS part FROM e),
 h AS (SELECT host, count(*) AS n, sum(CASE WHEN action = 'allow' THEN 1 ELSE 0 END) AS a, sum(CASE WHEN action = 'block' THEN 1 ELSE 0 END) AS b FROM m WHERE host <> '' GROUP BY 1),
 hosts AS (SELECT host, coalesce(a / n, 0) AS trust, coalesce(b / n, 0) AS distrust FROM h FULL JOIN (SELECT DISTINCT dst AS host FROM e) USING (host)),
-base AS (SELECT host, true AS fwd, trust AS seed FROM hosts UNION ALL SELECT host, false, distrust FROM hosts),
-r0 AS (SELECT host, fwd, seed AS rank, 1.0::DOUBLE AS plain FROM base)"""
+r0 AS (SELECT host, trust AS t, 1.0::DOUBLE AS p, distrust AS d FROM hosts)"""
     ]
-    d = url_filter.DAMPING
+    go, stay = url_filter.DAMPING, 1 - url_filter.DAMPING
     for k in range(url_filter.ROUNDS):
         parts.append(
-            f"r{k + 1} AS MATERIALIZED (SELECT host, fwd, {1 - d!r} * seed + {d} * coalesce(got, 0) AS rank, {1 - d!r} + {d} * coalesce(plain_got, 0) AS plain FROM base LEFT JOIN "
-            f"(SELECT dst AS host, fwd, sum(rank * part) AS got, sum(plain * part) AS plain_got FROM r{k} JOIN moves USING (host, fwd) GROUP BY 1, 2) USING (host, fwd))"
+            f"r{k + 1} AS MATERIALIZED (SELECT host, {stay!r} * trust + {go} * coalesce(gt, 0) AS t, {stay!r} + {go} * coalesce(gp, 0) AS p, greatest(distrust, {go} * coalesce(gd, 0)) AS d FROM hosts "
+            f"LEFT JOIN (SELECT dst AS host, sum(t * part) AS gt, sum(p * part) AS gp FROM r{k} JOIN moves ON host = src GROUP BY 1) USING (host) "
+            f"LEFT JOIN (SELECT src AS host, sum(d * part) AS gd FROM r{k} JOIN moves ON host = dst GROUP BY 1) USING (host))"
         )
     parts.append(
-        f"""v AS (
-  SELECT host, max(CASE WHEN fwd THEN rank / plain END) / greatest((SELECT avg(trust) FROM hosts), 1e-9) AS t,
-    max(CASE WHEN NOT fwd THEN rank / plain END) / greatest((SELECT avg(distrust) FROM hosts), 1e-9) AS d FROM r{url_filter.ROUNDS} GROUP BY 1
-)
+        f"""v AS (SELECT host, t / p AS t, d FROM r{url_filter.ROUNDS})
 SELECT page_id, m.host AS host, path, rule,
   coalesce(action, CASE WHEN round(d, 6) >= {url_filter.LEAST_DISTRUST} AND round(d, 6) > round(t, 6) THEN 'block' ELSE 'allow' END) AS verdict
 FROM m LEFT JOIN v ON m.host = v.host

@@ -1,11 +1,12 @@
 """URL filters: rules by host and path, and trust propagated over the host graph; built-in functions only.
 
 Rules fit a host with all its subdomains and a path prefix; the longest rule wins.  URLs that no rule fits are judged by
-their host: links give edges between hosts, weighted by their number, and two personalised PageRanks are iterated over them.
-Trust starts from hosts by the share of their URLs that rules allow and follows links forwards; distrust starts from hosts by
-the share of URLs that rules block and follows links backwards.  Both are compared with a plain PageRank of the same
-direction, so a host is judged by how much more of either it holds than its place in the graph explains.  A host is blocked
-if its distrust is at least ``LEAST_DISTRUST`` times what is plain for it, and larger than its trust.
+their host: links between different hosts give edges, weighted by their number.  Trust is a personalised PageRank from hosts by
+the share of their URLs that rules allow; it follows links forwards, and is compared with a plain PageRank, so that it is the share
+of what reaches a host that began at trusted ones.  Distrust starts from hosts by the share of their URLs that rules block and
+follows links backwards: a host takes ``DAMPING`` times the mean distrust of what it links to, or its own share if that is larger.
+So it depends on a host's own links alone, and neither on how many others link to the same blocked host nor on the mean over all
+hosts.  A host is blocked if its distrust is at least ``LEAST_DISTRUST`` and larger than its trust.
 
 Links are summed per pair of hosts before they are shuffled; every round is two joins on narrow host rows, written to the
 shared folder.  The graph may be of any size; no part of it is collected.
@@ -26,7 +27,7 @@ from turnwise.llm.common import materialize
 #: (host, path, action); a few literal rules, which become part of the plan.
 RULES = (("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow"))
 DAMPING, ROUNDS = 0.85, 12
-LEAST_DISTRUST = 2.0
+LEAST_DISTRUST = 0.5
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -56,7 +57,7 @@ def matched(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", rul
 
 
 def host_edges(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """(src, dst, links) between hosts; a relative link stays on its page's host."""
+    """(src, dst, links) between different hosts; a relative link stays on its page's host and is no edge."""
     own = host(F.col(f"`{url_col}`"))
     targets = F.regexp_extract_all(F.coalesce(F.col(f"`{html_col}`"), F.lit("")), F.lit(r"(?i)<a\s[^>]*?href\s*=\s*[\"']?\s*([^\"'\s>]+)"), F.lit(1))
     link = F.col("link")
@@ -64,56 +65,48 @@ def host_edges(pages: DataFrame, url_col: str = "url", html_col: str = "html") -
     to = to.when(link.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:"), F.lit("")).otherwise(F.col("src"))
     # A page's links to one host are counted in its row; what is shuffled is one row for each pair of hosts and task.
     rows = pages.select(own.alias("src"), F.explode(targets).alias("link")).select("src", to.alias("dst"))
-    return rows.where("src <> '' and dst <> ''").groupBy("src", "dst").agg(F.count(F.lit(1)).alias("links"))
+    return rows.where("src <> '' and dst <> '' and src <> dst").groupBy("src", "dst").agg(F.count(F.lit(1)).alias("links"))
 
 
 def propagate(edges: DataFrame, seeds: DataFrame, name: str, rounds: int = ROUNDS, damping: float = DAMPING) -> DataFrame:
-    """Ranks of every host from edges(src, dst, links) and seeds(host, trust, distrust, plain), which hold all hosts.
+    """(host, trust, plain, distrust) from edges(src, dst, links) and seeds(host, trust, distrust), which hold all hosts.
 
-    Gives (host, trust, distrust, plain_trust, plain_distrust).  A rank without an edge to follow goes back to its seeds.
+    ``trust`` and ``plain`` are PageRanks along the links, from the trust seeds and from all hosts alike; a host without links
+    passes nothing on.  ``distrust`` goes against the links, weighted by the share of each in the links of its source.
     """
-    forward = edges.select("src", "dst", "links", F.lit(True).alias("forward"))
-    both = forward.unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "links", F.lit(False).alias("forward")))
-    whole = both.groupBy("src", "forward").agg(F.sum("links").alias("all_links"))
-    moves = both.join(whole, ["src", "forward"]).select(F.col("src").alias("host"), "dst", "forward", (F.col("links") / F.col("all_links")).alias("part"))
-    moves = materialize(moves, f"{name}_moves")
-    start = F.struct(F.lit(True).alias("forward"), F.col("trust").alias("seed"), F.col("plain").alias("plain_seed"))
-    back = F.struct(F.lit(False).alias("forward"), F.col("distrust").alias("seed"), F.col("plain").alias("plain_seed"))
-    base = materialize(seeds.select("host", F.inline(F.array(start, back))), f"{name}_seeds")
-    now = base.select("host", "forward", F.col("seed").alias("rank"), F.col("plain_seed").alias("plain"))
+    whole = edges.groupBy("src").agg(F.sum("links").alias("all_links"))
+    moves = materialize(edges.join(whole, "src").select("src", "dst", (F.col("links") / F.col("all_links")).alias("part")), f"{name}_moves")
+    base = seeds.select("host", F.col("trust").alias("trust_seed"), F.col("distrust").alias("distrust_seed"))
+    now = base.select("host", F.col("trust_seed").alias("trust"), F.lit(1.0).alias("plain"), F.col("distrust_seed").alias("distrust"))
     for step in range(rounds):
-        sent = now.join(moves, ["host", "forward"]).groupBy(F.col("dst").alias("host"), "forward").agg(
-            F.sum(F.col("rank") * F.col("part")).alias("got"), F.sum(F.col("plain") * F.col("part")).alias("plain_got")
+        sent = now.join(moves, now["host"] == moves["src"]).groupBy(F.col("dst").alias("host")).agg(
+            F.sum(F.col("trust") * F.col("part")).alias("got"), F.sum(F.col("plain") * F.col("part")).alias("plain_got")
         )
-        now = base.join(sent, ["host", "forward"], "left").select(
-            "host", "forward",
-            (F.lit(1 - damping) * F.col("seed") + F.lit(damping) * F.coalesce("got", F.lit(0.0))).alias("rank"),
-            (F.lit(1 - damping) * F.col("plain_seed") + F.lit(damping) * F.coalesce("plain_got", F.lit(0.0))).alias("plain"),
+        back = now.join(moves, now["host"] == moves["dst"]).groupBy(F.col("src").alias("host")).agg(F.sum(F.col("distrust") * F.col("part")).alias("led_to"))
+        got = lambda c: F.lit(damping) * F.coalesce(c, F.lit(0.0))
+        now = base.join(sent, "host", "left").join(back, "host", "left").select(
+            "host",
+            (F.lit(1 - damping) * F.col("trust_seed") + got("got")).alias("trust"),
+            (F.lit(1 - damping) + got("plain_got")).alias("plain"),
+            F.greatest("distrust_seed", got("led_to")).alias("distrust"),
         )
-        if step % 4 == 3 or step == rounds - 1:
-            now = materialize(now, f"{name}_ranks{step}")
-    side = lambda forward, column: F.max(F.when(F.col("forward") == forward, F.col(column)))
-    return now.groupBy("host").agg(
-        side(True, "rank").alias("trust"), side(False, "rank").alias("distrust"), side(True, "plain").alias("plain_trust"), side(False, "plain").alias("plain_distrust")
-    )
+        # A round reads the one before twice, so each is written: a narrow row per host.
+        now = materialize(now, f"{name}_ranks{step}")
+    return now
 
 
 def host_verdicts(found: DataFrame, edges: DataFrame, name: str) -> DataFrame:
     """(host, trust, distrust, host_blocked) from matched rows and edges.
 
-    Seeds are the shares of a host's rows that rules allow and block, and the plain seed is the mean share of either,
-    so that a host at the mean has a relative trust of one.
+    Seeds are the shares of a host's rows that rules allow and block; trust and distrust are from 0 to 1.
     """
     said = lambda action: F.sum((F.coalesce("action", F.lit("")) == action).cast("long"))
     hosts = found.where("host <> ''").groupBy("host").agg(F.count(F.lit(1)).alias("n"), said("allow").alias("allowed"), said("block").alias("blocked"))
     targets = edges.select(F.col("dst").alias("host")).distinct()
-    hosts = materialize(hosts.join(targets, "host", "full").na.fill(0, ["n", "allowed", "blocked"]), f"{name}_hosts")
+    hosts = hosts.join(targets, "host", "full").na.fill(0, ["n", "allowed", "blocked"])
     share = lambda c: F.when(F.col("n") > 0, F.col(c) / F.col("n")).otherwise(0.0)
-    seeds = hosts.select("host", share("allowed").alias("trust"), share("blocked").alias("distrust"), F.lit(1.0).alias("plain"))
-    ranks = propagate(edges, seeds, name)
-    means = seeds.agg(F.avg("trust").alias("trust"), F.avg("distrust").alias("distrust")).first()
-    relative = lambda c: F.col(c) / F.col(f"plain_{c}") / F.lit(max(means[c] or 0.0, 1e-9))
-    ranks = ranks.select("host", relative("trust").alias("trust"), relative("distrust").alias("distrust"))
+    seeds = materialize(hosts.select("host", share("allowed").alias("trust"), share("blocked").alias("distrust")), f"{name}_seeds")
+    ranks = propagate(edges, seeds, name).select("host", (F.col("trust") / F.col("plain")).alias("trust"), "distrust")
     # Rounded, so that the order in which ranks are summed cannot turn a verdict at the threshold.
     blocked = (F.round("distrust", 6) >= LEAST_DISTRUST) & (F.round("distrust", 6) > F.round("trust", 6))
     return ranks.withColumn("host_blocked", blocked)
